@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, pii, sharding, simhash_dedup, warc
+from . import chat_format, mixing, packing, pii, quality, sharding, simhash_dedup, topk_search, vector_dedup, warc
 from .common import new_path
 
 SHARDS = 24
@@ -24,6 +24,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
@@ -36,6 +45,19 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.dedup_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(_read(spark, sf_dir, "documents")).select("doc_id", "_mix.*")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).cast("long").alias("taken"))
+
+
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(_read(spark, sf_dir, "documents"), [1.0] * SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -52,7 +74,12 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_chat_format": op4_chat_format,
+    "op5_vector_dedup": op5_vector_dedup,
+    "op6_mixing": op6_mixing,
+    "op7_topk_search": op7_topk_search,
     "op8_sharding": op8_sharding,
     "op9_pii": op9_pii,
     "op10_simhash_dedup": op10_simhash_dedup,
