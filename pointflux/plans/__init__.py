@@ -1,4 +1,3 @@
 """Registered queries over the driver's tables and their SQL counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .base import ORACLE_SQL, QUERIES  # noqa: F401
