@@ -18,11 +18,12 @@ MARK, STOP = "\x01", "\x02"
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban",)
 KINDS = BASE + EXTRA
-#: The patterns of the kinds, as linear-time equivalents. A match may start where the one before ended (\G).
+#: The patterns of the kinds, as linear-time equivalents. A match may start where the
+#: one before ended (\G); runs of under 12 digits, which can't be cards, are passed over at once.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?=[0-9](?:[\x20-]?[0-9]){11})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
@@ -96,12 +97,12 @@ def _proposed(kind: str, text: Column) -> Column:
     """The spans of one kind in ``text``, validated and scored."""
     rank = KINDS.index(kind) + 1
     parts = F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{STOP}"), f"[{MARK}{STOP}]")
-    lens = F.transform(parts, F.length)
-    odd = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: i % 2 == 1)
-    odd = F.when(F.size(parts) > 1, odd).otherwise(F.array().cast("array<int>"))
-    seen = F.struct(parts.alias("parts"), lens.alias("lens"), odd.alias("odd"))
 
-    def spans(s: Column) -> Column:
+    def odd(p: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(p) - 1, F.lit(1))), lambda i: i % 2 == 1)
+        return F.when(F.size(p) > 1, at).otherwise(F.array().cast("array<int>"))
+
+    def starts(s: Column) -> Column:
         # One fold turns lengths into starts, looking only at the matches and the gaps before them.
         none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
@@ -109,10 +110,11 @@ def _proposed(kind: str, text: Column) -> Column:
             start = acc["at"] + F.get(s["lens"], i - 1)
             return F.struct((start + F.get(s["lens"], i)).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"))
 
-        starts = F.aggregate(s["odd"], none, step, lambda acc: acc["starts"])
+        return F.aggregate(s["odd"], none, step, lambda acc: acc["starts"])
 
+    def spans(s: Column) -> Column:
         def span(i: Column, k: Column) -> Column:
-            start, match = F.get(starts, k), F.get(s["parts"], i)
+            start, match = F.get(s["starts"], k), F.get(s["parts"], i)
             around = F.lower(F.concat(F.right(F.get(s["parts"], i - 1), F.lit(NEAR)), F.lit(" "), F.left(F.coalesce(F.get(s["parts"], i + 1), F.lit("")), F.lit(NEAR))))
             score = F.lit(START[kind]) + F.when(around.rlike(RAISE[kind]), STEP).otherwise(0.0) - F.when(around.rlike(LOWER[kind]), STEP).otherwise(0.0)
             return F.struct(
@@ -123,7 +125,10 @@ def _proposed(kind: str, text: Column) -> Column:
         found = F.filter(F.transform(s["odd"], span), lambda x: x["score"].isNotNull())
         return F.filter(found, lambda x: x["score"] >= REPORT) if kind in EXTRA else found
 
-    found = F.get(F.transform(F.array(seen), spans), F.lit(0))
+    # Each step is bound by a transform over one element, so that nothing is computed once per match.
+    bound = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), F.transform(p, F.length).alias("lens"), odd(p).alias("odd")))
+    bound = F.transform(bound, lambda s: F.struct(s["parts"].alias("parts"), s["lens"].alias("lens"), s["odd"].alias("odd"), starts(s).alias("starts")))
+    found = F.get(F.transform(bound, spans), F.lit(0))
     may = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(may, found).otherwise(F.array().cast(_SPAN))
 
