@@ -89,3 +89,56 @@ def hash_grid(rows: DataFrame, values: Sequence[str], axes: Sequence[str], size:
     placed = rows.withColumn("bucket", F.pmod(h, F.lit(capacity)))
     means = placed.groupBy("bucket").agg(*[N.js_round(F.avg(v)).alias(f"_{v}") for v in values])
     return placed.join(means, "bucket").select(*[c for c in placed.columns if c not in values], *[(F.col(v) - F.col(f"_{v}")).alias(v) for v in values])
+
+
+def descend(vector: Column, tree: dict[int, tuple[Sequence[float], Sequence[float]]], depth: int) -> Column:
+    """Leaf (1-based heap number) reached by going to the nearer of two codes at each node, the first of equals."""
+    at = F.lit(1)
+    for level in range(depth):
+        step = F.lit(None).cast("int")
+        for node in range(1 << level, 2 << level):
+            if node in tree:
+                left, right = tree[node]
+                side = F.when(squared_distance(vector, right) < squared_distance(vector, left), 2 * node + 1).otherwise(2 * node)
+                step = F.when(at == node, side).otherwise(step)
+        at = F.coalesce(step, at * 2)
+    return at
+
+
+def tree_codebook(rows: DataFrame, vector: str, depth: int, rounds: int = 5, spread: float = 1e-2) -> dict[int, tuple[list[float], list[float]]]:
+    """A binary tree of codes: each node's rows are split by two-means from its mean, nudged both ways.
+
+    All nodes of a level train together: one partial aggregate a round, a row a node.
+    """
+    dim = rows.select(F.max(F.size(vector)).alias("d")).first()["d"] or 0
+    means = [F.avg(F.get(vector, F.lit(i))).alias(f"m{i}") for i in range(dim)]
+    tree: dict[int, tuple[list[float], list[float]]] = {}
+    for level in range(depth):
+        here = rows.select(vector, descend(F.col(vector), tree, level).alias("node"))
+        for r in here.groupBy("node").agg(*means).collect():  # a row a node
+            m = [r[f"m{i}"] for i in range(dim)]
+            tree[r["node"]] = ([v - spread for v in m], [v + spread for v in m])
+        for _ in range(rounds):
+            sides = rows.select(vector, descend(F.col(vector), tree, level + 1).alias("node")).groupBy("node").agg(*means).collect()
+            for r in sides:
+                node, right = divmod(r["node"], 2)
+                codes = list(tree[node])
+                codes[right] = [r[f"m{i}"] for i in range(dim)]
+                tree[node] = (codes[0], codes[1])
+    return tree
+
+
+def pursue(rows: DataFrame, vector: str, atoms: Sequence[Sequence[float]], active: int) -> DataFrame:
+    """Greedy sparse code over unit atoms: ``picks`` as (atom, weight) and the ``residual``'s squared size.
+
+    Each step takes the atom with the largest inner product, the first of equals.
+    """
+    out = rows.withColumns({"_r": F.col(vector), "picks": F.array().cast("array<struct<atom:int,weight:double>>")})
+    dot = lambda a: F.aggregate(F.zip_with("_r", F.array(*[F.lit(float(v)) for v in a]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    book = F.array(*[F.array(*[F.lit(float(v)) for v in a]) for a in atoms])
+    for _ in range(active):
+        best = F.array_max(F.array(*[F.struct(F.abs(dot(a)).alias("size"), F.lit(-i).alias("minus"), dot(a).alias("w")) for i, a in enumerate(atoms)]))
+        out = out.withColumn("_b", best)
+        out = out.withColumn("picks", F.concat("picks", F.array(F.struct((-F.col("_b.minus")).alias("atom"), F.col("_b.w").alias("weight")))))
+        out = out.withColumn("_r", F.zip_with("_r", F.get(book, -F.col("_b.minus")), lambda x, y: x - F.col("_b.w") * y))
+    return out.withColumn("residual", F.aggregate("_r", F.lit(0.0), lambda s, x: s + x * x)).drop("_r", "_b")

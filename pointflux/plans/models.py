@@ -46,6 +46,26 @@ def f829(spark, sf):  # noqa: ANN001, ANN201
     return C.assign(rows, "e", CENTRES).select("vec_id", "code", r(F.col("d2"), "d2"))
 
 
+@query("F805_tree_codebook")
+def f805(spark, sf):  # noqa: ANN001, ANN201
+    v = vectors(spark, sf).select("vec_id", F.slice("e", 1, 6).alias("e"))
+    tree = C.tree_codebook(v, "e", 3, 2)
+    return v.select("vec_id", C.descend(F.col("e"), tree, 3).alias("leaf"))
+
+
+@query("F806_tree_assign", "SELECT vec_id, CASE WHEN e[1] > 0 THEN CASE WHEN e[2] > 0 THEN 7 ELSE 6 END ELSE CASE WHEN e[3] > 0 THEN 5 ELSE 4 END END::INTEGER AS leaf FROM vectors", "vectors")
+def f806(spark, sf):  # noqa: ANN001, ANN201
+    tree = {1: ([-1, 0, 0], [1, 0, 0]), 2: ([0, 0, -1], [0, 0, 1]), 3: ([0, -1, 0], [0, 1, 0])}
+    rows = vectors(spark, sf).select("vec_id", F.slice("e", 1, 3).alias("e"))
+    return rows.select("vec_id", C.descend(F.col("e"), tree, 2).alias("leaf"))
+
+
+@query("F810_sparse_pursuit", "SELECT vec_id, (list_position([abs(e[1]), abs(e[2]), abs(e[3]), abs(e[4])], greatest(abs(e[1]), abs(e[2]), abs(e[3]), abs(e[4]))) - 1)::INTEGER AS first_atom, round(e[1]**2 + e[2]**2 + e[3]**2 + e[4]**2 - list_sum(list_sort([e[1]**2, e[2]**2, e[3]**2, e[4]**2], 'DESC')[1:2]), 6)::DOUBLE AS residual FROM vectors", "vectors")
+def f810(spark, sf):  # noqa: ANN001, ANN201
+    rows = C.pursue(vectors(spark, sf).select("vec_id", F.slice("e", 1, 4).alias("e")), "e", CENTRES, 2)
+    return rows.select("vec_id", F.get("picks", F.lit(0))["atom"].alias("first_atom"), r(F.col("residual"), "residual"))
+
+
 @query("F807_exceptions", """MORE q AS (SELECT stable_id, abs(x - 250) / 250 AS err FROM points), b AS (SELECT least(4095, floor(err / 0.8 * 4096))::INTEGER AS b, count(*) AS n, sum(err * err) AS s FROM q WHERE err <= 0.8 GROUP BY 1),
 c AS (SELECT b, sum(s) OVER (ORDER BY b) AS run FROM b), k AS (SELECT coalesce(max(b), -1) AS cut FROM c WHERE sqrt(run / (SELECT count(*) FROM q)) <= 0.3) SELECT stable_id, err > 0.8 OR least(4095, floor(err / 0.8 * 4096)) > cut AS repair FROM q, k""", "points")
 def f807(spark, sf):  # noqa: ANN001, ANN201
