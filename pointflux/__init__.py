@@ -1 +1,26 @@
 """pointflux: analytics over time-varying point data on Spark."""
+
+from __future__ import annotations
+
+import tempfile
+import zipfile
+from pathlib import Path
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to Python workers wherever they run; once for each application.
+
+    Spark's file server hands it to executors, those that join later included.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pointflux_shipped", None) == context.applicationId:
+        return
+    here = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="pointflux-")) / "pointflux.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    context.addPyFile(str(path))
+    context._pointflux_shipped = context.applicationId
