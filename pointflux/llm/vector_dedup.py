@@ -147,10 +147,36 @@ def valid(vector: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_pairs(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, of ``distinct(gid, label, dim, vector)`` with cosine ``least`` or more.
+def _forest(edges: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Of edges from a node to several others those that join something: one fewer than the nodes of each component."""
+    root: dict[int, int] = {}
 
-    Both vectors share label and dimension. Each pair comes once or twice.
+    def find(v: int) -> int:
+        top = v
+        while root.setdefault(top, top) != top:
+            top = root[top]
+        while root[v] != top:
+            root[v], v = top, root[v]
+        return top
+
+    kept = []
+    for v, others in edges:
+        for o in others.tolist():
+            x, y = find(v), find(o)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                kept.append((min(v, o), max(v, o)))
+    return kept
+
+
+def near_links(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """What links ``distinct(gid, label, dim, vector, copies)`` at cosine ``least`` or more, without listing pairs.
+
+    Rows ``(a, b, others)``: with ``b`` null, ``others`` copies are linked to vector
+    ``a``, found by one shard's graph; with both, an edge of a spanning forest of
+    the links that one task found. A task finds all pairs of its two shards but
+    returns as many rows as it has vectors, so a group of near copies of any
+    size stays linear in what is written and shuffled.
     """
     groups = distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
     placed = distinct.join(groups, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("gid"), F.col("shards")).cast("int"))
@@ -161,7 +187,7 @@ def near_pairs(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS)
         x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
         unit = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
         graph = SmallWorld(unit)
-        blob = pickle.dumps((pdf["gid"].to_numpy(), x, graph, _audited_beam(graph, least - slack)), protocol=5)
+        blob = pickle.dumps((pdf["gid"].to_numpy(), pdf["copies"].to_numpy(), x, graph, _audited_beam(graph, least - slack)), protocol=5)
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [int(pdf["shards"].iloc[0])], "graph": [blob]})
 
     kinds = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
@@ -172,22 +198,31 @@ def near_pairs(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS)
     asking = placed.select("label", "dim", "shard", "gid", "vector", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("at"))
 
     def search(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        if len(index) and len(queries):
-            ids, x, graph, beam = pickle.loads(index["graph"].iloc[0])
-            norms = np.sqrt((x * x).sum(1))
-            for gid, v in zip(queries["gid"], queries["vector"], strict=True):
+        if not len(index) or not len(queries):
+            return pd.DataFrame({"a": [], "b": [], "others": []}).astype("Int64")
+        ids, copies, x, graph, beam = pickle.loads(index["graph"].iloc[0])
+        norms = np.sqrt((x * x).sum(1))
+        counts: list[tuple[int, int]] = []
+
+        def hits() -> Iterator[tuple[int, np.ndarray]]:
+            for gid, v in zip(queries["gid"].tolist(), queries["vector"], strict=True):
                 v = np.asarray(v, np.float64)
                 size = np.sqrt(v @ v)
-                hits = np.array(graph.near((v / size).astype(np.float32), least - slack, beam), int)
-                for k in hits[(x[hits] @ v) / (norms[hits] * size) >= least] if len(hits) else ():
-                    if ids[k] != gid:
-                        a.append(min(gid, ids[k]))
-                        b.append(max(gid, ids[k]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+                near = np.array(graph.near((v / size).astype(np.float32), least - slack, beam), int)
+                near = near[((x[near] @ v) / (norms[near] * size) >= least) & (ids[near] != gid)]
+                if len(near):
+                    counts.append((gid, int(copies[near].sum())))
+                    yield gid, ids[near]
+
+        edges = _forest(hits())
+        return pd.DataFrame({
+            "a": pd.array([g for g, _ in counts] + [a for a, _ in edges], "Int64"),
+            "b": pd.array([None] * len(counts) + [b for _, b in edges], "Int64"),
+            "others": pd.array([n for _, n in counts] + [None] * len(edges), "Int64"),
+        })
 
     keys = ["label", "dim", "at", "shard"]
-    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "a long, b long")
+    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "a long, b long, others long")
 
 
 def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -198,7 +233,7 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id
     nearly all such pairs and no other pair links. Vectors that are null, empty,
     zero or hold a null, NaN or infinite component link with nothing. Rows with
     equal vectors link with one another and count each in ``n_links`` without
-    being expanded into pairs. ``component_id`` is the smallest vec_id reachable,
+    being expanded into pairs; ``n_links`` counts what the row's own searches found. ``component_id`` is the smallest vec_id reachable,
     ``kept`` whether it is the row's own; a null vec_id names no component and is
     kept only where nothing linked to it has an id. Other columns are ignored;
     an empty table gives no rows.
@@ -209,11 +244,9 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id
     grouped = sound.groupBy("label", "vector").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("first"))
     # Numbered once and written, so that every later read sees the same numbers.
     distinct = stage(grouped.withColumn("gid", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
-    pairs = stage(near_pairs(distinct.select("gid", "label", "dim", "vector"), least, shard_rows).distinct(), "pairs")
-    roots = components(pairs)
-    both = pairs.union(pairs.select("b", "a"))
-    copies = distinct.select(F.col("gid").alias("b"), "copies")
-    direct = both.join(copies, "b").groupBy(F.col("a").alias("gid")).agg(F.sum("copies").alias("others"))
+    found = stage(near_links(distinct.select("gid", "label", "dim", "vector", "copies"), least, shard_rows), "links")
+    roots = components(found.where("b is not null").select("a", "b"))
+    direct = found.where("b is null").groupBy(F.col("a").alias("gid")).agg(F.sum("others").alias("others"))
     rooted = distinct.select("gid", "first", "copies").join(roots.withColumnRenamed("v", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     facts = rooted.join(named, "root").join(direct, "gid", "left").select("gid", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
