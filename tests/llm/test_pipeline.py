@@ -7,7 +7,7 @@ import pytest
 
 import corpus_pipeline
 from pointflux.llm import mixing, quality, queries
-from test_texts import brute_components, brute_fingerprint, brute_spans, words
+from test_texts import brute_near, brute_spans, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -38,8 +38,8 @@ def test_stages_against_brute_force(spark):
     source, kept = seen["quality"]
     assert Counter(kept) == Counter(r for r in source if score(r.text) >= 0.5)
     source, kept = seen["near_dedup"]
-    roots = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in source])
-    assert Counter(kept) == Counter(r for r in source if roots[r.doc_id, brute_fingerprint(r.text)] == r.doc_id)
+    least = brute_near([(r.doc_id, r.text) for r in source])
+    assert Counter(kept) == Counter(r for r in source if least[r.doc_id, r.text] == r.doc_id)
     source, out = seen["pii"]
     texts = {r.doc_id: r.text for r in out}
     assert len(out) == len(source) and all(texts[r.doc_id] == redacted(r.text) for r in source)

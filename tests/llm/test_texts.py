@@ -90,6 +90,61 @@ def test_simhash_keeps_one_of_each(odd_docs):
     assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(None) == 2
 
 
+def brute_near(rows, least=0.8):
+    """``{(doc_id, text): component_id}`` by comparing all pairs of five-word shingle sets."""
+    sets = {}
+    for d, t in rows:
+        w = words(t)
+        k = min(5, len(w))
+        sets[d, t] = frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+    distinct = sorted(set(sets.values()), key=lambda s: (len(s), sorted(s)))
+    root = {s: s for s in distinct}
+
+    def find(s):
+        while root[s] != s:
+            s = root[s]
+        return s
+
+    for i, a in enumerate(distinct):
+        for b in distinct[i + 1 :]:
+            if len(a) >= least * len(b) and len(a & b) >= least * len(a | b) - 1e-9:
+                root[find(b)] = find(a)
+    first = {}
+    for (d, _), s in sets.items():
+        if d is not None:
+            first[find(s)] = min(d, first.get(find(s), d))
+    return {x: first.get(find(s)) for x, s in sets.items()}
+
+
+@pytest.mark.parametrize("part", [simhash_dedup.PART, 300])
+def test_near_copies_against_brute_force(spark, part):
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    texts, passage = [], [word() for _ in range(40)]
+    for n in (30, 60, 150, 400):
+        for _ in range(3):
+            base = [word() for _ in range(n)]
+            for edits in (0, 0, 1, 1, 2, n // 40, n // 30, n // 10):
+                copy = list(base)
+                for at in rng.integers(0, n, edits):
+                    copy[at] = word()
+                texts.append(" ".join(copy))
+    texts += [" ".join([*passage, *(word() for _ in range(60))]) for _ in range(30)]
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    got = simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()
+    want = {d: c for (d, _), c in brute_near(rows).items()}
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
+    assert len(set(want.values())) > 45
+
+
+def test_near_copies_odd_rows(odd_docs, no_docs):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
+    want = brute_near([r for r in rows if r[0] is not None])
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.one_of_each(odd_docs).collect()]
+    assert Counter(kept) == Counter(r for r in rows if r[0] is None or want[r] == r[0])
+    assert simhash_dedup.near_copies(no_docs).count() == 0 and simhash_dedup.one_of_each(no_docs).count() == 0
+
+
 def test_components_long_path_and_star(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5), (7, 6)]
     got = {r.v: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
