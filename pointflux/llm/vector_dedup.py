@@ -27,6 +27,8 @@ LINKS = 12
 BEAM = 48
 AUDITS = 48
 RECALL = 0.98
+#: The graphs work in single precision.
+SLACK = 1e-5
 
 
 class SmallWorld:
@@ -169,60 +171,106 @@ def _forest(edges: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     return kept
 
 
+class Pairs:
+    """A bit for each pair of a vector of one shard and a vector of another or the same one: 32 MB for two full shards."""
+
+    def __init__(self, n: int, m: int, same: bool) -> None:
+        self.bits, self.m, self.same = np.zeros((n, (m + 7) // 8), np.uint8), m, same
+
+    def add(self, row: int, cols: np.ndarray, turned: bool = False) -> None:
+        """Link ``row`` with ``cols``; ``turned``: ``row`` is of the second shard, ``cols`` are of the first."""
+        if not turned:
+            line = np.zeros(self.m, bool)
+            line[cols] = True
+            self.bits[row] |= np.packbits(line)
+        if turned or self.same:
+            self.bits[cols, row >> 3] |= np.uint8(128 >> (row & 7))
+
+    def __iter__(self) -> Iterator[tuple[int, np.ndarray]]:
+        for i in np.nonzero(self.bits.any(1))[0].tolist():
+            yield i, np.nonzero(np.unpackbits(self.bits[i], count=self.m))[0]
+
+
+class Shard:
+    """Vectors of a label with their numbers, their copies and their graph."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float) -> None:
+        self.ids, self.copies, self.x = ids, copies, x
+        self.norms = np.sqrt((x * x).sum(1))
+        self.unit = (x / self.norms[:, None]).astype(np.float32)
+        self.graph = SmallWorld(self.unit)
+        self.beam = _audited_beam(self.graph, least - SLACK)
+
+
+def _search(queries: Shard, index: Shard, pairs: Pairs, least: float, turned: bool = False) -> None:
+    """Enter into ``pairs`` what the graph of ``index`` finds for ``queries``, verified in double precision."""
+    for i in range(len(queries.ids)):
+        near = np.array(index.graph.near(queries.unit[i], least - SLACK, index.beam), int)
+        near = near[((index.x[near] @ queries.x[i]) / (index.norms[near] * queries.norms[i]) >= least) & (index.ids[near] != queries.ids[i])]
+        if len(near):
+            pairs.add(i, near, turned)
+
+
+def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
+    """Linked copies by vector, and a spanning forest, of the links between two shards or within one.
+
+    Each searches the other's graph; a link that one end's search found counts once for both ends.
+    """
+    same = a is b
+    pairs = Pairs(len(a.ids), len(b.ids), same)
+    _search(a, b, pairs, least)
+    if not same:
+        _search(b, a, pairs, least, turned=True)
+    rows, cols = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
+
+    def edges() -> Iterator[tuple[int, np.ndarray]]:
+        for i, near in pairs:
+            rows[i] = b.copies[near].sum()
+            cols[near] += a.copies[i]
+            yield int(a.ids[i]), b.ids[near]
+
+    forest = _forest(edges())
+    counts = {int(g): int(n) for g, n in zip(a.ids, rows) if n}
+    if not same:
+        counts |= {int(g): int(n) for g, n in zip(b.ids, cols) if n}
+    return counts, forest
+
+
 def near_links(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """What links ``distinct(gid, label, dim, vector, copies)`` at cosine ``least`` or more, without listing pairs.
 
     Rows ``(a, b, others)``: with ``b`` null, ``others`` copies are linked to vector
-    ``a``, found by one shard's graph; with both, an edge of a spanning forest of
-    the links that one task found. A task finds all pairs of its two shards but
-    returns as many rows as it has vectors, so a group of near copies of any
-    size stays linear in what is written and shuffled.
+    ``a`` by what one task found; with both, an edge of a spanning forest of
+    the links that one task found. A task finds all pairs of its two shards, from
+    both ends, but returns as many rows as it has vectors, so a group of near
+    copies of any size stays linear in what is written and shuffled.
     """
     groups = distinct.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n")).select("label", "dim", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"))
     placed = distinct.join(groups, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("gid"), F.col("shards")).cast("int"))
-    slack = 1e-5  # the graph works in single precision
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gid")
-        x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-        unit = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
-        graph = SmallWorld(unit)
-        blob = pickle.dumps((pdf["gid"].to_numpy(), pdf["copies"].to_numpy(), x, graph, _audited_beam(graph, least - slack)), protocol=5)
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [int(pdf["shards"].iloc[0])], "graph": [blob]})
+        shard = Shard(pdf["gid"].to_numpy(), pdf["copies"].to_numpy(), np.stack(pdf["vector"].to_numpy()).astype(np.float64), least)
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [int(pdf["shards"].iloc[0])], "graph": [pickle.dumps(shard, protocol=5)]})
 
     kinds = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}
     built = placed.groupBy("label", "dim", "shard").applyInPandas(build, f"label {kinds['label']}, dim int, shard int, shards int, graph binary")
-    graphs = stage(built, "graphs")
-    # Each shard's vectors meet the graph of every shard of their label: one task for each pair of shards.
-    asked = graphs.select("label", "dim", F.col("shard").alias("at"), "graph", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    asking = placed.select("label", "dim", "shard", "gid", "vector", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("at"))
-
-    def search(key: tuple, queries: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
-        if not len(index) or not len(queries):
-            return pd.DataFrame({"a": [], "b": [], "others": []}).astype("Int64")
-        ids, copies, x, graph, beam = pickle.loads(index["graph"].iloc[0])
-        norms = np.sqrt((x * x).sum(1))
-        counts: list[tuple[int, int]] = []
-
-        def hits() -> Iterator[tuple[int, np.ndarray]]:
-            for gid, v in zip(queries["gid"].tolist(), queries["vector"], strict=True):
-                v = np.asarray(v, np.float64)
-                size = np.sqrt(v @ v)
-                near = np.array(graph.near((v / size).astype(np.float32), least - slack, beam), int)
-                near = near[((x[near] @ v) / (norms[near] * size) >= least) & (ids[near] != gid)]
-                if len(near):
-                    counts.append((gid, int(copies[near].sum())))
-                    yield gid, ids[near]
-
-        edges = _forest(hits())
+    # One task for each pair of a label's shards, and for each shard with itself.
+    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other")
+    met = stage(built, "graphs").select("label", "dim", "shard", "graph", other)
+    met = met.select("label", "dim", F.least("shard", "other").alias("p"), F.greatest("shard", "other").alias("q"), "graph")
+
+    def search(met: pd.DataFrame) -> pd.DataFrame:
+        shards = [pickle.loads(x) for x in met["graph"]]
+        # A pair with a shard that got no vector has one row, though its shards differ.
+        counts, edges = shard_links(shards[0], shards[-1], least) if len(shards) == 2 or met["p"].iloc[0] == met["q"].iloc[0] else ({}, [])
         return pd.DataFrame({
-            "a": pd.array([g for g, _ in counts] + [a for a, _ in edges], "Int64"),
+            "a": pd.array([*counts] + [a for a, _ in edges], "Int64"),
             "b": pd.array([None] * len(counts) + [b for _, b in edges], "Int64"),
-            "others": pd.array([n for _, n in counts] + [None] * len(edges), "Int64"),
+            "others": pd.array([*counts.values()] + [None] * len(edges), "Int64"),
         })
 
-    keys = ["label", "dim", "at", "shard"]
-    return asking.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "a long, b long, others long")
+    return met.groupBy("label", "dim", "p", "q").applyInPandas(search, "a long, b long, others long")
 
 
 def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -233,8 +281,8 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id
     nearly all such pairs and no other pair links. Vectors that are null, empty,
     zero or hold a null, NaN or infinite component link with nothing. Rows with
     equal vectors link with one another and count each in ``n_links`` without
-    being expanded into pairs; ``n_links`` counts what the row's own searches found. ``component_id`` is the smallest vec_id reachable,
-    ``kept`` whether it is the row's own; a null vec_id names no component and is
+    being expanded into pairs; a link that either end's search found counts for
+    both. ``component_id`` is the smallest vec_id reachable, ``kept`` whether it is the row's own; a null vec_id names no component and is
     kept only where nothing linked to it has an id. Other columns are ignored;
     an empty table gives no rows.
     """

@@ -62,6 +62,41 @@ def test_dedup_against_brute_force(spark, shard_rows):
     assert all(r.n_links == 0 and r.kept for r in alone.values()) and len(alone) == 8
 
 
+def near_copies():
+    """Six groups of 120 near copies, on which graph searches are not symmetric."""
+    rng = np.random.default_rng(2)
+    c = rng.normal(size=(6, 8))
+    x = np.repeat(c / np.sqrt((c * c).sum(1))[:, None], 120, 0) + rng.normal(size=(720, 8)) * 0.02
+    return x.astype(np.float32).astype(float)
+
+
+def real_links(a, b):
+    return ((a.x @ b.x.T) / (a.norms[:, None] * b.norms) >= 0.98) & (a.ids[:, None] != b.ids)
+
+
+def found_links(a, b):
+    found = np.zeros((len(a.ids), len(b.ids)), bool)
+    for i in range(len(a.ids)):
+        found[i, b.graph.near(a.unit[i], 0.98 - 1e-5, vector_dedup.BEAM)] = True
+    return found & real_links(a, b)
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_links_count_for_both_ends(parts):
+    x, ids, copies = near_copies(), np.arange(720), np.arange(720) % 3 + 1
+    shards = [vector_dedup.Shard(ids[k::parts], copies[k::parts], x[k::parts], 0.98) for k in range(parts)]
+    a, b = shards[0], shards[-1]
+    there, back = found_links(a, b), found_links(b, a).T
+    assert parts == 2 or (there != back).any()
+    least, most = (there | back), real_links(a, b)
+    counts, forest = vector_dedup.shard_links(a, b, 0.98)
+    for side, turn in ((a, np.asarray), (b, np.transpose)):
+        other = b if side is a else a
+        got = np.array([counts.get(g, 0) for g in side.ids.tolist()])
+        assert (turn(least) @ other.copies <= got).all() and (got <= turn(most) @ other.copies).all()
+    assert len(forest) < 720
+
+
 def test_dedup_empty(spark):
     assert vector_dedup.dedup_vectors(table(spark, [])).count() == 0
     assert vector_dedup.dedup_vectors(table(spark, ODD[:2])).count() == 2
