@@ -3,8 +3,9 @@
 Equal vectors of a label count once. The distinct vectors of a label are dealt
 over shards of a bounded size; each shard gets a hierarchical graph, and every
 vector queries the graph of every shard of its label. A search's beam doubles
-while it is full of links, and for a whole shard until audited queries find
-their brute-force links. Cosines are verified in double precision.
+while it is full of links, and for a pair of shards until audited queries find
+their brute-force links; where no beam does, the pair is compared by brute
+force. Cosines are verified in double precision.
 """
 
 from __future__ import annotations
@@ -128,20 +129,6 @@ class SmallWorld:
             beam *= 2
 
 
-def _audited_beam(graph: SmallWorld, least: float) -> int:
-    """The smallest doubling of BEAM at which audited nodes find RECALL of their links."""
-    n = len(graph.x)
-    picks = np.random.default_rng(5).permutation(n)[:AUDITS]
-    truth = [set(np.nonzero(graph.x @ graph.x[i] >= least)[0].tolist()) for i in picks]
-    total, beam = sum(map(len, truth)), BEAM
-    while beam < n:
-        found = sum(len(t & set(graph.near(graph.x[i], least, beam))) for i, t in zip(picks, truth, strict=True))
-        if found >= RECALL * total:
-            break
-        beam *= 2
-    return beam
-
-
 def valid(vector: Column) -> Column:
     """Whether a vector can link: not null or empty, no null, NaN or infinite component, not all zero."""
     v = vector
@@ -194,21 +181,68 @@ class Pairs:
 class Shard:
     """Vectors of a label with their numbers, their copies and their graph."""
 
-    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray, least: float) -> None:
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, x: np.ndarray) -> None:
         self.ids, self.copies, self.x = ids, copies, x
         self.norms = np.sqrt((x * x).sum(1))
         self.unit = (x / self.norms[:, None]).astype(np.float32)
         self.graph = SmallWorld(self.unit)
-        self.beam = _audited_beam(self.graph, least - SLACK)
 
 
-def _search(queries: Shard, index: Shard, pairs: Pairs, least: float, turned: bool = False) -> None:
-    """Enter into ``pairs`` what the graph of ``index`` finds for ``queries``, verified in double precision."""
-    for i in range(len(queries.ids)):
-        near = np.array(index.graph.near(queries.unit[i], least - SLACK, index.beam), int)
-        near = near[((index.x[near] @ queries.x[i]) / (index.norms[near] * queries.norms[i]) >= least) & (index.ids[near] != queries.ids[i])]
+def _graph_links(queries: Shard, index: Shard, i: int, least: float, beam: int) -> np.ndarray:
+    """What the graph of ``index`` finds for one query, verified in double precision."""
+    near = np.array(index.graph.near(queries.unit[i], least - SLACK, beam), int)
+    return near[((index.x[near] @ queries.x[i]) / (index.norms[near] * queries.norms[i]) >= least) & (index.ids[near] != queries.ids[i])]
+
+
+def _all_links(queries: Shard, index: Shard, rows: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """All links of some queries, by brute force in blocks."""
+    for at in range(0, len(rows), AUDITS):
+        block = rows[at : at + AUDITS]
+        hits = (queries.x[block] @ index.x.T) / (queries.norms[block][:, None] * index.norms) >= least
+        hits &= queries.ids[block][:, None] != index.ids
+        for i, hit in zip(block.tolist(), hits, strict=True):
+            yield i, np.nonzero(hit)[0]
+
+
+def _audited_beam(queries: Shard, index: Shard, audits: list[tuple[int, np.ndarray]], least: float) -> int | None:
+    """The smallest doubling of BEAM at which audited queries find RECALL of their links, of all and on average; None: no beam does."""
+    spare = [(1 - RECALL) * sum(len(t) for _, t in audits), (1 - RECALL) * len(audits)]
+    beam = BEAM
+    while beam < len(index.ids):
+        missed = [0, 0.0]
+        for i, t in audits:
+            n = len(t) - len(np.intersect1d(t, _graph_links(queries, index, i, least, beam), assume_unique=True))
+            missed = [missed[0] + n, missed[1] + n / len(t)]
+            if missed[0] > spare[0] or missed[1] > spare[1]:
+                break
+        else:
+            return beam
+        beam *= 2
+    return None
+
+
+def _search(queries: Shard, index: Shard, pairs: Pairs, least: float, turned: bool = False) -> bool:
+    """Enter links of ``queries`` with ``index`` into ``pairs``; whether these are all, by brute force.
+
+    Queries are drawn and compared with all of ``index`` until AUDITS of them
+    have links other than with themselves. If the graph finds those, it answers
+    the queries not drawn; if no beam does, brute force answers them as well.
+    """
+    order = np.random.default_rng(5).permutation(len(queries.ids))
+    audits: list[tuple[int, np.ndarray]] = []
+    drawn = 0
+    while drawn < len(order) and len(audits) < AUDITS:
+        audits += [(i, t) for i, t in _all_links(queries, index, order[drawn : drawn + AUDITS], least) if len(t)]
+        drawn += AUDITS
+    for i, t in audits:
+        pairs.add(i, t, turned)
+    rest = order[drawn:]
+    beam = _audited_beam(queries, index, audits, least) if len(rest) else None
+    found = _all_links(queries, index, rest, least) if beam is None else ((i, _graph_links(queries, index, i, least, beam)) for i in rest.tolist())
+    for i, near in found:
         if len(near):
             pairs.add(i, near, turned)
+    return beam is None
 
 
 def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
@@ -218,8 +252,7 @@ def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[
     """
     same = a is b
     pairs = Pairs(len(a.ids), len(b.ids), same)
-    _search(a, b, pairs, least)
-    if not same:
+    if not _search(a, b, pairs, least) and not same:
         _search(b, a, pairs, least, turned=True)
     rows, cols = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
 
@@ -250,7 +283,7 @@ def near_links(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS)
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("gid")
-        shard = Shard(pdf["gid"].to_numpy(), pdf["copies"].to_numpy(), np.stack(pdf["vector"].to_numpy()).astype(np.float64), least)
+        shard = Shard(pdf["gid"].to_numpy(), pdf["copies"].to_numpy(), np.stack(pdf["vector"].to_numpy()).astype(np.float64))
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "shards": [int(pdf["shards"].iloc[0])], "graph": [pickle.dumps(shard, protocol=5)]})
 
     kinds = {f.name: f.dataType.simpleString() for f in distinct.schema.fields}

@@ -84,7 +84,7 @@ def found_links(a, b):
 @pytest.mark.parametrize("parts", [1, 2])
 def test_links_count_for_both_ends(parts):
     x, ids, copies = near_copies(), np.arange(720), np.arange(720) % 3 + 1
-    shards = [vector_dedup.Shard(ids[k::parts], copies[k::parts], x[k::parts], 0.98) for k in range(parts)]
+    shards = [vector_dedup.Shard(ids[k::parts], copies[k::parts], x[k::parts]) for k in range(parts)]
     a, b = shards[0], shards[-1]
     there, back = found_links(a, b), found_links(b, a).T
     assert parts == 2 or (there != back).any()
@@ -97,6 +97,50 @@ def test_links_count_for_both_ends(parts):
     assert len(forest) < 720
 
 
+def rare_links(n=900, pairs=61):
+    """Few links, all of them rare among the audited vectors."""
+    x = np.random.default_rng(6).normal(size=(n, 12))
+    x[:pairs] = x[pairs : 2 * pairs] + np.random.default_rng(7).normal(size=(pairs, 12)) * 0.02
+    return x
+
+
+class Cut:
+    """A graph that reaches the even nodes only, whatever the beam."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def near(self, q, least, beam):
+        return [k for k in np.nonzero(self.x @ q >= least)[0].tolist() if k % 2 == 0]
+
+
+@pytest.mark.parametrize("x", [rare_links(), near_copies()], ids=["rare", "groups"])
+@pytest.mark.parametrize("parts", [1, 2])
+def test_links_of_a_cut_graph(x, parts):
+    shards = [vector_dedup.Shard(np.arange(len(x))[k::parts], np.ones(len(x), int)[k::parts], x[k::parts]) for k in range(parts)]
+    for s in shards:
+        s.graph = Cut(s.unit)
+    a, b = shards[0], shards[-1]
+    counts, _ = vector_dedup.shard_links(a, b, 0.98)
+    real = real_links(a, b)
+    assert real.any()
+    want = dict(zip(a.ids.tolist(), real.sum(1).tolist())) | dict(zip(b.ids.tolist(), real.sum(0).tolist()))
+    assert counts == {g: n for g, n in want.items() if n}
+
+
+def test_audits_have_links_of_their_own():
+    """Self hits and queries without links decide nothing: the beam is the smallest that finds the drawn links."""
+    x = near_copies()
+    a = vector_dedup.Shard(np.arange(720), np.ones(720, int), x)
+    audits = [(i, t) for i, t in vector_dedup._all_links(a, a, np.arange(0, 720, 15), 0.98)]
+    assert all(i not in t and len(t) for i, t in audits)
+    beam = vector_dedup._audited_beam(a, a, audits, 0.98)
+    found = sum(len(set(t.tolist()) & set(vector_dedup._graph_links(a, a, i, 0.98, beam).tolist())) for i, t in audits)
+    assert found >= vector_dedup.RECALL * sum(len(t) for _, t in audits)
+    a.graph = Cut(a.unit)
+    assert vector_dedup._audited_beam(a, a, audits, 0.98) is None
+
+
 def test_dedup_empty(spark):
     assert vector_dedup.dedup_vectors(table(spark, [])).count() == 0
     assert vector_dedup.dedup_vectors(table(spark, ODD[:2])).count() == 2
