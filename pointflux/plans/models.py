@@ -102,25 +102,39 @@ def f814(spark, sf):  # noqa: ANN001, ANN201
     return C.hash_grid(rows, ["v"], ["x", "y", "z"], 8.0, 512).select("track", "k", F.col("v").cast("long").alias("residual"))
 
 
-@query("F815_rans_round_trip", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, true AS same FROM documents WHERE n_chars < 2000 AND n_chars > 0")
-def f815(spark, sf):  # noqa: ANN001, ANN201
+def rans_round_trip(docs):  # noqa: ANN001, ANN201
+    """``(doc_id, n, same)``: bytes of each text, and whether coding gives them again; null for a null text."""
     import pandas as pd
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
             out = []
             for d, raw in zip(pdf["doc_id"], pdf["raw"], strict=True):
+                if raw is None:
+                    out.append((d, None, None))
+                    continue
                 counts = [0] * 256
                 for b in raw:
                     counts[b] += 1
                 freqs = X.normalized_frequencies(counts)
                 out.append((d, len(raw), X.rans_decode(X.rans_encode(raw, freqs), freqs, len(raw)) == bytes(raw)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "same"])
+            ids, n, same = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": pd.array(n, "Int64"), "same": pd.array(same, "boolean")})
 
-    rows = read(spark, sf, "documents").where("n_chars < 2000 and n_chars > 0").select("doc_id", F.encode("text", "UTF-8").alias("raw"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("raw"))
     return rows.mapInPandas(run, "doc_id long, n long, same boolean")
 
 
+@query("F815_rans_round_trip", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, true AS same FROM documents WHERE n_chars < 2000 AND n_chars > 0")
+def f815(spark, sf):  # noqa: ANN001, ANN201
+    return rans_round_trip(read(spark, sf, "documents").where("n_chars < 2000 and n_chars > 0"))
+
+
+@query("F815_rans_round_trip_all")
+def f815_all(spark, sf):  # noqa: ANN001, ANN201
+    return rans_round_trip(read(spark, sf, "documents"))
+
+
 GOLOMB = " UNION ALL ".join(f"SELECT {m} AS divisor, sum(code // {m} + 1 + {'0' if m == 1 else f'CASE WHEN code % {m} < {(1 << (m - 1).bit_length()) - m} THEN {(m - 1).bit_length() - 1} ELSE {(m - 1).bit_length()} END'})::BIGINT AS bits FROM signal" for m in (1, 100, 512, 1000, 2048))
 
 
