@@ -50,12 +50,12 @@ def border_edges(triangles: DataFrame) -> DataFrame:
 
 
 def large_components(triangles: DataFrame, least: int = 24, share: float = 0.0015) -> DataFrame:
-    """Triangles of components with at least max(24, 0.15 % of the largest) triangles."""
+    """Triangles of components with at least max(24, 0.15 % of the largest, rounded down) triangles."""
     e = triangle_edges(triangles)
     roots = connected(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
     placed = triangles.join(roots.withColumnRenamed("v", "a"), "a")
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.agg(F.greatest(F.lit(float(least)), F.max("n") * share).alias("need"))
+    largest = sizes.agg(F.greatest(F.lit(float(least)), F.floor(F.max("n") * share)).alias("need"))
     good = sizes.crossJoin(F.broadcast(largest)).where("n >= need").select("root", "n")
     return placed.join(good, "root").select("t", "a", "b", "c", "root", "n")
 

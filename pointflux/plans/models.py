@@ -152,6 +152,18 @@ def f817(spark, sf):  # noqa: ANN001, ANN201
     return M.connected(rows.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b")).distinct())
 
 
+def line_triangles(spark, sf):  # noqa: ANN001, ANN201
+    """``(t, a, b, c)``: a triangle of order, part and supplier for each distinct three on a line; the kinds' numbers never meet."""
+    lines = read(spark, sf, "lineitem").where("l_orderkey is not null and l_partkey is not null and l_suppkey is not null")
+    corners = [(F.col(f"l_{k}key").cast("long") * 3 + i).alias(c) for i, (k, c) in enumerate(zip(("order", "part", "supp"), "abc", strict=True))]
+    return lines.select(*corners).distinct().select(F.concat_ws("/", "a", "b", "c").alias("t"), "a", "b", "c")
+
+
+@query("F817_large_components")
+def f817_large(spark, sf):  # noqa: ANN001, ANN201
+    return M.large_components(line_triangles(spark, sf))
+
+
 TRI = """tri AS (SELECT track AS t, (track % 97)::BIGINT AS a, (97 + track % 89)::BIGINT AS b, (186 + track % 83)::BIGINT AS c FROM (SELECT DISTINCT track FROM keys)),
 vert AS (SELECT stable_id AS v, x, y, z FROM points WHERE stable_id < 269)"""
 

@@ -1,6 +1,12 @@
 """Queries that cover whole tables, against brute force: the ones whose SQL leaves rows out have a twin without it."""
 
+import math
+from collections import Counter
+
+import pytest
+
 from pointflux import plans
+from pointflux.operators import mesh
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +28,46 @@ def test_rans_of_odd_texts(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: (r.n, r.same) for r in rans_round_trip(rows).collect()}
     assert got == {k: (None, None) if t is None else (len(t.encode()), True) for k, t in enumerate(texts)}
+
+
+def brute_components(triangles):
+    """Triangles of components with at least max(24, 0.15 % of the largest, rounded down): (t, root, n)."""
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for _, *corners in triangles:
+        for v in corners[1:]:
+            x, y = find(corners[0]), find(v)
+            root[max(x, y)] = min(x, y)
+    sizes = Counter(find(a) for _, a, _, _ in triangles)
+    need = max(24, math.floor(0.0015 * max(sizes.values())))
+    return sorted((t, find(a), sizes[find(a)]) for t, a, _, _ in triangles if sizes[find(a)] >= need)
+
+
+@pytest.mark.parametrize("largest", [40, 20_500])
+def test_large_components(spark, largest):
+    """Strips of triangles: just below and at 24, just below and at 30 (0.15 % of 20,500 is 30.75), and the largest."""
+    rows, start = [], 0
+    for k, n in enumerate((23, 24, 29, 30, largest)):
+        rows += [(f"{k}/{i}", start + i, start + i + 1, start + i + 2) for i in range(n)]
+        start += n + 10
+    # Numbers dealt over the vertices, so that the smallest isn't at a strip's end.
+    rows = [(t, *(v * 7919 % 1_000_003 for v in corners)) for t, *corners in rows] if largest < 1_000 else rows[:-largest] + [(f"4/{i}", start, start + i + 1, start + i + 2) for i in range(largest)]
+    frame = spark.createDataFrame(rows, "t string, a long, b long, c long")
+    got = sorted((r.t, r.root, r.n) for r in mesh.large_components(frame).collect())
+    assert got == brute_components(rows)
+    assert {n for _, _, n in got} == ({24, 29, 30, 40} if largest == 40 else {30, 20_500})
+
+
+def lines(spark):
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").distinct().collect()
+    return [(f"{3 * o}/{3 * p + 1}/{3 * s + 2}", 3 * o, 3 * p + 1, 3 * s + 2) for o, p, s in rows]
+
+
+def test_large_components_of_all_lines(spark):
+    got = sorted((r.t, r.root, r.n) for r in plans.QUERIES["F817_large_components"](spark, SF).collect())
+    assert got == brute_components(lines(spark))
