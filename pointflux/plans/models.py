@@ -192,6 +192,11 @@ def f820(spark, sf):  # noqa: ANN001, ANN201
     return M.border_edges(_mesh(spark, sf)[0].where("t % 50 = 0"))
 
 
+@query("F820_border_edges_all")
+def f820_all(spark, sf):  # noqa: ANN001, ANN201
+    return M.border_edges(line_triangles(spark, sf))
+
+
 @query("F821_signed_volume", f"MORE {TRI} SELECT round(sum(pa.x * (pb.y * pc.z - pb.z * pc.y) + pa.y * (pb.z * pc.x - pb.x * pc.z) + pa.z * (pb.x * pc.y - pb.y * pc.x)) / 6 / 1e9, 3) AS volume, count(*) AS triangles FROM tri t JOIN vert pa ON pa.v = t.a JOIN vert pb ON pb.v = t.b JOIN vert pc ON pc.v = t.c", "keys points")
 def f821(spark, sf):  # noqa: ANN001, ANN201
     return M.signed_volume(*_mesh(spark, sf)).select((F.round(F.col("volume") / 1e9, 3) + 0.0).alias("volume"), "triangles")

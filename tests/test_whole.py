@@ -71,3 +71,10 @@ def lines(spark):
 def test_large_components_of_all_lines(spark):
     got = sorted((r.t, r.root, r.n) for r in plans.QUERIES["F817_large_components"](spark, SF).collect())
     assert got == brute_components(lines(spark))
+
+
+def test_border_of_all_lines(spark):
+    count = Counter(tuple(sorted(e)) for _, a, b, c in lines(spark) for e in ((a, b), (b, c), (c, a)))
+    got = sorted(tuple(r) for r in plans.QUERIES["F820_border_edges_all"](spark, SF).collect())
+    assert got == sorted(e for e, n in count.items() if n == 1)
+    assert 0 < len(got) < len(count)
