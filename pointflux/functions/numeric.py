@@ -91,11 +91,13 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def format_bytes(n: Column) -> Column:
-    """Decimal units with one digit, bytes without."""
-    steps = [(1e9, "GB"), (1e6, "MB"), (1e3, "kB")]
-    out = F.format_string("%d B", n.cast("long"))
-    for size, unit in reversed(steps):
-        out = F.when(n >= size, F.format_string(f"%.1f {unit}", n / size)).otherwise(out)
+    """Decimal units with one digit, ties rounded up, bytes without; the unit is chosen before rounding. Null gives null."""
+    n = n.cast("long")
+    div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
+    out = F.when(n.isNotNull(), F.format_string("%d B", n))
+    for size, unit in ((10**3, "kB"), (10**6, "MB"), (10**9, "GB")):
+        tenths = div(n % size * 10 + size // 2, size)  # of the rest; 10 carry over
+        out = F.when(n >= size, F.format_string(f"%d.%d {unit}", div(n, size) + div(tenths, 10), tenths % 10)).otherwise(out)
     return out
 
 

@@ -173,3 +173,8 @@ def f720(spark, sf):  # noqa: ANN001, ANN201
 @query("F721_format_bytes", "SELECT doc_id, CASE WHEN n_chars >= 1000 THEN printf('%.1f kB', n_chars / 1000.0) ELSE printf('%d B', n_chars) END AS size FROM documents WHERE n_chars < 1000000 AND n_chars % 100 != 50")
 def f721(spark, sf):  # noqa: ANN001, ANN201
     return read(spark, sf, "documents").where("n_chars < 1000000 and n_chars % 100 != 50").select("doc_id", N.format_bytes(F.col("n_chars")).alias("size"))
+
+
+@query("F721_format_bytes_all")
+def f721_all(spark, sf):  # noqa: ANN001, ANN201
+    return read(spark, sf, "documents").select("doc_id", N.format_bytes(F.col("n_chars")).alias("size"))

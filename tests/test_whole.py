@@ -4,8 +4,10 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from pointflux import plans
+from pointflux.functions import numeric
 from pointflux.operators import mesh
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +80,26 @@ def test_border_of_all_lines(spark):
     got = sorted(tuple(r) for r in plans.QUERIES["F820_border_edges_all"](spark, SF).collect())
     assert got == sorted(e for e, n in count.items() if n == 1)
     assert 0 < len(got) < len(count)
+
+
+def size_text(n):
+    """Decimal units with one digit, ties rounded up."""
+    for size, unit in ((10**9, "GB"), (10**6, "MB"), (10**3, "kB")):
+        if n >= size:
+            tenths = (20 * n + size) // (2 * size)
+            return f"{tenths // 10}.{tenths % 10} {unit}"
+    return f"{n} B"
+
+
+def test_sizes_of_all_documents(spark):
+    got = sorted(tuple(r) for r in plans.QUERIES["F721_format_bytes_all"](spark, SF).collect())
+    assert got == sorted((d, size_text(n)) for d, _, n in docs(spark))
+
+
+def test_size_units_and_ties(spark):
+    sizes = [0, 999, 1000, 1049, 1050, 1149, 1150, 1250, 1950, 9950, 999_949, 999_950, 999_999, 10**6, 1_050_000, 1_149_999, 1_150_000, 999_950_000, 10**9, 1_250_000_000, 2**62]
+    sizes += [k * 1000 + 50 + 100 * (k % 10) for k in range(1, 999, 7)]
+    rows = spark.createDataFrame([(n,) for n in [*sizes, None]], "n long")
+    got = {r.n: r.size for r in rows.select("n", numeric.format_bytes(F.col("n")).alias("size")).collect()}
+    assert got == {None: None} | {n: size_text(n) for n in sizes}
+    assert got[1150] == "1.2 kB" and got[999_950] == "1000.0 kB" and got[1_050_000] == "1.1 MB" and got[1_250_000_000] == "1.3 GB"
