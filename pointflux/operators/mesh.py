@@ -2,40 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CORNERS = ("a", "b", "c")
-
+from .graph import components
 
-def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table in the folder all executors share."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        top = "file://" + tempfile.gettempdir() if local else spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{top.rstrip('/')}/mesh-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def connected(edges: DataFrame) -> DataFrame:
-    """``(v, root)`` of an undirected graph ``edges(a, b)``: smallest labels spread and jump until none changes."""
-    both = edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select("b", "a")).distinct()
-    both = _written(both)
-    labels = _written(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("root", F.col("v")))
-    while True:
-        heard = both.join(labels.select(F.col("v").alias("b"), "root"), "b").groupBy(F.col("a").alias("v")).agg(F.min("root").alias("m"))
-        step = labels.join(heard, "v", "left").select("v", F.least("root", F.coalesce("m", "root")).alias("new"), "root")
-        jump = step.select(F.col("v").alias("new"), F.col("new").alias("far"))
-        after = _written(step.join(jump, "new").select("v", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved")))
-        if not after.where("moved").limit(1).count():
-            return after.select("v", "root")
-        labels = after.select("v", "root")
+CORNERS = ("a", "b", "c")
 
 
 def triangle_edges(triangles: DataFrame) -> DataFrame:
@@ -52,7 +24,7 @@ def border_edges(triangles: DataFrame) -> DataFrame:
 def large_components(triangles: DataFrame, least: int = 24, share: float = 0.0015) -> DataFrame:
     """Triangles of components with at least max(24, 0.15 % of the largest, rounded down) triangles."""
     e = triangle_edges(triangles)
-    roots = connected(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    roots = components(e.select(F.col("u").alias("a"), F.col("v").alias("b")))
     placed = triangles.join(roots.withColumnRenamed("v", "a"), "a")
     sizes = placed.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     largest = sizes.agg(F.greatest(F.lit(float(least)), F.floor(F.max("n") * share)).alias("need"))

@@ -9,6 +9,7 @@ from ..operators import codebooks as C
 from ..operators import fits as Z
 from ..operators import mesh as M
 from ..operators import streams as X
+from ..operators.graph import components
 from .base import keys, points, query, read, signal, vectors
 from .layout import CODE, _coded
 from .sampling import r
@@ -149,7 +150,7 @@ GRAPH = "e AS (SELECT DISTINCT l_orderkey AS a, 10000000 + l_partkey AS b FROM l
 @query("F817_connected_components", f"WITH RECURSIVE {GRAPH}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS v, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.v) SELECT v, min(root) AS root FROM r GROUP BY 1")
 def f817(spark, sf):  # noqa: ANN001, ANN201
     rows = read(spark, sf, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    return M.connected(rows.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b")).distinct())
+    return components(rows.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b")).distinct())
 
 
 def line_triangles(spark, sf):  # noqa: ANN001, ANN201
