@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, cut, pieces, running
+
 OPEN, SPLIT, NEXT, CLOSE, LINE = "### ", ": ", "<|+|>", "</turn>", "\n"
 #: In this order when escaping and in the opposite one when reading; the backslash comes first.
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), ("<|+|>", "\\n"))
@@ -61,7 +63,7 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
     talks = talks.select("conv_id", blocks.alias("blocks"))
     head = lambda b: F.concat(F.lit(OPEN), escape(b["role"], role=True), F.lit(SPLIT))
     formatted = F.array_join(F.transform("blocks", lambda b: F.concat(head(b), F.array_join(b["texts"], NEXT), F.lit(CLOSE + LINE))), "")
-    # Each text with the length of the markup before it; then one fold turns lengths into ranges.
+    # Each text with the length of the markup before it; running sums turn lengths into ranges.
     marked = F.flatten(
         F.transform(
             "blocks",
@@ -75,16 +77,13 @@ def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str =
             ),
         )
     )
-    span = "struct<start:int,end:int>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("spans"))
 
-    def fold(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["skip"]
-        end = begin + x["size"]
-        here = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["learn"], F.concat(acc["spans"], here)).otherwise(acc["spans"]).alias("spans"))
+    def spans(m: Column) -> Column:
+        ends = running(F.transform(m, lambda x: x["skip"] + x["size"]))
+        ranged = F.zip_with(m, ends, lambda x, end: F.struct((end - x["size"]).alias("start"), end.alias("end"), x["learn"].alias("learn")))
+        return F.transform(F.filter(ranged, lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
 
-    return talks.select("conv_id", formatted.alias("formatted"), F.aggregate(marked, start, fold, lambda acc: acc["spans"]).alias("loss_spans"))
+    return talks.select("conv_id", formatted.alias("formatted"), bound(marked, spans).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -104,4 +103,4 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """The unescaped texts under the loss mask, in order, nothing between them."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    return bound(pieces(formatted), lambda p: F.array_join(F.transform(spans, lambda s: unescape(cut(p, s["start"], s["end"] - s["start"]))), ""))

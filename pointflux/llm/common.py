@@ -1,106 +1,56 @@
-"""What several training-data operators share: written tables, words, components.
-
-Every intermediate that cuts lineage is a Parquet table in the folder that all
-executors share (``spark.checkpoint.dir``), so a lost executor costs a re-read,
-never a recomputation from a missing block.
-"""
+"""What several training-data operators share: words, running sums and cuts of long texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.graph import components  # noqa: F401
+from ..storage import discard, new_path, scratch, shared_dir, stage  # noqa: F401
+
 #: White space as the contracts define it: blank and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_own_dir: dict[str, str] = {}
+def word_count(text: Column) -> Column:
+    """Words of a text (null: none), counted without building an array of them."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")
+    return F.length(F.regexp_replace(marked, GAP, "")).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; an own one only where none is set.
+def bound(value: Column, use) -> Column:  # noqa: ANN001
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    Without ``spark.checkpoint.dir`` a local session gets a temporary folder and
-    any other master a folder below the warehouse, which is shared as well.
-    """
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        if spark.sparkContext.master.split("[")[0] == "local":
-            _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="pointflux-")
-        else:
-            _own_dir[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pointflux_tables"
-    return _own_dir[app]
 
+def running(values: Column, larger: bool = False) -> Column:
+    """Running sums, or running maxima, of an array of numbers.
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    Doubling steps: in step j every element takes in the one 2**j places before,
+    so n elements cost n log n. A fold that appends to an array would copy it at
+    every step.
+    """
+    join = (lambda x, y: F.greatest(x, y)) if larger else (lambda x, y: x + y)
+    steps = lambda v: F.when(F.size(v) > 1, F.sequence(F.lit(0), F.ceil(F.log2(F.size(v))).cast("int"))).otherwise(F.array().cast("array<int>"))
 
+    def step(v: Column, j: Column) -> Column:
+        far = F.call_function("shiftleft", F.lit(1), j)
+        return F.transform(v, lambda x, i: F.when(i >= far, join(x, F.get(v, i - far))).otherwise(x))
 
-def stage(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: short lineage, no recomputation."""
-    spark = df.sparkSession
-    path = path or new_path(spark, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return bound(values, lambda v: F.aggregate(steps(v), v, step))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of :func:`stage` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: Code points of a piece of a cut text.
+PIECE = 1_024
 
 
-def word_count(text: Column) -> Column:
-    """Words of a text (null: none), counted without building an array of them."""
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), WORD, "x")
-    return F.length(F.regexp_replace(marked, GAP, "")).cast("long")
-
+def pieces(text: Column) -> Column:
+    """``text`` in pieces of PIECE code points, for :func:`cut`."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of the undirected graph ``edges(a long, b long)``.
 
-    Returns ``(v, root)`` for every vertex on an edge; ``root`` is the smallest
-    vertex of its component. Each round hooks every vertex to its smallest
-    neighbour, jumps once and contracts the edges, so cliques and stars need one
-    round and a path of length n about log n. All steps are joins and partial
-    aggregates; no component, label or edge list ever reaches the driver, and a
-    vertex of any degree stays spread over tasks (min is combined before the
-    shuffle, join skew is split by adaptive execution). Loops, repeated edges
-    and rows with a null end are ignored; no edges give no rows.
-    """
-    spark = edges.sparkSession
-    at = [new_path(spark, "edges"), new_path(spark, "roots")]
-    kept = stage(
-        edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "", at[0]
-    )
-    roots = stage(
-        kept.select(F.col("a").alias("v")).union(kept.select("b")).distinct().withColumn("root", F.col("v")), "", at[1]
-    )
-    while kept.limit(1).count():
-        both = kept.union(kept.select("b", "a"))
-        hook = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("p"))
-        hook_at = new_path(spark, "hook")
-        hook = stage(hook, "", hook_at)
-        up = hook.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jump_at = new_path(spark, "jump")
-        jump = stage(hook.join(up, "p").select("v", F.col("pp").alias("p")), "", jump_at)
-        ja, jb = jump.select(F.col("v").alias("a"), F.col("p").alias("pa")), jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
-        new = [new_path(spark, "edges"), new_path(spark, "roots")]
-        kept = stage(
-            kept.join(ja, "a").join(jb, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(),
-            "", new[0],
-        )
-        jr = jump.select(F.col("v").alias("root"), "p")
-        roots = stage(roots.join(jr, "root", "left").select("v", F.coalesce("p", "root").alias("root")), "", new[1])
-        for path in (*at, hook_at, jump_at):
-            discard(spark, path)
-        at = new
-    discard(spark, at[0])
-    return roots
+def cut(parts: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from ``start`` on of a text in :func:`pieces`; reads no more than the pieces they lie in."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length) / PIECE).cast("int")
+    return F.substr(F.array_join(F.slice(parts, first + 1, last - first + 1), ""), start - first * PIECE + 1, length)

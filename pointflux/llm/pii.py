@@ -14,10 +14,30 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound, cut, pieces, running
+
 MARK, STOP = "\x01", "\x02"
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("iban",)
 KINDS = BASE + EXTRA
+#: The registered lengths of IBANs by country.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 "
+    "NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+
+
+def _iban_pattern() -> str:
+    """Groups of four with or without blanks, as many as the country's length asks for, so that no word after them is taken in."""
+    countries: dict[int, list[str]] = {}
+    for entry in IBAN_LENGTHS.split():
+        countries.setdefault(int(entry[2:]) - 4, []).append(entry[:2])
+    one = lambda n: rf"(?:\x20?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf"\x20?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    ways = "|".join(rf"(?:{'|'.join(c)})[0-9]{{2}}{one(n)}" for n, c in sorted(countries.items()))
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{ways})(?![A-Za-z0-9])"
+
+
 #: The patterns of the kinds, as linear-time equivalents. A match may start where the
 #: one before ended (\G); runs of under 12 digits, which can't be cards, are passed over at once.
 PATTERNS = {
@@ -25,7 +45,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?=[0-9](?:[\x20-]?[0-9]){11})[0-9]++(?:[\x20-][0-9]++)*+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": _iban_pattern(),
 }
 #: What a text must hold for a kind to be looked for.
 NEEDS = {"email": "@", "phone": "+"}
@@ -103,14 +123,8 @@ def _proposed(kind: str, text: Column) -> Column:
         return F.when(F.size(p) > 1, at).otherwise(F.array().cast("array<int>"))
 
     def starts(s: Column) -> Column:
-        # One fold turns lengths into starts, looking only at the matches and the gaps before them.
-        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.get(s["lens"], i - 1)
-            return F.struct((start + F.get(s["lens"], i)).alias("at"), F.concat(acc["starts"], F.array(start)).alias("starts"))
-
-        return F.aggregate(s["odd"], none, step, lambda acc: acc["starts"])
+        ends = running(s["lens"])
+        return bound(ends, lambda e: F.transform(s["odd"], lambda i: F.get(e, i - 1)))
 
     def spans(s: Column) -> Column:
         def span(i: Column, k: Column) -> Column:
@@ -125,10 +139,10 @@ def _proposed(kind: str, text: Column) -> Column:
         found = F.filter(F.transform(s["odd"], span), lambda x: x["score"].isNotNull())
         return F.filter(found, lambda x: x["score"] >= REPORT) if kind in EXTRA else found
 
-    # Each step is bound by a transform over one element, so that nothing is computed once per match.
-    bound = F.transform(F.array(parts), lambda p: F.struct(p.alias("parts"), F.transform(p, F.length).alias("lens"), odd(p).alias("odd")))
-    bound = F.transform(bound, lambda s: F.struct(s["parts"].alias("parts"), s["lens"].alias("lens"), s["odd"].alias("odd"), starts(s).alias("starts")))
-    found = F.get(F.transform(bound, spans), F.lit(0))
+    # Each step is bound, so that nothing is computed once per match.
+    steps = bound(parts, lambda p: F.struct(p.alias("parts"), F.transform(p, F.length).alias("lens"), odd(p).alias("odd")))
+    steps = bound(steps, lambda s: F.struct(s["parts"].alias("parts"), s["lens"].alias("lens"), s["odd"].alias("odd"), starts(s).alias("starts")))
+    found = bound(steps, spans)
     may = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9]")
     return F.when(may, found).otherwise(F.array().cast(_SPAN))
 
@@ -154,17 +168,26 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scores(spans: Column) -> Column:
+    """The scores of spans with two digits, comma-joined in their order."""
+    return F.array_join(F.transform(spans, lambda s: F.format_number(s["score"], 2)), ",")
+
+
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each run of overlapping spans replaced by its first kind in brackets."""
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
+    def put_together(x: Column) -> Column:
+        upto = lambda i: F.when(i > 0, F.get(x["upto"], i - 1)).otherwise(0)
+
+        def piece(s: Column, i: Column) -> Column:
+            gap = cut(x["parts"], upto(i), s["start"] - upto(i))
+            return F.when(s["start"] >= upto(i), F.concat(gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+        last = F.element_at(x["upto"], -1)
+        return F.concat(F.array_join(F.transform(x["spans"], piece), ""), cut(x["parts"], last, x["size"] - last))
 
-    done = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, none, step, done))
+    facts = F.struct(pieces(text).alias("parts"), F.length(text).alias("size"), spans.alias("spans"), running(F.transform(spans, lambda s: s["end"]), larger=True).alias("upto"))
+    return F.when(F.size(spans) == 0, text).otherwise(bound(facts, put_together))
 
 
 def redact_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -65,7 +65,7 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_pii(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", *pii.counts(F.col("spans")), F.sha2(pii.listed(pii.base_only(F.col("spans"))), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *pii.counts(F.col("spans")), F.sha2(pii.listed(pii.base_only(F.col("spans"))), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), pii.scores(F.col("spans")).alias("scores"))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

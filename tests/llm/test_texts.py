@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -262,6 +263,36 @@ def test_pii_redaction_keeps_rows(odd_docs):
     assert got[10] == "é\U0001f600 [EMAIL]" and "[CARD]" in got[7] and got[7].endswith("tail ")
 
 
+def test_ibans_end_where_their_country_says(spark):
+    texts = ["BE71096123456769 BIC", "Konto BE71 0961 2345 6769 SWIFT 1", "AT611904300234573201 OK", "SE4550000000058398257466 NOW", "xBE71096123456769", "BE71096123456769A", "NO9386011117947"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "iban"] for r in rows}
+    assert got == {0: [(0, 16)], 1: [(6, 25)], 2: [(0, 20)], 3: [(0, 24)], 4: [], 5: [], 6: [(0, 15)]}
+
+
+def test_context_moves_scores(spark):
+    texts = ["10.0.0.1", "the server address 10.0.0.1", "version 10.0.0.1", "release 1.2.3.4 " + "x " * 60 + "host 1.2.3.4"]
+    rows = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", pii.scores(F.col("spans")).alias("s")).collect()
+    assert {r.doc_id: r.s for r in rows} == {0: "0.60", 1: "0.80", 2: "0.40", 3: "0.40,0.80"}
+
+
+def test_many_matches_and_turns_stay_near_linear(spark):
+    def seconds(n):
+        text = " ".join(f"a{i}@b.co or 10.0.0.{i % 256}" for i in range(n))
+        turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.perf_counter()
+        found = pii.find_pii(docs).select(pii.listed(F.col("spans")).alias("l"), pii.redact(F.col("text"), F.col("spans")).alias("r")).collect()[0]
+        talk = chat_format.format_conversations(turns).select(chat_format.read_loss(F.col("formatted"), F.col("loss_spans")).alias("l")).collect()[0]
+        took = time.perf_counter() - begun
+        assert found.l == ",".join(brute_spans(text)) and found.r == " ".join(["[EMAIL] or [IP]"] * n)
+        assert talk.l == "".join(f"t{i}" for i in range(1, n, 2))
+        return took
+
+    seconds(1_000)
+    assert seconds(80_000) < 2.5 * seconds(40_000) + 1
+
+
 # Quality
 
 
