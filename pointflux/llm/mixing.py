@@ -2,16 +2,18 @@
 
 A source's documents fall into blocks by a hash, which also permutes them. A
 pass over a source takes whole blocks in order; the last, partial pass ends
-inside a block, where the documents that fill the rest best are taken. The
-blocks that all sources give are dealt over output shards by a binary tree: at
-each node the quotas of the left half are one multivariate hypergeometric draw,
-so every shard gets an exact number of blocks of every source and the shards
-together get all. A shard takes its blocks as a run of the source's permuted
-blocks, disjoint from every other's, and is shuffled locally.
-
-What the plan holds is one row for each source: where its partial pass ends, the
-few documents that fill it up and its block quotas. Documents look themselves up
-in it, so texts are not shuffled for it.
+before the document that no longer fits, and what is left is filled with the
+largest documents after it that still do. The blocks that all sources give are
+dealt over output shards by a binary tree: at each node the quotas of the left
+half are one multivariate hypergeometric draw, so every shard gets an exact
+number of blocks of every source and the shards together get all. A shard takes
+its blocks as a run of the source's permuted blocks, disjoint from every
+other's, and is shuffled locally.
+
+The plan is a table with one row for each source, made by joins and grouped
+aggregates however many sources there are; the driver sees a few totals and the
+quotas of QUOTA_GROUPS groups of sources. Documents look themselves up in the
+plan, so texts are not shuffled for it.
 """
 
 from __future__ import annotations
@@ -30,38 +32,26 @@ BUDGET = 1.5
 MOST = 2.0
 BLOCK_BITS = 8
 LEVELS = 3
+WIDE = BLOCK_BITS * LEVELS + 32
 SHARDS = 16
 SEED = 20_250_101
-#: Documents beyond the end of a partial pass that are tried to fill it.
-FILLERS = 256
-#: A plan is broadcast up to so many sources and joined by a shuffle beyond.
-BROADCAST_SOURCES = 20_000
-
-
-def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most: float = MOST) -> list[float]:
-    """Shares of ``total`` by weight, none above ``most`` times its size; the excess is shared anew by weight."""
-    out, free, left = [0.0] * len(sizes), set(range(len(sizes))), float(total)
-    while free:
-        scale = left / sum(weights[i] for i in free)
-        full = [i for i in free if scale * weights[i] > most * sizes[i]]
-        if not full:
-            for i in free:
-                out[i] = scale * weights[i]
-            break
-        for i in full:
-            out[i] = most * sizes[i]
-            left -= out[i]
-            free.remove(i)
-        left = max(left, 0.0)
-    return out
+#: The splitting tree deals blocks over shards for so many groups of sources at once, then group by group.
+QUOTA_GROUPS = 1_024
+#: A table of so many rows at most is broadcast; a larger one is joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: Words and rows that one task of a mixed result holds, about.
+PART_WORDS, PART_ROWS = 4_000_000, 50_000
+#: From so many blocks on, a node of the tree draws by systematic rounding instead.
+MANY_BLOCKS = 1_000_000_000
 
 
-def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
+def split_quotas(quotas: np.ndarray, shards: int, seed: object = SEED, totals: np.ndarray | None = None) -> np.ndarray:
     """Deal ``quotas[source]`` blocks over ``shards``: an array [shard, source] that sums to them.
 
     Each node of a binary tree over the shards draws the left half's share of
     every source at once, multivariate hypergeometric over all blocks of the
-    node, so shards get as many blocks in total as whole blocks allow.
+    node, so shards get as many blocks in total as whole blocks allow, or
+    ``totals[shard]``, where given.
     """
     out = np.zeros((shards, len(quotas)), np.int64)
 
@@ -71,9 +61,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
             return
         mid = (low + high) // 2
         total = int(q.sum())
-        share = total * (mid - low) // (high - low)
-        rng = np.random.default_rng([seed, low, high])
-        left = rng.multivariate_hypergeometric(q, share, method="marginals") if total else q * 0
+        share = total * (mid - low) // (high - low) if totals is None else int(totals[low:mid].sum())
+        left = _draw(q, share, total, np.random.default_rng([*np.atleast_1d(seed), low, high]))
         deal(left, low, mid)
         deal(q - left, mid, high)
 
@@ -81,67 +70,162 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = SEED) -> np.ndarra
     return out
 
 
+def _draw(q: np.ndarray, share: int, total: int, rng: np.random.Generator) -> np.ndarray:
+    """``share`` of ``total`` blocks, by source."""
+    if not total:
+        return q * 0
+    if total < MANY_BLOCKS:
+        return rng.multivariate_hypergeometric(q, share, method="marginals")
+    shift = int(rng.integers(total))
+    ends = [(int(u) * share + shift) // total for u in [0, *np.cumsum(q)]]
+    return np.diff(np.array(ends, np.int64))
+
+
+def _small(table: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``table``, a staged one, to be broadcast if it has ``most`` rows or fewer."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def order_key(doc_id: Column, text: Column) -> Column:
+    """The hash in [0, 2**WIDE) that orders a source's documents."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), doc_id, text), 64 - WIDE)
+
+
 def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """Id, source, size and the hash ``u`` in [0, 2**(8 * 3 + 32)) that orders a source's documents."""
     body = F.col(text).cast("string")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(doc_id), body), 64 - BLOCK_BITS * LEVELS - 32)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(body).alias("size"), u.alias("u"))
+    return docs.select(F.col(source).cast("string").alias("source"), word_count(body).alias("size"), order_key(F.col(doc_id), body).alias("u"))
+
 
+def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``rows`` numbered from 0 in a column ``name``: sorted by ranges, each range numbered alone from where those before it end."""
+    rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))  # a row for each range
+    starts = sizes.select("_part", "_low", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_start")
 
-def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, shards: int = SHARDS) -> pd.DataFrame:
-    """The plan of a mix: a row for each source.
 
-    ``source, source_size, target, full, until, fill, cuts``: the partial pass,
-    after ``full`` whole ones, takes the documents with ``u < until`` and those
-    whose u is in ``fill``; ``cuts`` are the shards' bounds in the source's
-    sequence of blocks. Sources are listed by code point, null last.
+def with_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
+    """``totals(source, source_size)`` with ``at``, the source's number by code point, null last, and ``target``.
+
+    Sources share ``budget`` times all words by weight, the weights repeating in
+    that order; a target stops at ``most`` times its source's size and the excess
+    is shared anew among the others by weight, until none is above.
     """
-    wide = BLOCK_BITS * LEVELS + 32
-    block = lambda level: F.shiftright("u", wide - BLOCK_BITS * level)
-    totals = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).toPandas()  # a row for each source
-    if not len(totals):
-        return pd.DataFrame({c: [] for c in ("source", "source_size", "target", "full", "until", "fill", "cuts")})
-    totals["source"] = [None if s is None or s != s else s for s in totals["source"]]
-    totals = totals.iloc[sorted(range(len(totals)), key=lambda i: (totals["source"][i] is None, (totals["source"][i] or "").encode()))].reset_index(drop=True)
-    sizes = totals["size"].astype(float).tolist()
-    want = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], budget * sum(sizes), most)
-    full = [min(int(t // s), int(most)) if s else 0 for t, s in zip(want, sizes, strict=True)]
-    need = [max(0, round(t) - f * int(s)) for t, f, s in zip(want, full, sizes, strict=True)]
-    spark = sized.sparkSession
-    begin, left = [0] * len(sizes), list(need)  # the block in which the partial pass ends, level by level
-    whole = [False] * len(sizes)  # whether it takes all there is
-    names = totals["source"].tolist()
-    for level in range(1, LEVELS + 1):
-        here = spark.createDataFrame(pd.DataFrame({"at": range(len(names)), "source": names, "prefix": begin, "left": left}), "at int, source string, prefix long, left long")
-        inside = sized.join(F.broadcast(here) if len(names) <= BROADCAST_SOURCES else here, sized["source"].eqNullSafe(here["source"]) & (block(level - 1) == F.col("prefix")))
-        blocks = inside.groupBy("at", "left", block(level).alias("b")).agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("at").orderBy("b"))
-        cut = blocks.withColumn("upto", upto).where(F.col("upto") > F.col("left")).groupBy("at").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-        ends = {r["at"]: r["cut"] for r in cut.collect()}  # a row for each source
-        for i in range(len(names)):
-            if i in ends:
-                begin[i], left[i] = ends[i]["b"], left[i] - ends[i]["before"]
-            else:
-                begin[i] = (begin[i] + (need[i] > 0 and not whole[i])) << BLOCK_BITS
-                whole[i] = True
-    until = [b << (wide - BLOCK_BITS * LEVELS) for b in begin]
-    # Inside the last, smallest block and after it: documents in order, each taken if it still fits.
-    reach = [t + min(1 << wide, (FILLERS << wide) // max(1, n)) for t, n in zip(until, totals["n"].tolist(), strict=True)]  # holds about FILLERS documents
-    here = spark.createDataFrame(pd.DataFrame({"at": range(len(names)), "source": names, "until": until, "reach": reach, "left": left}), "at int, source string, until long, reach long, left long").where("left > 0")
-    after = sized.join(F.broadcast(here) if len(names) <= BROADCAST_SOURCES else here, sized["source"].eqNullSafe(here["source"]) & (sized["u"] >= F.col("until")) & (sized["u"] < F.col("reach")) & (sized["size"] > 0))
-    after = after.groupBy("at", "left", "u").agg(F.sum("size").alias("size")).where(F.col("size") <= F.col("left"))
-    order = Window.partitionBy("at").orderBy("u")
-    near = after.withColumn("k", F.row_number().over(order)).where(F.col("k") <= FILLERS)
-    fill: list[list[int]] = [[] for _ in names]
-    for r in near.select("at", "u", "size").orderBy("at", F.desc("size"), "u").toLocalIterator():  # FILLERS rows a source at most
-        if r["size"] <= left[r["at"]]:
-            fill[r["at"]].append(r["u"])
-            left[r["at"]] -= r["size"]
+    rows = stage(numbered(totals, [F.col("source").asc_nulls_last()], "at").withColumn("kind", (F.col("at") % len(weights)).cast("int")), "sources")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1)
+    whole = rows.agg(F.sum("source_size")).first()[0] or 0
+    capped, scale = -1, 0.0
+    while True:
+        full = (scale * weight > most * F.col("source_size")) if capped >= 0 else F.lit(False)
+        sums = {r["kind"]: r for r in rows.groupBy("kind").agg(F.count_if(~full).alias("free"), F.count_if(full).alias("full"), F.coalesce(F.sum(F.when(full, F.col("source_size"))), F.lit(0)).alias("words")).collect()}  # a row for each weight
+        now = sum(r["full"] for r in sums.values())
+        free = sum(float(weights[k]) * r["free"] for k, r in sums.items())
+        if now == capped or not free:
+            break
+        capped, scale = now, max(0.0, budget * whole - most * sum(r["words"] for r in sums.values())) / free
+    share = F.lit(scale) * weight
+    target = F.least(share, most * F.col("source_size")) if free else most * F.col("source_size").cast("double")
+    return rows.select("at", "source", "source_size", target.cast("double").alias("target"))
+
+
+def _of_source(sized: DataFrame, table: DataFrame, where: Column | None = None) -> DataFrame:
+    """Documents joined with ``table`` on their source, null as a source of its own."""
+    match = sized["source"].eqNullSafe(table["source"])
+    return sized.join(_small(table), match if where is None else match & where).drop(table["source"])
+
+
+def _until(sized: DataFrame, need: DataFrame) -> DataFrame:
+    """Where each source's partial pass ends: ``need(at, source, left)`` with ``until`` and what is ``left`` then.
+
+    The pass takes the documents with ``u < until``; the next one's words are more
+    than ``left``. Three histograms of 256 blocks narrow the place, then documents.
+    """
+    block = lambda level: F.shiftright("u", WIDE - BLOCK_BITS * level)
+    state = need.withColumn("prefix", F.lit(0).cast("long"))
+    ended = []
+    by = Window.partitionBy("at")
+    for level in range(1, LEVELS + 2):
+        place = block(level) if level <= LEVELS else F.col("u")
+        inside = _of_source(sized, state, block(level - 1) == F.col("prefix")) if level > 1 else _of_source(sized, state)
+        steps = inside.groupBy("at", "left", place.alias("b")).agg(F.sum("size").alias("words"))
+        steps = steps.withColumn("upto", F.sum("words").over(by.orderBy("b")))
+        cut = steps.where("upto > left").groupBy("at").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
+        after = stage(state.join(cut, "at", "left"), "cuts")
+        # A source that is needed whole has no place where it ends.
+        if level == 1:
+            ended.append(after.where("cut is null").select("at", "source", "left", F.lit(1 << WIDE).alias("until")))
+        state = after.where("cut is not null").select("at", "source", (F.col("left") - F.col("cut.before")).alias("left"), F.col("cut.b").alias("prefix"))
+    return stage(ended[0].unionByName(state.withColumnRenamed("prefix", "until")), "until")
+
+
+def _fillers(sized: DataFrame, ends: DataFrame) -> DataFrame:
+    """``(at, source, fill)``: documents after the end of the partial pass that fill what is left.
+
+    The largest that still fits is taken, and again, over all sizes; of equal ones
+    those first in order. So less than the smallest document left stays open.
+    Documents alike in id and text are one unit, taken together or not.
+    """
+    open_ends = ends.where("left > 0").withColumnRenamed("source", "of")
+    match = sized["source"].eqNullSafe(open_ends["of"]) & (F.col("u") > F.col("until")) & (F.col("size") > 0) & (F.col("size") <= F.col("left"))
+    after = sized.join(_small(open_ends), match)
+    units = stage(after.groupBy("at", "left", "u").agg(F.sum("size").alias("size")).where("size <= left"), "units")
+    sizes = units.groupBy("at", "left", "size").agg(F.count(F.lit(1)).alias("n"))
+    # At most ``left`` distinct sizes a source, and ``left`` is less than the document that did not fit.
+    listed = sizes.groupBy("at", "left").agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"))
+    none = F.struct(F.col("left").alias("left"), F.array().cast("array<struct<size:bigint,n:bigint>>").alias("takes"))
+
+    def step(acc: Column, s: Column) -> Column:
+        n = F.least(s["n"], F.floor(acc["left"] / s["size"]))
+        take = F.when(n > 0, F.concat(acc["takes"], F.array(F.struct(s["size"].alias("size"), n.alias("n"))))).otherwise(acc["takes"])
+        return F.struct((acc["left"] - n * s["size"]).alias("left"), take.alias("takes"))
+
+    takes = listed.select("at", F.explode(F.aggregate("sizes", none, step, lambda acc: acc["takes"])).alias("t")).select("at", "t.size", F.col("t.n").alias("wanted"))
+    takes = stage(takes, "takes")
+    most = takes.agg(F.max("wanted")).first()[0]
+    if not most:
+        return sized.sparkSession.createDataFrame([], "at long, u long")
+    first = F.row_number().over(Window.partitionBy("at", "size").orderBy("u"))
+    return units.join(_small(takes), ["at", "size"]).withColumn("k", first).where(F.col("k") <= most).where("k <= wanted").select("at", "u")
+
+
+def _cuts(quotas: DataFrame, shards: int) -> DataFrame:
+    """``(at, cuts)`` of ``quotas(at, quota)``: each shard's end in the source's sequence of blocks."""
+    group = F.pmod(F.xxhash64("at"), F.lit(QUOTA_GROUPS)).cast("int")
+    grouped = quotas.withColumn("g", group)
+    sums = {r["g"]: r["n"] for r in grouped.groupBy("g").agg(F.sum("quota").alias("n")).collect()}  # QUOTA_GROUPS rows at most
+    names = sorted(sums)
+    dealt = split_quotas(np.array([sums[g] for g in names], np.int64), shards)
+    totals = {g: dealt[:, i].tolist() for i, g in enumerate(names)}
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        cuts = split_quotas(pdf["quota"].to_numpy(), shards, (SEED, key[0]), np.array(totals[key[0]])).cumsum(0).T
+        return pd.DataFrame({"at": pdf["at"].to_numpy(), "cuts": list(cuts)})
+
+    return grouped.groupBy("g").applyInPandas(run, "at long, cuts array<long>")
+
+
+def plan_mix(sized: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
+    """The plan of a mix of ``sized(source, size, u)``: a row for each source, and the documents that fill up.
+
+    ``source, source_size, target, full, until, cuts``: the partial pass, after
+    ``full`` whole ones, takes the documents with ``u < until`` and those in the
+    second table, ``(source, u)``; ``cuts`` are the shards' bounds in the source's
+    sequence of blocks.
+    """
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    rows = with_targets(totals, weights, budget, most)
+    full = F.when(F.col("source_size") > 0, F.least(F.lit(int(most)), F.floor(F.col("target") / F.col("source_size")))).otherwise(0).cast("int")
+    left = F.greatest(F.lit(0), F.round("target").cast("long") - F.col("full") * F.col("source_size"))
+    rows = stage(rows.withColumn("full", full).withColumn("left", left), "targets")
+    ends = _until(sized, rows.where("left > 0").select("at", "source", "left"))
+    fill = stage(_fillers(sized, ends).join(rows.select("at", "source"), "at").select("at", "source", "u"), "fill")
     blocks = 1 << BLOCK_BITS
-    partial = [-(-(u + 1) >> (wide - BLOCK_BITS)) if u or f else 0 for u, f in zip(until, fill, strict=True)]
-    quotas = np.array([f * blocks + min(p, blocks) for f, p in zip(full, partial, strict=True)], np.int64)
-    cuts = split_quotas(quotas, shards).cumsum(0).T
-    return pd.DataFrame({"source": names, "source_size": totals["size"].astype(np.int64), "target": want, "full": full, "until": until, "fill": fill, "cuts": [c.tolist() for c in cuts]})
+    last = F.when(F.col("until") > 0, F.shiftright(F.col("until") - 1, WIDE - BLOCK_BITS) + 1).when(F.col("filled"), 1).otherwise(0)
+    rows = rows.drop("left").join(ends.select("at", "until"), "at", "left").join(fill.select("at").distinct().withColumn("filled", F.lit(True)), "at", "left")
+    rows = stage(rows.withColumn("until", F.coalesce("until", F.lit(0).cast("long"))).withColumn("quota", (F.col("full") * blocks + F.least(F.lit(blocks), last)).cast("long")), "ends")
+    plan = rows.join(_cuts(rows.select("at", "quota"), shards), "at").select("source", "source_size", "target", "full", "until", "cuts")
+    return stage(plan, "plan"), fill.select("source", "u")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -158,37 +242,42 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUD
     Texts without words are drawn with their block. Reruns agree. A column named
     ``_mix`` is replaced; an empty table gives no rows.
     """
-    sized = stage(_sized(docs, doc_id, text, source), "sizes")
-    plan = plan_mix(sized, weights, budget, most, shards)
-    spark = docs.sparkSession
-    kinds = "_source string, source_size long, target double, full int, until long, fill array<long>, cuts array<long>"
-    plan_rows = [(r.source, int(r.source_size), float(r.target), int(r.full), int(r.until), [int(x) for x in r.fill], [int(x) for x in r.cuts]) for r in plan.itertuples()]
-    table = spark.createDataFrame(plan_rows, kinds)
-    table = F.broadcast(table) if len(plan_rows) <= BROADCAST_SOURCES else table
-    wide = BLOCK_BITS * LEVELS + 32
-    body = F.col(text).cast("string")
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(doc_id), body), 64 - wide)
-    rows = docs.drop("_mix").withColumns({"_size": word_count(body), "_u": u})
-    rows = rows.join(table, rows[source].cast("string").eqNullSafe(table["_source"]), "left")
-    block = F.shiftright("_u", wide - BLOCK_BITS)
+    return _mix(docs, stage(_sized(docs, doc_id, text, source), "sizes"), weights, budget, most, shards, doc_id, text, source)
+
+
+def _mix(docs: DataFrame, sized: DataFrame, weights: Sequence[float], budget: float, most: float, shards: int, doc_id: str, text: str, source: str) -> DataFrame:
+    plan, fill = plan_mix(sized, weights, budget, most, shards)
+    body, own = F.col(text).cast("string"), F.col(source).cast("string")
+    kept = [c for c in docs.columns if c != "_mix"]
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("_row"), word_count(body).alias("_size"), order_key(F.col(doc_id), body).alias("_u"), own.alias("_source"))
+    rows = rows.join(_small(plan), F.col("_source").eqNullSafe(F.col("source")), "left").drop("source")
+    fill = fill.select(F.col("source").alias("_of"), F.col("u").alias("_at"), F.lit(True).alias("_fills")).distinct()
+    rows = rows.join(_small(fill), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_u") == F.col("_at")), "left")
+    block = F.shiftright("_u", WIDE - BLOCK_BITS)
 
     def draw(p: int) -> Column:
         at = F.least(F.lit(p << BLOCK_BITS) + block, F.element_at("cuts", -1) - 1)  # what fills up counts with the last block
         shard = F.least(F.size(F.filter("cuts", lambda c: c <= at)), F.lit(shards - 1))
         return F.struct(shard.alias("shard"), F.xxhash64(F.lit(SEED + 1 + p), "_u").alias("order"))
 
-    takes = lambda p: (F.col("full") > p) | ((F.col("full") == p) & ((F.col("_u") < F.col("until")) | F.array_contains("fill", F.col("_u"))))
+    takes = lambda p: (F.col("full") > p) | ((F.col("full") == p) & ((F.col("_u") < F.col("until")) | F.coalesce("_fills", F.lit(False))))
     passes = F.array(*[F.when(takes(p), draw(p)) for p in range(int(most))])
     facts = F.struct(F.col("_size").alias("size"), "source_size", "target", F.filter(passes, lambda x: x.isNotNull()).alias("draws"))
-    return rows.select(*[c for c in docs.columns if c != "_mix"], facts.alias("_mix"))
+    return rows.select("_row.*", facts.alias("_mix"))
 
 
-def mixed_documents(docs: DataFrame, **options: object) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows that the mix takes, each as often as it is drawn, with the columns of ``docs``.
 
-    Rows are dealt by output shard and shuffled inside it; a shard is spread over
-    several tasks by its rows' order, so its size bounds no task.
+    Rows are dealt by output shard and shuffled inside it. A shard is spread over
+    as many tasks as its share of the words and rows asks for, so tasks grow with
+    the data and no shard's size bounds one.
     """
-    rows = mix(docs, **options)
+    sized = stage(_sized(docs, doc_id, text, source), "sizes")
+    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+    parts = int(max(1, -(-budget * whole["words"] // (shards * PART_WORDS)), -(-most * whole["n"] // (shards * PART_ROWS))))
+    rows = _mix(docs, sized, weights, budget, most, shards, doc_id, text, source)
     drawn = rows.select("*", F.explode("_mix.draws").alias("_draw"))
-    return drawn.repartition(F.col("_draw.shard"), F.pmod(F.col("_draw.order"), F.lit(8))).sortWithinPartitions("_draw.shard", "_draw.order").select(*[c for c in docs.columns if c != "_mix"])
+    place = F.col("_draw.shard") * parts + F.pmod(F.col("_draw.order"), F.lit(parts)).cast("int")
+    dealt = drawn.repartitionById(shards * parts, place).sortWithinPartitions("_draw.shard", "_draw.order")
+    return dealt.select(*[c for c in docs.columns if c != "_mix"])

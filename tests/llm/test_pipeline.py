@@ -4,10 +4,11 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pointflux.llm import mixing, quality, queries
-from test_texts import brute_near, brute_spans, words
+from test_texts import brute_draws, brute_near, brute_spans, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,16 +45,12 @@ def test_stages_against_brute_force(spark):
     texts = {r.doc_id: r.text for r in out}
     assert len(out) == len(source) and all(texts[r.doc_id] == redacted(r.text) for r in source)
     source, out = seen["mixing"]
-    sizes = Counter()
+    keys = {(r.doc_id, r.text): r.u for r in spark.createDataFrame(source, docs.schema).withColumn("u", mixing.order_key(F.col("doc_id"), F.col("text"))).collect()}
+    want = brute_draws([(r.source, len(words(r.text)), keys[r.doc_id, r.text]) for r in source])
+    times = Counter(out)
     for r in source:
-        sizes[r.source] += len(words(r.text))
-    order = sorted(sizes)
-    want = mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))
-    taken, times = Counter(), Counter(out)
-    for r in out:
-        taken[r.source] += len(words(r.text))
-    assert set(times) <= set(source) and max(times.values()) <= 2
-    assert all(taken[s] <= w + 1 for s, w in zip(order, want)) and sum(taken.values()) > 0.93 * sum(want)
+        assert times[r] == want[r.source, keys[r.doc_id, r.text]] * source.count(r) or not words(r.text)
+    assert set(times) <= set(source)
     source, out = seen["packing"]
     assert sum(r.words for r in out) == sum(len(words(r.text)) for r in source)
 

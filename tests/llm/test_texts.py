@@ -318,27 +318,88 @@ def test_quality_learns_and_scores_everything(spark, odd_docs, no_docs):
 # Mixing
 
 
-def test_mixing_targets_and_draws(spark, odd_docs, no_docs):
+def brute_targets(sizes, budget=1.5, most=2.0):
+    """``{source: target}``: the level at which weighted shares, stopped at ``most`` sizes, add up, by bisection."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    low, high = 0.0, 2 * most * sum(sizes.values()) + 1
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(mid * weight[s], most * sizes[s]) for s in order) < budget * sum(sizes.values()) else (low, mid)
+    return {s: min(high * weight[s], most * sizes[s]) for s in order}
+
+
+def brute_draws(rows):
+    """How often each ``(source, u)`` is drawn: whole passes, a run from the start, then the largest that still fit."""
+    sizes, units = Counter(), defaultdict(Counter)
+    for s, size, u in rows:
+        sizes[s] += size
+        units[s][u] += size
+    times = Counter()
+    for s, target in brute_targets(sizes).items():
+        full = min(2, int(target / sizes[s] + 1e-12)) if sizes[s] else 0
+        left = max(0, int(target + 0.5) - full * sizes[s])
+        order = sorted(units[s])
+        for u in order:
+            times[s, u] = full
+        at = 0
+        while at < len(order) and left > 0 and units[s][order[at]] <= left:
+            times[s, order[at]] += 1
+            left -= units[s][order[at]]
+            at += 1
+        for u in sorted(order[at:], key=lambda u: (-units[s][u], u)):
+            if 0 < units[s][u] <= left:
+                times[s, u] += 1
+                left -= units[s][u]
+    return times
+
+
+def _mixable(spark, n=3000):
     rng = np.random.default_rng(2)
-    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{min(int(rng.integers(0, 9)), 4)}" if i % 11 else None) for i in range(3000)]
-    docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, source string, _mix string")
-    got = mixing.mix(docs).select("doc_id", "source", "_mix").collect()
+    rows = [(i, " ".join(["w"] * int(rng.integers(1, 60))), f"s{min(int(rng.integers(0, 9)), 4)}" if i % 11 else None) for i in range(n)]
+    rows += [(7_000_000, "a long one " * 400, "s1")] + [(8_000_000, "again and again", "s2")] * 400  # a hot row
+    return rows, spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, source string, _mix string")
+
+
+def test_mixing_against_brute_force(spark, odd_docs, no_docs):
+    rows, docs = _mixable(spark)
+    got = mixing.mix(docs).select("doc_id", "source", "_mix", mixing.order_key(F.col("doc_id"), F.col("text")).alias("u")).collect()
     sizes = Counter()
-    for i, t, s in rows:
+    for _, t, s in rows:
         sizes[s] += len(words(t))
-    order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([sizes[s] for s in order], [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(sizes.values()))))
-    taken = Counter()
+    want, taken = brute_targets(sizes), Counter()
+    times = brute_draws([(r.source, r._mix.size, r.u) for r in got])
+    assert len(got) == len(rows)
     for r in got:
-        assert r._mix.source_size == sizes[r.source] and abs(r._mix.target - want[r.source]) < 1e-6 and len(r._mix.draws) <= 2
+        assert r._mix.source_size == sizes[r.source] and abs(r._mix.target - want[r.source]) < 1e-6 * want[r.source]
+        assert len(r._mix.draws) == times[r.source, r.u] <= 2 or r._mix.size == 0
         assert all(0 <= d.shard < mixing.SHARDS for d in r._mix.draws)
         taken[r.source] += r._mix.size * len(r._mix.draws)
-    assert all(abs(taken[s] - want[s]) <= max(3, 0.002 * want[s]) for s in order)
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).select("doc_id", "source", "_mix").collect()))
-    assert mixing.mixed_documents(docs).columns == docs.drop("_mix").columns
+    assert all(abs(taken[s] - want[s]) <= 3 for s in sizes)  # the smallest document left has at most three words
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs).select("doc_id", "source", "_mix", mixing.order_key(F.col("doc_id"), F.col("text")).alias("u")).collect()))
     odd = mixing.mix(odd_docs.drop("_mix")).select("doc_id", "_mix").collect()
     assert len(odd) == odd_docs.count()
-    assert mixing.mix(no_docs).count() == 0
+    assert mixing.mix(no_docs).count() == 0 and mixing.mixed_documents(no_docs).count() == 0
+
+
+def test_mixed_documents_spread_with_the_rows(spark, monkeypatch):
+    rows, docs = _mixable(spark, 600)
+    few = mixing.mixed_documents(docs)
+    assert few.columns == docs.drop("_mix").columns
+    monkeypatch.setattr(mixing, "PART_ROWS", 20)
+    many = mixing.mixed_documents(docs)
+    tasks = many.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert len(tasks) > 4 * mixing.SHARDS and few.rdd.getNumPartitions() == mixing.SHARDS
+    assert Counter(map(tuple, few.collect())) == Counter(map(tuple, many.collect()))
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 1_000)  # plans are joined by shuffles
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7).cast("int") + 1).alias("text"), F.format_string("h%06d", F.col("id") % 100_000).alias("source"))
+    facts = mixing.mix(docs).select("source", "_mix.*")
+    by = facts.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("size") * F.size("draws")).alias("taken"), F.min("size").alias("least"))
+    row = by.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("taken") > F.col("target") + 1).alias("over"), F.sum("target").alias("target"), F.sum("taken").alias("taken")).first()
+    assert row.n == 100_000 and row.over == 0 and abs(row.target - 1.5 * docs.selectExpr("sum(doc_id % 7 + 1)").first()[0]) < 1 and 0.6 < row.taken / row.target <= 1
 
 
 def test_splitting_tree_deals_every_block():
@@ -348,10 +409,26 @@ def test_splitting_tree_deals_every_block():
     assert (dealt == mixing.split_quotas(quotas, 13)).all()
 
 
-def test_targets_share_the_excess():
-    got = mixing.targets([10, 100, 100], [5, 2, 1], 200)
+def test_splitting_tree_keeps_given_totals_and_large_quotas():
+    quotas, totals = np.array([3, 50, 0, 90]), np.array([40, 3, 60, 40])
+    dealt = mixing.split_quotas(quotas, 4, (7, 1), totals)
+    assert (dealt.sum(0) == quotas).all() and (dealt.sum(1) == totals).all() and (dealt >= 0).all()
+    large = np.array([10**12, 5, 3 * 10**11 + 7])
+    dealt = mixing.split_quotas(large, 8)
+    assert (dealt.sum(0) == large).all() and (dealt >= 0).all() and np.ptp(dealt.sum(1)) <= 3
+
+
+def test_targets_share_the_excess(spark):
+    def targets(sizes, weights, budget):
+        rows = spark.createDataFrame([(f"s{i:03}", s) for i, s in enumerate(sizes)], "source string, source_size long")
+        return [r.target for r in mixing.with_targets(rows, weights, budget).orderBy("at").collect()]
+
+    got = targets([10, 100, 100], [5, 2, 1], 200 / 210)
     assert got[0] == 20 and abs(sum(got) - 200) < 1e-9 and abs(got[1] / got[2] - 2) < 1e-9
-    assert mixing.targets([1, 1], [1, 1], 100) == [2, 2] and mixing.targets([0, 5], [1, 1], 5) == [0, 5]
+    assert targets([1, 1], [1, 1], 50) == [2, 2] and targets([0, 5], [1, 1], 1) == [0, 5] and targets([], [1], 1) == []
+    sizes = [3**i for i in range(12)]
+    want = brute_targets({f"s{i:03}": s for i, s in enumerate(sizes)})
+    assert np.allclose(targets(sizes, [5, 2, 1], 1.5), [want[f"s{i:03}"] for i in range(12)])
 
 
 # Packing
