@@ -461,6 +461,52 @@ def test_best_fit_fills_the_tightest_bin():
     assert packing.best_fit(np.array([], int), (8,))[3].tolist() == []
 
 
+def _total(sizes, lengths):
+    return sum(map(packing.cost, packing.best_packing(np.array(sizes, np.int64), lengths)[2].tolist()))
+
+
+def test_lengths_are_chosen_jointly():
+    lengths = (512, 1024, 2048, 4096)
+    opened = lambda sizes: sorted(packing.best_packing(np.array(sizes), lengths)[2].tolist())
+    assert opened([1300] * 3) == [4096] and opened([1500, 548]) == [2048] and opened([1000]) == [1024] and opened([500, 12]) == [512]
+    assert opened([3000, 1096, 1500, 500]) == [2048, 4096]
+    rng = np.random.default_rng(4)
+    # Uniform sizes are best served by the longest bins alone, so there the joint choice may only equal them.
+    for strict, draw in enumerate((lambda n: rng.integers(1, 4097, n), lambda n: np.minimum(4096, rng.lognormal(5.5, 1.2, n).astype(int) + 1), lambda n: rng.choice([340, 513, 1300, 2600], n))):
+        sizes = draw(3000)
+        joint = _total(sizes, lengths)
+        for one in lengths:  # always open that length, or the longest where it has no room
+            singles = _total([s for s in sizes if s <= one], (one,)) + _total([s for s in sizes if s > one], (4096,))
+            assert joint < singles or (not strict and joint == singles), (one, joint, singles)
+
+
+def test_packing_cost_against_brute_force():
+    lengths, rng = (8, 16, 32), np.random.default_rng(9)
+    price = lambda n: packing.cost(min(c for c in lengths if c >= n))
+
+    def least(sizes, bins=()):
+        if not sizes:
+            return sum(map(price, bins))
+        ways = [bins[:i] + (b + sizes[0],) + bins[i + 1 :] for i, b in enumerate(bins) if b + sizes[0] <= 32] + [(*bins, sizes[0])]
+        return min(least(sizes[1:], w) for w in ways)
+
+    ratios = []
+    for _ in range(60):
+        sizes = rng.integers(1, 33, 7).tolist()
+        ratios.append(_total(sizes, lengths) / least(tuple(sizes)))
+    assert max(ratios) < 1.35 and np.mean(ratios) < 1.02
+
+
+def test_packing_ties_repeats_and_utilisation(spark):
+    docs = spark.createDataFrame([(None, "a b c d")] * 5 + [(1, "a b c d")] * 3 + [(2, "x " * 21)], "doc_id long, text string")
+    packed = packing.pack_documents(docs, lengths=(8, 16))
+    rows = packed.collect()
+    assert Counter((r.doc_id, r.first_word, r.words) for r in rows) == Counter({(None, 0, 4): 5, (1, 0, 4): 3, (2, 0, 16): 1, (2, 16, 5): 1})
+    facts = {r.bin_length: r for r in packing.utilisation(packed).collect()}
+    assert sum(r.words for r in facts.values()) == 53 and all(0 < r.utilisation <= 1 for r in facts.values())
+    assert sum(r.cost for r in facts.values()) == pytest.approx(sum(packing.cost(r.bin_length) for r in rows if r["at"] == 0))
+
+
 def test_word_count(spark):
     texts = ["", " ", "a", " a  b\t\n", "a b c", None, "\x0b\x0ca\x1cb"]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", word_count(F.col("t")).alias("n")).collect()
