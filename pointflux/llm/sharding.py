@@ -17,6 +17,8 @@ from .common import stage
 SEED = "rendezvous-1"
 #: Rows that one task numbers at a time, about.
 ROWS_PER_RUN = 200_000
+#: Rows alike that one task writes out at a time, about.
+CHUNK = 10_000
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -48,8 +50,10 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], doc_id: str = "do
     these are interchangeable. Other columns are ignored; an empty table gives no rows.
 
     Numbering needs no task per shard: rows fall into runs by a hash of their
-    content, each run is numbered alone and starts where the runs before it end,
-    so a shard or key that holds a third of all rows is spread over many runs.
+    content, each run is numbered alone and starts where the runs before it end.
+    Rows alike are counted before any shuffle and numbered as one range, which is
+    spread again in chunks, so a shard, key or row that holds a third of all rows
+    gathers in no task.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.col(doc_id).cast("string")
@@ -57,17 +61,22 @@ def shard_documents(docs: DataFrame, weights: Sequence[float], doc_id: str = "do
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), key.alias("key"), (F.octet_length(body) + 8).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32")
     ).select("doc_id", "size", "text_crc32", rendezvous(F.col("key"), weights).alias("shard"), grown.alias("grown_shard"))
-    rows = stage(rows, "sharded")
+    rows = stage(rows.groupBy("doc_id", "size", "text_crc32", "shard", "grown_shard").agg(F.count(F.lit(1)).alias("copies")), "sharded")
     runs = max(1, -(-rows.count() // ROWS_PER_RUN)) * 8
     rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(runs)).cast("int"))
-    counts = rows.groupBy("shard", "run").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy("shard", "run").agg(F.sum("copies").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "run", F.coalesce(before, F.lit(0)).alias("start"))
     inside = Window.partitionBy("shard", "run").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("at", F.row_number().over(inside) - 1)
-    return numbered.join(starts, ["shard", "run"]).select(
-        "doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), "grown_shard"
-    )
+    numbered = rows.withColumn("at", F.coalesce(F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    numbered = numbered.join(F.broadcast(starts), ["shard", "run"]).withColumn("first", F.col("start") + F.col("at")).drop("start", "at", "run")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK))).alias("chunk")
+    numbered = stage(numbered, "numbered")
+    few = numbered.where(F.col("copies") <= CHUNK).withColumn("chunk", F.lit(0).cast("long"))
+    many = numbered.where(F.col("copies") > CHUNK).select("*", chunk).repartition("doc_id", "text_crc32", "chunk")
+    begin = F.col("first") + F.col("chunk") * CHUNK
+    end = F.least(begin + CHUNK, F.col("first") + F.col("copies")) - 1
+    return few.unionByName(many).select("doc_id", "size", "text_crc32", "shard", F.explode(F.sequence(begin, end)).alias("slot"), "grown_shard")
 
 
 def write_shards(docs: DataFrame, path: str, weights: Sequence[float], doc_id: str = "doc_id") -> None:
