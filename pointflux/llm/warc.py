@@ -14,9 +14,13 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage
+
 #: RFC 4648 base 32 against the digits of number bases.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
+#: Payloads, those that repeat most bytes, whose copies are found by a broadcast: 10,000 rows of 40 bytes or so.
+HOT = 10_000
 #: Stands for a page without an id where ids are compared.
 NO_PAGE = -(1 << 63)
 DATE = "2025-01-01T00:00:00Z"
@@ -61,15 +65,21 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     SHA-256, and equal addresses must agree in SHA-1 and length, else writing
     fails. Other columns are ignored; an empty table gives an empty archive.
 
-    Digests are made where the pages are read; only digests, ids and urls are
-    shuffled, and each payload kept crosses the network once.
+    Digests are made where the pages are read, and digests, ids and urls are
+    shuffled alone. Copies of the HOT payloads that repeat most bytes are dropped
+    where they are read; the payloads left cross the network once, and what other
+    copies are among them is dropped after. HOT bounds what is broadcast, nothing else.
     """
     payload = F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     named = rows.select("page_id", "url", F.sha2("payload", 256).alias("address"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
-    firsts = named.groupBy("address").agg(F.min("page_id").alias("first"), F.min("sha1").alias("s0"), F.max("sha1").alias("s1"), F.min("bytes").alias("n0"), F.max("bytes").alias("n1"))
+    named = stage(named, "digests")
+    firsts = named.groupBy("address").agg(F.min("page_id").alias("first"), F.min("sha1").alias("s0"), F.max("sha1").alias("s1"), F.min("bytes").alias("n0"), F.max("bytes").alias("n1"), F.count(F.lit(1)).alias("pages"))
     sound = F.when((F.col("s0") != F.col("s1")) | (F.col("n0") != F.col("n1")), F.raise_error(F.lit("two payloads share an address"))).otherwise(F.lit(True))
-    firsts = firsts.where(sound).select("address", "first")
+    firsts = stage(firsts.where(sound).select("address", "first", "pages", F.col("n0").alias("bytes")), "firsts")
+    # HOT rows at most: their copies meet them by a broadcast, all other pages by a shuffle without hot keys.
+    hot = stage(firsts.where("pages > 1").orderBy(F.desc(F.col("pages") * (F.col("bytes") + 256)), "address").limit(HOT).select("address", "first", F.lit(True).alias("hot")), "hot")
+    firsts = firsts.select("address", "first")
     revisit = (F.col("bytes") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     kind = F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))
     digest = _base32(F.col("sha1"))
@@ -88,12 +98,16 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
         _line("Content-Length", F.octet_length(http) + stored),
         F.lit("\r\n"),
     )
-    headers = named.join(firsts, "address").select("address", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"))
+    known = named.join(F.broadcast(hot), "address", "left")
+    met = known.where("hot is null").drop("first", "hot").join(firsts, "address").unionByName(known.where("hot").drop("hot"))
+    headers = met.select("address", F.encode(header, "UTF-8").alias("header"), F.encode(http, "UTF-8").alias("http"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
     # The one page that brings an address its bytes; joining and removing repeated rows share one shuffle.
     own = lambda c: F.coalesce(F.col(c), F.lit(NO_PAGE)).alias("key")
     keep = firsts.select(own("first"), "address")
-    held = rows.select(own("page_id"), F.sha2("payload", 256).alias("address"), "payload").join(keep, ["key", "address"], "left_semi")
+    held = rows.select(own("page_id"), F.sha2("payload", 256).alias("address"), "payload")
+    held = held.join(F.broadcast(hot.select("address", own("first").alias("_first"))), "address", "left").where("_first is null or key = _first").drop("_first")
+    held = held.join(keep, ["key", "address"], "left_semi")
     held.dropDuplicates(["key", "address"]).select("address", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
