@@ -17,12 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 BITS = 20
 #: At most so many labelled rows are fitted on; the bound of the training sample.
 MAX_ROWS = 8_000
+#: At most so many gram ids of them reach the driver: 64 MB.
+MAX_GRAMS = 16_000_000
 SHAPES = ((re.compile(r"[^\W\d_a-zß-öø-ÿ]+"), "A"), (re.compile(r"[^\W\d_A]+"), "a"), (re.compile(r"\d+"), "0"))
 RUN = re.compile(r"(.)\1+")
 REPEAT = "="
@@ -31,10 +35,10 @@ CACHE = 1_000_000
 
 
 def shape(word: str) -> str:
-    """``Word,`` is ``Aa,``, ``HERE!!`` is ``A!!``, ``x12`` is ``a0``; at most 8 code points."""
+    """``Word,`` is ``Aa,``, ``HERE!!`` is ``A!!``, ``x12`` is ``a0``."""
     for pattern, code in SHAPES:
         word = pattern.sub(code, word)
-    return RUN.sub(r"\1\1", word)[:8]
+    return RUN.sub(r"\1\1", word)
 
 
 class _Shapes(dict):
@@ -118,9 +122,9 @@ def _gram_ids(docs: DataFrame) -> DataFrame:
         shapes = _Shapes()
         for batch in batches:
             ids = [sorted({gram_id(g) for g in grams(t.as_py(), shapes)}) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(ids, pa.list_(pa.int32()))], names=["label", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(ids, pa.list_(pa.int32()))], names=["id", "label", "ids"])
 
-    return docs.select("label", "text").mapInArrow(run, "label int, ids array<int>")
+    return docs.select("id", "label", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, label int, ids array<int>")
 
 
 def learnable(doc_id: Column) -> Column:
@@ -128,17 +132,27 @@ def learnable(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 != 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_grams: int = MAX_GRAMS) -> Model:
     """Fit on at most ``max_rows`` labelled rows that may be learnt from.
 
-    The sample is the ``max_rows`` labelled ids smallest by hash, the same on
-    every run. Labels that are null or neither 0 nor 1, and rows with a null id,
-    are left out; an id labelled twice counts twice. Whole texts are read.
+    The sample is the ``max_rows`` labelled ids of ``docs`` smallest by hash, the
+    same on every run. Labels that are null or neither 0 nor 1, or of absent
+    documents, and rows with a null id are left out; repeated labels count once,
+    an id with both labels counts for each. Of an id that repeats in ``docs`` the
+    text smallest by hash is learnt from, the whole of it. The driver gets
+    ``max_grams`` gram ids at most, whole texts in the order of the sample.
     """
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & learnable(F.col("id")))
-    sample = known.orderBy(F.xxhash64("id"), "id", "label").limit(max_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    found = _gram_ids(texts.join(F.broadcast(sample), "id")).toArrow()  # the sample is bounded, so is what comes back
+    present = known.distinct().join(texts.select("id").distinct(), "id", "left_semi")
+    place = [F.xxhash64("id"), F.col("id"), F.col("label")]
+    sample = present.orderBy(*place).limit(max_rows)
+    # A row for each sampled id and label, however often the id repeats.
+    one = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    grams_of = stage(_gram_ids(one), "grams")
+    upto = F.sum(F.size("ids")).over(Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, 0))
+    kept = grams_of.select("id", "label", upto.alias("upto")).where(F.col("upto") <= max_grams).select("id", "label")  # max_rows rows at most
+    found = grams_of.join(F.broadcast(kept), ["id", "label"]).toArrow()
     ids, ends = found.column("ids").combine_chunks(), found.column("label").to_numpy()
     rows = [np.asarray(x.values, np.int64) if len(x) else np.empty(0, np.int64) for x in ids]
     order = sorted(range(len(rows)), key=lambda i: (len(rows[i]), rows[i].tobytes(), int(ends[i])))
