@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, new_path, stage
@@ -190,7 +190,7 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "t", "key", "n", "fp", "bands"])
 
     body = F.col(text).cast("string")
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("t"), body.alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(body).alias("t"), body.alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind}, t long, key string, n long, fp long, bands array<long>")
 
 
@@ -198,7 +198,7 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     """``(key, shingles)`` of each row's ``text`` whose set of shingles has the digest ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sets = [], []
+        keys, sets, seen = [], [], set()  # rows alike come once a task
 
         def done() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"])
@@ -207,6 +207,9 @@ def _shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 
         for batch in batches:
             for key, text in zip(batch.column("key"), batch.column("text"), strict=True):
+                if key.as_py() in seen:
+                    continue
+                seen.add(key.as_py())
                 keys.append(key.as_py())
                 sets.append(np.unique(np.concatenate(list(shingle_hashes(text.as_py(), words)))).view(np.int64))
                 if sum(map(len, sets[-16:])) > BLOCK or len(sets) >= 1024:
@@ -277,11 +280,13 @@ def _verified(members: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = NEAR_WORDS, least: float = NEAR, part: int = PART) -> DataFrame:
-    """``(doc_id, t, component_id)`` for each row of ``docs`` with an id; ``t`` is the text's xxhash64.
+    """``(doc_id, t, component_id, keeper_t)`` for each row of ``docs``; ``t`` is the text's xxhash64.
 
     Rows link if their sets of ``words``-word shingles have a Jaccard similarity of
-    ``least`` or more; ``component_id`` is the smallest doc_id reachable. Texts
-    without words link with each other, shorter ones by their whole sequence.
+    ``least`` or more; ``component_id`` is the smallest doc_id reachable and
+    ``keeper_t`` the ``t`` of the row that has it. Rows without an id link like any
+    other; where no row reachable has one, component_id is null. Texts without
+    words link with each other, shorter ones by their whole sequence.
 
     Fingerprints at two bits or less, found by the popcount embedding, name the
     closest candidates. Pairs at 0.8 are up to 14 of 64 bits apart, where no grid
@@ -292,7 +297,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     ``part`` shingles part against part. Only spanning forests leave a search.
     """
     rows = stage(_sketches(docs, doc_id, text, words), "sketches")
-    sets = stage(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
+    # Rows with an id come first, then the smallest id, then the text's hash.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
+    sets = stage(rows.groupBy("key").agg(first, F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "sets")
     full = sets.where("n > 0")
     groups = components(links(full.select("fp").distinct())).select(F.col("v").alias("fp"), "root")
     by_fp = full.join(groups, "fp", "left").select("key", "n", F.xxhash64(F.lit(-1), F.coalesce("root", "fp")).alias("bucket"))
@@ -302,10 +309,10 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     buckets = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"), F.bit_xor(mark).alias("x"), F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("m > 1")
     once = buckets.groupBy("m", "total", "x", "lo", "hi").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("total") / part).cast("int").alias("parts"))
     places = stage(named.join(once, "bucket").select("bucket", "key", "parts"), "places")
-    wanted = places.select("key").distinct().join(sets, "key").select("key", F.col("first").alias("_first"))
-    wanted = wanted.join(rows.select("key", F.col("doc_id").alias("_first"), "t"), ["key", "_first"]).dropDuplicates(["key"])
+    wanted = places.select("key").distinct().join(sets, "key").select("key", F.col("first.doc_id").alias("_first"), F.col("first.t").alias("t"))
     body = F.col(text).cast("string")
-    texts = docs.select(F.col(doc_id).alias("_first"), F.xxhash64(body).alias("t"), body.alias("text")).join(wanted, ["_first", "t"])
+    texts = docs.select(F.col(doc_id).alias("_id"), F.xxhash64(body).alias("_t"), body.alias("text"))
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_first")) & (F.col("_t") == F.col("t")))
     shingled = stage(_shingle_sets(texts, words), "shingles").dropDuplicates(["key"])
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q"), F.when(F.col("own") <= o, 0).otherwise(1).alias("side")))
@@ -313,17 +320,27 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     edges = _verified(dealt.join(shingled, "key").select("bucket", "p", "q", "side", "key", "shingles"), least)
     roots = components(edges).select(F.col("v").alias("key"), "root")
     rooted = stage(sets.select("key", "first").join(roots, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root")), "rooted")
-    least_ids = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.join(least_ids, "root").select("key", "component_id"), "key").select("doc_id", "t", "component_id")
+    least_ids = rooted.groupBy("root").agg(F.min("first").alias("keeper"))
+    named = rows.join(rooted.join(least_ids, "root").select("key", "keeper"), "key")
+    return named.select("doc_id", "t", F.col("keeper.doc_id").alias("component_id"), F.col("keeper.t").alias("keeper_t"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options: object) -> DataFrame:
-    """The rows of ``docs`` that stay: the one with the smallest doc_id of each group of :func:`near_copies`.
+    """One row of ``docs`` for each group of :func:`near_copies`, all columns unchanged.
 
-    Of repeated rows with that id all stay; rows with a null doc_id stay, as they
-    can't be told apart by an id. A row goes by its id and text, so another text
-    under the same id stays. All columns of ``docs`` come back unchanged.
+    The row with the smallest doc_id stays; among several texts of that id, the
+    one smallest by hash; rows without an id come after all others. Of rows alike
+    in id and text the one smallest by a hash of all columns stays.
     """
     found = near_copies(docs, doc_id, text, **options)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone_id"), F.col("t").alias("_gone_t")).distinct()
-    return docs.join(gone, (docs[doc_id] == gone["_gone_id"]) & (F.xxhash64(docs[text].cast("string")) == gone["_gone_t"]), "left_anti")
+    keeps = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("t") == F.col("keeper_t"))
+    marks = found.groupBy("doc_id", "t").agg(F.count(F.lit(1)).alias("n"), F.bool_and(keeps).alias("keeps")).where("n > 1 or not keeps")
+    marks = stage(marks.select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.col("keeps").alias("_twice")), "marks")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(row.alias("_row"), F.col(doc_id).alias("_doc"), F.xxhash64(F.col(text).cast("string")).alias("_hash"))
+    kept = rows.join(marks, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_t")), "left").where("_twice is null or _twice")
+    if marks.where("_twice").limit(1).count():
+        place = F.row_number().over(Window.partitionBy("_doc", "_hash").orderBy(F.xxhash64("_row")))
+        twice = kept.where("_twice").withColumn("_at", place).where("_at = 1").drop("_at")
+        kept = kept.where("_twice is null").unionByName(twice)
+    return kept.select("_row.*")

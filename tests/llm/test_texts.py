@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -88,11 +89,11 @@ def test_simhash_keeps_one_of_each(odd_docs):
     kept = simhash_dedup.one_of_each(odd_docs)
     assert kept.columns == odd_docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(None) == 2
+    assert 1 in ids and 2 not in ids and 3 not in ids and ids.count(None) == 1 and len(ids) == len(set(ids))
 
 
 def brute_near(rows, least=0.8):
-    """``{(doc_id, text): component_id}`` by comparing all pairs of five-word shingle sets."""
+    """``{(doc_id, text): keeper}`` by comparing all pairs of five-word shingle sets; the keeper is a (doc_id, text)."""
     sets = {}
     for d, t in rows:
         w = words(t)
@@ -111,10 +112,9 @@ def brute_near(rows, least=0.8):
             if len(a) >= least * len(b) and len(a & b) >= least * len(a | b) - 1e-9:
                 root[find(b)] = find(a)
     first = {}
-    for (d, _), s in sets.items():
-        if d is not None:
-            first[find(s)] = min(d, first.get(find(s), d))
-    return {x: first.get(find(s)) for x, s in sets.items()}
+    for d, t in sorted(sets, key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(find(sets[d, t]), (d, t))
+    return {x: first[find(s)] for x, s in sets.items()}
 
 
 @pytest.mark.parametrize("part", [simhash_dedup.PART, 300])
@@ -133,16 +133,21 @@ def test_near_copies_against_brute_force(spark, part):
     texts += [" ".join([*passage, *(word() for _ in range(60))]) for _ in range(30)]
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
     got = simhash_dedup.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()
-    want = {d: c for (d, _), c in brute_near(rows).items()}
+    want = {d: c for (d, _), (c, _) in brute_near(rows).items()}
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(rows)
     assert len(set(want.values())) > 45
 
 
-def test_near_copies_odd_rows(odd_docs, no_docs):
+def test_near_copies_odd_rows(spark, odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    want = brute_near([r for r in rows if r[0] is not None])
-    kept = [(r.doc_id, r.text) for r in simhash_dedup.one_of_each(odd_docs).collect()]
-    assert Counter(kept) == Counter(r for r in rows if r[0] is None or want[r] == r[0])
+    rows += [(None, "no id here but twenty words " + "and more " * 4), (None, "no id here but twenty words " + "and more " * 4 + "x"), (None, "no id here")]
+    docs = spark.createDataFrame([(*r, f"s{i}") for i, r in enumerate(rows)], "doc_id long, text string, _row string")
+    want = brute_near(rows)
+    kept = [(r.doc_id, r.text) for r in simhash_dedup.one_of_each(docs).collect()]
+    groups = {k: {x for x in want if want[x] == k} for k in set(want.values())}
+    assert len(kept) == len(groups) == len({want[r] for r in kept})
+    for r in kept:  # the smallest id stays; without ids, one of the group does
+        assert r[0] == want[r][0] and (r[0] is None or r == want[r] or sum(x[0] == r[0] for x in groups[want[r]]) > 1)
     assert simhash_dedup.near_copies(no_docs).count() == 0 and simhash_dedup.one_of_each(no_docs).count() == 0
 
 
@@ -172,6 +177,36 @@ def test_sharding_law(spark, odd_docs, no_docs):
         sharding.rendezvous(F.lit("x"), [0.0])
 
 
+def test_sharding_hot_rows(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 100)
+    docs = spark.range(6_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 3 > 0, "x").alias("text"))
+    out = sharding.shard_documents(docs, [1.0] * 4)
+    rows = out.collect()
+    assert len(rows) == 6_000 and sum(r.doc_id is None for r in rows) == 2_000
+    for shard in range(4):
+        slots = [(r.slot, r.doc_id, r.text_crc32, r.size) for r in rows if r.shard == shard]
+        assert sorted(s for s, *_ in slots) == list(range(len(slots)))
+    plan = out._jdf.queryExecution().toString()
+    assert "Window" not in plan  # numbering is done over rows counted once, and written
+
+
+def brute_rendezvous(key, weights):
+    """Shard by the definition, from XXH64 of the two strings one after the other, as Spark chains them."""
+    draws = []
+    for j, w in enumerate(weights):
+        h = xxhash.xxh64_intdigest(key.encode(), 42)
+        h = xxhash.xxh64_intdigest(f"{sharding.SEED}:{j}".encode(), h)
+        draws.append((-math.log(((h >> 11) + 0.5) / 2**53) / w, j))
+    return min(draws)[1]
+
+
+def test_sharding_against_brute_force(spark):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    w = [1.0, 2.0, 0.5, 1.0]
+    for r in sharding.shard_documents(docs, w).collect():
+        assert (r.shard, r.grown_shard) == (brute_rendezvous(str(r.doc_id), w), brute_rendezvous(str(r.doc_id), [*w, 1.0]))
+
+
 def test_sharding_follows_weights_and_moves_little(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     w = [1.0, 2.0, 1.0, 0.0]
@@ -544,6 +579,28 @@ def test_warc_round_trip(spark):
     assert {r.record_type for r in warc.read_archive(spark, path).collect()} == {"response"}
 
 
+def test_warc_hot_payloads(spark, monkeypatch):
+    rows = [(i, f"u{i}", f"p{i % 4}" if i % 2 else f"q{i}") for i in range(60)] + [(None, "n", "p1"), (1, "again", "p1")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = []
+    for hot in (1, 10_000):
+        monkeypatch.setattr(warc, "HOT", hot)
+        path = new_path(spark, "warc")
+        warc.write_archive(pages, path)
+        found.append(Counter((r.page_id, r.url, bytes(r.record)) for r in warc.read_archive(spark, path).collect()))
+        assert spark.read.parquet(f"{path}/payloads").count() == 32
+    assert found[0] == found[1] and sum(found[0].values()) == 62
+
+
+def test_quality_counts_a_repeated_id_once(spark):
+    docs = spark.createDataFrame([(2, "alpha beta")] * 50 + [(3, "gamma $$$")] + [(4, "alpha beta delta"), (6, "gamma $$$ $$$")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2 if i < 4 else int(i == 6)) for i in (2, 3, 4, 6)] + [(2, 0), (99, 1)], "doc_id long, quality int")
+    few = quality.train(docs.distinct(), labels.distinct().where("doc_id < 50"))
+    many = quality.train(docs, labels, max_rows=4)  # a label of an absent document takes no place
+    assert (few.weights == many.weights).all() and few.bias == many.bias
+    assert quality.train(docs, labels, max_grams=1).weights.any() == False  # noqa: E712
+
+
 def test_registered_queries_run_on_small_tables(spark):
     for name in ("op1_warc", "op4_chat_format", "op6_mixing", "op8_sharding", "op9_pii"):
         table = {"op1_warc": "pages", "op4_chat_format": "conversations"}.get(name, "documents")
