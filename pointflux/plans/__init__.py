@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables and their SQL counterparts."""
 
-from . import assets, joins, layout, models, sampling, scalars, selection, stats, temporal  # noqa: F401
+from . import assets, files, joins, layout, models, sampling, scalars, selection, stats, temporal  # noqa: F401
 from .base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.streams import planes, unplanes
+from .files import open_output
 
 #: Fixed value: the container's first eight bytes.
 MAGIC = b"4CGSPRS2"
@@ -68,6 +69,54 @@ def rewrite_manifest(data: bytes, changes: dict) -> bytes:
     return MAGIC + struct.pack("<I", len(head)) + head + data[start:]
 
 
+def manifests(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """``(path, version, stream, codec, size, raw_size, raw_sha)``: what the manifests of containers list, nothing inflated."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, data in zip(pdf[name], pdf[content], strict=True):
+                manifest, _ = parse(data)
+                rows = [(path, manifest.get("version"), s["name"], s["codec"], s["size"], s["rawSize"], s["rawSha256"]) for s in manifest["streams"]]
+                yield pd.DataFrame(rows, columns=[name, "version", "stream", "codec", "size", "raw_size", "raw_sha"])
+
+    return files.select(name, content).mapInPandas(run, f"{name} string, version int, stream string, codec string, size long, raw_size long, raw_sha string")
+
+
+def write_containers(streams: DataFrame, folder: str, version: int = 1, codec: str = "deflate") -> DataFrame:
+    """Write a container for each ``file`` of ``streams(file, stream, data)``; returns ``(file, bytes)``.
+
+    Each file is written by the task that holds its streams; a task that runs
+    again writes the same bytes again.
+    """
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("stream")
+        data = pack({"version": version}, dict(zip(pdf["stream"], pdf["data"], strict=True)), codec)
+        with open_output(f"{folder.rstrip('/')}/{key[0]}") as f:
+            f.write(data)
+        return pd.DataFrame({"file": [key[0]], "bytes": [len(data)]})
+
+    return streams.groupBy("file").applyInPandas(run, "file string, bytes long")
+
+
+def save_as(files: DataFrame, changes: dict, folder: str, name: str = "path", content: str = "content") -> DataFrame:
+    """Write containers again below ``folder`` with a changed manifest and the same stream bytes; returns ``(path, file)``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, data in zip(pdf[name], pdf[content], strict=True):
+                file = path.rsplit("/", 1)[-1]
+                new = rewrite_manifest(data, changes)
+                before, after = parse(data), parse(new)
+                if data[before[1] :] != new[after[1] :]:
+                    raise ValueError(f"{path} changed when it was saved")
+                with open_output(f"{folder.rstrip('/')}/{file}") as f:
+                    f.write(new)
+                yield pd.DataFrame({name: [path], "file": [file]})
+
+    return files.select(name, content).mapInPandas(run, f"{name} string, file string")
+
+
 def catalog_check(catalog: DataFrame, manifests: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """``(key, problem)``: entries on one side only, repeated ids and fields that differ."""
     c, m = catalog.alias("c"), manifests.alias("m")
