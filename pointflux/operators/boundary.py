@@ -8,6 +8,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import quaternion as Q
+
 
 def exact_match(previous: DataFrame, current: DataFrame, key: Sequence[str], features: str = "features", weights: Sequence[int] | None = None) -> DataFrame:
     """Pair points whose key is equal in all parts: ``(cur, prev, candidates)``.
@@ -81,7 +83,7 @@ def extend_tracks(current: DataFrame, matches: DataFrame, known: DataFrame, next
 
     inherited = matches.join(known, "prev").select(local, "track_id")
     fresh = current.select(local).join(inherited.select(local), local, "left_anti")
-    numbered = dense_ids(fresh, [local], F.floor(F.col(local) / 65_536), "_i")
+    numbered = dense_ids(fresh, [local], "_i")
     return inherited.union(numbered.select(local, (F.col("_i") + next_id).alias("track_id")))
 
 
@@ -89,8 +91,8 @@ def recycle_slots(unmatched: DataFrame, free: DataFrame, next_slot: int, local:
     """``(cur, slot)``: the i-th unmatched point gets the i-th free slot, then new ones."""
     from .layout import dense_ids
 
-    points = dense_ids(unmatched.select(local), [local], F.floor(F.col(local) / 65_536), "_i")
-    slots = dense_ids(free.select("slot"), ["slot"], F.floor(F.col("slot") / 65_536), "_i")
+    points = dense_ids(unmatched.select(local), [local], "_i")
+    slots = dense_ids(free.select("slot"), ["slot"], "_i")
     have = slots.agg(F.count(F.lit(1)).alias("_f"))
     new = F.lit(next_slot) + F.col("_i") - F.col("_f")
     return points.join(slots, "_i", "left").crossJoin(F.broadcast(have)).select(local, F.coalesce("slot", new).alias("slot"))
@@ -117,3 +119,54 @@ def last_keys(keys: DataFrame, track: str, order: str, columns: Sequence[str]) -
 
 def rank_in(partition: Sequence[str], order: Sequence[Column | str]) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
+
+
+def brick_overlaps(points: DataFrame, brick: float, sigmas: float = 3.5) -> DataFrame:
+    """``(stable_id, bx, by, bz)``: the bricks that a rotated ellipsoid of so many sigmas may touch.
+
+    ``points(stable_id, x, y, z, s0, s1, s2, qw, qx, qy, qz)``. Bricks of the
+    ellipsoid's bounding box are kept if their box, seen from the ellipsoid's own
+    axes in sigmas, comes within ``sigmas`` of its centre; none that it touches is lost.
+    """
+    q = Q.normalize(Q.quat(*[F.col(c) for c in ("qw", "qx", "qy", "qz")]))
+    rows = points.withColumn("_q", q)
+    w, x, y, z = (F.col(f"_q.{c}") for c in "wxyz")
+    turn = [
+        [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
+        [2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w)],
+        [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
+    ]
+    size = [F.greatest(F.col(f"s{i}").cast("double"), F.lit(1e-7)) for i in range(3)]
+    rows = rows.select("stable_id", "x", "y", "z", *[size[i].alias(f"s{i}") for i in range(3)], *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)])
+    reach = [sigmas * F.sqrt(sum(((F.col(f"r{i}{j}") * F.col(f"s{j}")) ** 2 for j in (1, 2)), (F.col(f"r{i}0") * F.col("s0")) ** 2)) for i in range(3)]
+    edge = lambda a, i, sign: F.floor((F.col(a) + sign * reach[i]) / brick)
+    for i, a in enumerate("xyz"):
+        rows = rows.withColumn(f"_{a}", F.sequence(edge(a, i, -1), edge(a, i, 1)))
+    for a in "xyz":
+        rows = rows.withColumn(f"b{a}", F.explode(f"_{a}")).drop(f"_{a}")
+    delta = [(F.col(f"b{a}") + 0.5) * brick - F.col(a) for a in "xyz"]
+    outside = []
+    for j in range(3):
+        local = sum((delta[i] * F.col(f"r{i}{j}") for i in (1, 2)), delta[0] * F.col(f"r0{j}")) / F.col(f"s{j}")
+        half = brick / 2 * sum((F.abs(F.col(f"r{i}{j}")) for i in (1, 2)), F.abs(F.col(f"r0{j}"))) / F.col(f"s{j}")
+        outside.append(F.greatest(F.lit(0.0), F.abs(local) - half))
+    near = outside[0] ** 2 + outside[1] ** 2 + outside[2] ** 2 <= sigmas * sigmas
+    return rows.where(near).select("stable_id", "bx", "by", "bz")
+
+
+def nearest_in_view(faces: DataFrame, bodies: DataFrame, axes: Sequence[str], limit: float, group: str) -> DataFrame:
+    """``(face, body, distance)``: each face's nearest body of its group within ``limit``, the smaller id of equals.
+
+    Space is cut into cells of the limit's width; a face meets the bodies of its own
+    and the neighbouring cells of its group, so a group of any size forms no pairs
+    beyond those.
+    """
+    cell = lambda a: F.floor(F.col(a) / limit)
+    around = faces.select("face", group, *[F.col(a).alias(f"f{a}") for a in axes], *[cell(a).alias(f"c{a}") for a in axes])
+    for a in axes:
+        around = around.withColumn(f"c{a}", F.explode(F.array(*[F.col(f"c{a}") + d for d in (-1, 0, 1)])))
+    placed = bodies.select("body", group, *axes, *[cell(a).alias(f"c{a}") for a in axes])
+    met = around.join(placed, [group, *[f"c{a}" for a in axes]])
+    distance = F.sqrt(sum(((F.col(f"f{a}") - F.col(a)) ** 2 for a in axes[1:]), (F.col(f"f{axes[0]}") - F.col(axes[0])) ** 2))
+    best = met.withColumn("d", distance).where(F.col("d") <= limit).groupBy("face").agg(F.min(F.struct("d", "body")).alias("b"))
+    return best.select("face", F.col("b.body").alias("body"), F.col("b.d").alias("distance"))

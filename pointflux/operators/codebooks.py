@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .stats import quantiles
 
 
 def nearest_scalar(value: Column, codes: Sequence[float]) -> Column:
@@ -28,7 +31,7 @@ def scalar_codebook(rows: DataFrame, value: str, bits: int, rounds: int = 6) ->
     """2**bits codes: quantiles first, then ``rounds`` of means by nearest code; an empty code stays."""
     k = 1 << bits
     good = rows.where(N.finite(F.col(value))).select(F.col(value).cast("double").alias("v"))
-    start = good.agg(F.percentile("v", F.array(*[F.lit((i + 0.5) / k) for i in range(k)])).alias("q")).first()["q"]
+    start = quantiles(good, "v", [(i + 0.5) / k for i in range(k)])
     codes = sorted(start or [0.0] * k)
     for _ in range(rounds):
         means = good.groupBy(nearest_scalar(F.col("v"), codes).alias("c")).agg(F.avg("v").alias("m")).collect()  # a row a code
@@ -91,40 +94,55 @@ def hash_grid(rows: DataFrame, values: Sequence[str], axes: Sequence[str], size:
     return placed.join(means, "bucket").select(*[c for c in placed.columns if c not in values], *[(F.col(v) - F.col(f"_{v}")).alias(v) for v in values])
 
 
-def descend(vector: Column, tree: dict[int, tuple[Sequence[float], Sequence[float]]], depth: int) -> Column:
-    """Leaf (1-based heap number) reached by going to the nearer of two codes at each node, the first of equals."""
-    at = F.lit(1)
-    for level in range(depth):
-        step = F.lit(None).cast("int")
-        for node in range(1 << level, 2 << level):
-            if node in tree:
-                left, right = tree[node]
-                side = F.when(squared_distance(vector, right) < squared_distance(vector, left), 2 * node + 1).otherwise(2 * node)
-                step = F.when(at == node, side).otherwise(step)
-        at = F.coalesce(step, at * 2)
+Tree = dict[int, tuple[Sequence[float], Sequence[float]]]
+
+#: Rows that a tree is fitted on, at most.
+TREE_SAMPLE = 32_768
+
+
+def _steps(x: np.ndarray, tree: Tree, depth: int) -> np.ndarray:
+    """Heap numbers that rows reach after ``depth`` steps."""
+    at = np.ones(len(x), np.int64)
+    for _ in range(depth):
+        nodes, place = np.unique(at, return_inverse=True)
+        left, right = (np.array([tree[n][k] if n in tree else np.zeros(x.shape[1]) for n in nodes.tolist()], float)[place] for k in (0, 1))
+        at = 2 * at + (((x - right) ** 2).sum(1) < ((x - left) ** 2).sum(1))
     return at
 
 
-def tree_codebook(rows: DataFrame, vector: str, depth: int, rounds: int = 5, spread: float = 1e-2) -> dict[int, tuple[list[float], list[float]]]:
+def descend(vector: Column, tree: Tree, depth: int) -> Column:
+    """Leaf (1-based heap number) reached by going to the nearer of two codes at each node, the first of equals; left where a node has none."""
+
+    @F.pandas_udf("int")
+    def leaf(v: pd.Series) -> pd.Series:
+        return pd.Series(_steps(np.stack(v.to_numpy()).astype(float), tree, depth) if len(v) else [], dtype="int32")
+
+    return leaf(vector)
+
+
+def tree_codebook(rows: DataFrame, vector: str, depth: int, rounds: int = 5, spread: float = 1e-2, most: int = TREE_SAMPLE) -> Tree:
     """A binary tree of codes: each node's rows are split by two-means from its mean, nudged both ways.
 
-    All nodes of a level train together: one partial aggregate a round, a row a node.
+    Fitted on the ``most`` rows smallest by hash; a side that gets no rows keeps its code.
     """
-    dim = rows.select(F.max(F.size(vector)).alias("d")).first()["d"] or 0
-    means = [F.avg(F.get(vector, F.lit(i))).alias(f"m{i}") for i in range(dim)]
-    tree: dict[int, tuple[list[float], list[float]]] = {}
-    for level in range(depth):
-        here = rows.select(vector, descend(F.col(vector), tree, level).alias("node"))
-        for r in here.groupBy("node").agg(*means).collect():  # a row a node
-            m = [r[f"m{i}"] for i in range(dim)]
-            tree[r["node"]] = ([v - spread for v in m], [v + spread for v in m])
-        for _ in range(rounds):
-            sides = rows.select(vector, descend(F.col(vector), tree, level + 1).alias("node")).groupBy("node").agg(*means).collect()
-            for r in sides:
-                node, right = divmod(r["node"], 2)
-                codes = list(tree[node])
-                codes[right] = [r[f"m{i}"] for i in range(dim)]
-                tree[node] = (codes[0], codes[1])
+    found = rows.where(F.col(vector).isNotNull()).select(vector).orderBy(F.xxhash64(vector), vector).limit(most).toPandas()[vector]
+    tree: Tree = {}
+    if not len(found):
+        return tree
+    x = np.stack(found.to_numpy()).astype(float)
+    at = np.ones(len(x), np.int64)
+    for _ in range(depth):
+        sides = np.zeros(len(x), np.int64)
+        for node in np.unique(at).tolist():
+            own = np.flatnonzero(at == node)
+            codes = [x[own].mean(0) - spread, x[own].mean(0) + spread]
+            side = lambda: ((x[own] - codes[1]) ** 2).sum(1) < ((x[own] - codes[0]) ** 2).sum(1)  # noqa: B023, E731
+            for _ in range(rounds):
+                right = side()
+                codes = [x[own[~right]].mean(0) if (~right).any() else codes[0], x[own[right]].mean(0) if right.any() else codes[1]]
+            tree[node] = (codes[0].tolist(), codes[1].tolist())
+            sides[own] = side()
+        at = 2 * at + sides
     return tree
 
 

@@ -87,6 +87,12 @@ def fit_blocks(pairs: DataFrame, block: str, kind: str = "rigid") -> DataFrame:
     return moments(pairs, block).mapInPandas(run, f"{block} long, n long, " + ", ".join(f"{n} double" for n in names))
 
 
+def quantized(fits: DataFrame, bits: int) -> DataFrame:
+    """Fits with their parameters in steps of 2**-bits, as they are stored."""
+    step = float(1 << bits)
+    return fits.withColumns({c: F.floor(F.col(c) * step + 0.5) / step for c in fits.columns if c[0] in "mt" and c[1:] in ("x", "y", "z", *[f"{i}{j}" for i in range(3) for j in range(3)])})
+
+
 def grid_scatter(points: DataFrame, values: Sequence[str], size: float, axes: Sequence[str] = AXES) -> DataFrame:
     """Trilinear scatter onto grid nodes: ``(node..., weight, values...)`` as weighted means."""
     corners = F.array(*[F.struct(*[F.lit((c >> i) & 1).alias(a) for i, a in enumerate(axes)]) for c in range(1 << len(axes))])

@@ -9,29 +9,46 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import numeric as N
+from ..storage import stage
 
 
 def morton_of(x: Column, y: Column, z: Column, centre: Sequence[float], half: float) -> Column:
     return B.morton(B.cell10(x, centre[0], half), B.cell10(y, centre[1], half), B.cell10(z, centre[2], half))
 
 
-def dense_ids(rows: DataFrame, order: Sequence[str], bucket: Column, name: str = "dense_id") -> DataFrame:
-    """Number rows from 0 in ``order`` without gathering them in one task.
+def by_ranges(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """``rows`` sorted by ranges and written: ``_part`` is a row's range, ``_at`` grows inside it.
 
-    ``bucket`` must not decrease along ``order``: buckets are counted, the counts
-    (a row for each bucket) are summed up, and each bucket numbers its own rows.
+    Ranges are cut at sampled quantiles, so outliers and crowded values leave them
+    even; rows equal in all of ``order`` share one.
     """
-    placed = rows.withColumn("_bucket", bucket)
-    counts = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    start = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_bucket", start.alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return placed.withColumn("_at", inside).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_start") + F.col("_at")).drop("_bucket", "_at", "_start")
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return stage(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ranges")
+
+
+def dense_ids(rows: DataFrame, order: Sequence[str | Column], name: str = "dense_id") -> DataFrame:
+    """Number rows from 0 in ``order`` without gathering them in one task: each range is numbered alone, from where those before it end."""
+    placed = by_ranges(rows, order)
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))  # a row for each range
+    start = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", "_low", start.alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_start")
+
+
+def ranked_values(rows: DataFrame, value: str) -> DataFrame:
+    """``(v, m, first)``: each finite value once, how often it occurs and the rank of its first occurrence."""
+    counted = rows.where(N.finite(F.col(value))).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m"))
+    placed = by_ranges(counted, ["v"])
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = placed.groupBy("_part").agg(F.sum("m").alias("_n"))  # a row for each range
+    starts = totals.select("_part", before("_n", Window.orderBy("_part")).alias("_start"))
+    inside = placed.withColumn("_in", before("m", Window.partitionBy("_part").orderBy("v")))
+    return stage(inside.join(F.broadcast(starts), "_part").select("v", "m", (F.col("_start") + F.col("_in")).alias("first")), "ranked")
 
 
 def morton_layout(tracks: DataFrame, code: str = "code", birth: str = "birth", track: str = "track") -> DataFrame:
-    """New dense ids by (Morton code, birth segment, track id); buckets are the code's top 12 bits."""
-    return dense_ids(tracks, [code, birth, track], F.shiftright(F.col(code), 18))
+    """New dense ids by (Morton code, birth segment, track id)."""
+    return dense_ids(tracks, [code, birth, track])
 
 
 def visibility(opacity: Column, s0: Column, s1: Column, s2: Column) -> Column:
@@ -67,14 +84,11 @@ def blocks(rows: DataFrame, slot: str, size: int = 256) -> DataFrame:
     return rows.groupBy(F.floor(F.col(slot) / size).alias("block")).agg(F.min(slot).alias("first_slot"), F.max(slot).alias("last_slot"), F.count(F.lit(1)).alias("n"))
 
 
-def tiers(rows: DataFrame, score: str, tie: str, fractions: Sequence[float], runs: int = 1024) -> DataFrame:
+def tiers(rows: DataFrame, score: str, tie: str, fractions: Sequence[float]) -> DataFrame:
     """``tier`` of each row by cumulative fractions of the order by score descending, tie ascending."""
-    ends = rows.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    placed = rows.crossJoin(F.broadcast(ends))
-    span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    run = F.least(F.lit(runs - 1), F.floor((F.col("_hi") - F.col(score)) / span * runs))
-    ranked = dense_ids(placed.withColumn("_neg", -F.col(score)), ["_neg", tie], run, "_rank")
+    n = rows.agg(F.count(F.lit(1)).alias("_n"))
+    ranked = dense_ids(rows, [F.col(score).desc(), F.col(tie).asc()], "_rank").crossJoin(F.broadcast(n))
     tier = F.lit(0)
     for f in fractions:
         tier = tier + F.when(F.col("_rank") >= F.floor(F.col("_n") * f + 0.5), 1).otherwise(0)
-    return ranked.withColumn("tier", tier.cast("int")).drop("_lo", "_hi", "_n", "_rank", "_neg")
+    return ranked.withColumn("tier", tier.cast("int")).drop("_n", "_rank")

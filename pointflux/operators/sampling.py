@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..functions import quaternion as Q
 
 
 def canonical_keyframes(total_frames: Column, stride: Column) -> Column:
@@ -128,3 +129,43 @@ def visible_logit(logit: Column, at: Column, centre: Column, sigma: Column, radi
     tail = F.greatest(F.abs(at - centre) - radius, F.lit(0.0))
     ratio = tail / F.greatest(sigma, F.lit(1e-6))
     return N.logit(N.sigmoid(logit) * F.exp(-(ratio * ratio)))
+
+
+def offline_rotation_keys(keys: DataFrame, track: str = "track", k: str = "k") -> DataFrame:
+    """Rotations qw..qz normalized and turned into their predecessor's hemisphere, key after key.
+
+    A key is turned if its product with the one before, as that one came out, is
+    negative; so signs follow from the number of negative products up to the key.
+    """
+    names = ("qw", "qx", "qy", "qz")
+    unit = keys.withColumn("_q", Q.normalize(Q.quat(*[F.col(c) for c in names])))
+    order = Window.partitionBy(track).orderBy(k)
+    turned = F.coalesce(Q.dot(F.lag("_q").over(order), F.col("_q")) < 0, F.lit(False)).cast("int")
+    sign = F.when(F.sum("_t").over(order) % 2 == 1, -1.0).otherwise(1.0)
+    rows = unit.withColumn("_t", turned).withColumn("_s", sign)
+    return rows.withColumns({n: F.col(f"_q.{n[1]}") * F.col("_s") for n in names}).drop("_q", "_t", "_s")
+
+
+def offline_value(left: Column, right: Column, alpha: Column) -> Column:
+    """Linear interpolation in which minus infinity at either end of a span wins, even on a key; one key alone keeps its value."""
+    low = F.lit(float("-inf"))
+    return F.when(left.isNull() | right.isNull(), F.coalesce(left, right)).when((left == low) | (right == low), low).otherwise(left + (right - left) * alpha)
+
+
+def offline_sample(keys: DataFrame, at: float, total_frames: int, values: Sequence[str], track: str = "track", frame: str = "frame") -> DataFrame:
+    """``(track, *values)`` at one frame, without clamping: a frame outside the clip raises ValueError.
+
+    Between keys values are interpolated; at or before the first key and at or
+    after the last one that key's value holds. A frame on a later key is the end
+    of the span before it, so a minus infinity at that span's start counts too.
+    """
+    if not 0 <= at <= total_frames - 1:
+        raise ValueError(f"frame {at} is outside 0 to {total_frames - 1}")
+    entry = F.struct(F.col(frame).cast("double").alias("f"), *[F.col(v).cast("double").alias(v) for v in values])
+    ends = keys.groupBy(track).agg(
+        F.min(frame).alias("_first"), F.max(frame).alias("_last"), F.max_by(entry, F.when(F.col(frame) < at, F.col(frame))).alias("_l"), F.min_by(entry, F.when(F.col(frame) >= at, F.col(frame))).alias("_r"),
+        F.min_by(entry, frame).alias("_head"), F.max_by(entry, frame).alias("_tail"),
+    )
+    alpha = (at - F.col("_l.f")) / (F.col("_r.f") - F.col("_l.f"))
+    held = lambda v: F.when(F.col("_first") >= at, F.col(f"_head.{v}")).when(F.col("_last") <= at, F.col(f"_tail.{v}"))
+    return ends.select(track, *[F.when((F.col("_first") >= at) | (F.col("_last") <= at), held(v)).otherwise(offline_value(F.col(f"_l.{v}"), F.col(f"_r.{v}"), alpha)).alias(v) for v in values])

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .layout import ranked_values
 
 METRICS = ("opacity", "scale_max", "volume", "x", "y", "z", "distance", "lifetime_center", "lifetime_width")
 
@@ -83,28 +84,35 @@ def support(points: DataFrame, x: str = "x", y: str = "y", z: str = "z") -> Data
     return maxima.select(F.posexplode(F.array(*[f"d{i}" for i in range(len(DIRECTIONS))])).alias("direction", "support"))
 
 
-def envelope(support_values: Sequence[float], margin: float = 1.005) -> tuple[list[tuple[float, float, float]], list[list[int]]]:
-    """Vertices and outward faces of the polytope with 26 support planes; works on 26 numbers, no rows."""
+def envelope(support_values: Sequence[float]) -> tuple[list[tuple[float, float, float]], list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """Vertices, outward triangles and edges of the polytope with 26 support planes; works on 26 numbers, no rows.
+
+    Planes move out by 0.0015 of the bounding box's diagonal, 1e-5 at least.
+    """
     import numpy as np
 
     d, h = np.array(DIRECTIONS), np.array(support_values, float)
-    h = h + np.maximum(np.abs(h), 1e-6) * (margin - 1)
+    at = {tuple(np.rint(v)): x for v, x in zip(d, h, strict=True) if np.abs(v).max() > 1 - 1e-9}
+    size = math.hypot(*(at[e] + at[tuple(-c for c in e)] for e in ((1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0))))
+    h, close = h + max(1e-5, 0.0015 * size), max(1e-8, max(size, 1e-4) * 1e-6)
     found: list[np.ndarray] = []
     for tri in itertools.combinations(range(len(d)), 3):
         m = d[list(tri)]
         if abs(np.linalg.det(m)) > 1e-9:
             p = np.linalg.solve(m, h[list(tri)])
-            if (d @ p <= h + 1e-7).all() and not any(np.abs(p - q).max() < 1e-7 for q in found):
+            if (d @ p <= h + 4 * close).all() and not any(np.linalg.norm(p - q) <= 4 * close for q in found):
                 found.append(p)
-    faces = []
+    triangles, edges = [], set()
     for k in range(len(d)):
-        on = [i for i, p in enumerate(found) if abs(d[k] @ p - h[k]) < 1e-6]
+        on = [i for i, p in enumerate(found) if abs(d[k] @ p - h[k]) <= 8 * close]
         if len(on) >= 3:
             centre = np.mean([found[i] for i in on], axis=0)
-            u = np.cross(d[k], [1.0, 0, 0] if abs(d[k][0]) < 0.9 else [0, 1.0, 0])
+            u = np.cross([0.0, 1.0, 0.0] if abs(d[k][1]) < 0.9 else [1.0, 0.0, 0.0], d[k])
             v = np.cross(d[k], u)
-            faces.append(sorted(on, key=lambda i: math.atan2((found[i] - centre) @ v, (found[i] - centre) @ u)))
-    return [tuple(map(float, p)) for p in found], faces
+            on.sort(key=lambda i: math.atan2((found[i] - centre) @ v / np.linalg.norm(v), (found[i] - centre) @ u / np.linalg.norm(u)))
+            triangles += [(on[0], on[i], on[i + 1]) for i in range(1, len(on) - 1)]
+            edges |= {(min(p, q), max(p, q)) for p, q in zip(on, on[1:] + on[:1], strict=True)}
+    return [tuple(map(float, p)) for p in found], triangles, sorted(edges)
 
 
 #: What the audit accepts.
@@ -203,22 +211,30 @@ def quantile_bound(hist: DataFrame, p: float, per_decade: int = 20, low: float =
 def nearest_rank(rows: DataFrame, value: str, ps: Sequence[float]) -> DataFrame:
     """Order statistics at round(p (n - 1)), half up: ``(p, value)``.
 
-    Values fall into 4,096 runs by value; run totals tell the run of each rank and
-    only that run is ranked inside, so no task sorts or reads the whole table.
+    Values are counted once each and ranked range by range, so neither outliers
+    nor repeated values gather rows in a task.
     """
-    runs = 4096
-    good = rows.where(N.finite(F.col(value))).select(F.col(value).alias("v"))
-    ends = good.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n"))
-    span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0)
-    placed = good.crossJoin(F.broadcast(ends)).withColumn("run", F.least(F.lit(runs - 1), F.floor((F.col("v") - F.col("lo")) / span * runs)).cast("int"))
-    totals = placed.groupBy("run").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("n"))
-    upto = F.sum("c").over(Window.orderBy("run"))  # over run totals, 4,096 rows at most
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.floor(F.lit(float(p)) * (F.col("n") - 1) + 0.5).alias("k")) for p in ps]))
-    hit = totals.withColumn("upto", upto).select("run", "c", "upto", wanted.alias("w")).where((F.col("w.k") < F.col("upto")) & (F.col("w.k") >= F.col("upto") - F.col("c")))
-    hit = hit.select("run", "w.p", (F.col("w.k") - F.col("upto") + F.col("c")).alias("inside"))
-    inner = placed.groupBy("run", "v").agg(F.count(F.lit(1)).alias("m")).join(F.broadcast(hit), "run")
-    seen = F.sum("m").over(Window.partitionBy("p").orderBy("v"))
-    return inner.withColumn("seen", seen).where(F.col("seen") > F.col("inside")).groupBy("p").agg(F.min("v").alias("value"))
+    ranked = ranked_values(rows, value)
+    n = ranked.agg(F.sum("m").alias("n"))
+    wanted = n.select(F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.floor(F.lit(float(p)) * (F.col("n") - 1) + 0.5).alias("k")) for p in ps])).alias("w")).select("w.*")
+    hit = (F.col("first") <= F.col("k")) & (F.col("k") < F.col("first") + F.col("m"))
+    return ranked.join(F.broadcast(wanted), hit).select("p", F.col("v").alias("value"))  # a row for each p
+
+
+def quantiles(rows: DataFrame, value: str, ps: Sequence[float]) -> list[float] | None:
+    """Quantiles of the finite values, interpolated between ranks; null without values."""
+    ranked = ranked_values(rows, value)
+    n = ranked.agg(F.sum("m")).first()[0]
+    if not n:
+        return None
+    ranks = sorted({k for p in ps for k in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))})
+    wanted = rows.sparkSession.createDataFrame([(k,) for k in ranks], "k long")
+    at = {r["k"]: r["v"] for r in ranked.join(F.broadcast(wanted), (F.col("first") <= F.col("k")) & (F.col("k") < F.col("first") + F.col("m"))).collect()}  # two rows for each p
+    out = []
+    for p in ps:
+        low, part = math.floor(p * (n - 1)), p * (n - 1) - math.floor(p * (n - 1))
+        out.append(at[low] + (at[math.ceil(p * (n - 1))] - at[low]) * part)
+    return out
 
 
 def entropy(rows: DataFrame, symbol: Column, by: Sequence[Column] = ()) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import numeric as N
+from ..functions import quaternion as Q
 
 
 def _track(track: str, k: str) -> Window:
@@ -197,21 +198,36 @@ def rice_modes(rows: DataFrame, value: str, block: str, k: str, ks: int = 21) ->
     return each.select(block, best.alias("b")).select(block, "b.mode", "b.rice", "b.bits")
 
 
-def fewest_knots(t: np.ndarray, v: np.ndarray, limit: float) -> list[int]:
-    """The fewest keys, ends included, whose lines stay within ``limit`` of every key."""
+def _far(t: np.ndarray, v: np.ndarray, i: int, j: int) -> float:
+    """The largest distance of the keys between i and j from the line through those."""
+    if j <= i + 1:
+        return 0.0
+    alpha = ((t[i + 1 : j] - t[i]) / (t[j] - t[i]))[:, None]
+    return float(np.linalg.norm(v[i] + (v[j] - v[i]) * alpha - v[i + 1 : j], axis=1).max())
+
+
+def fewest_knots(t: np.ndarray, v: np.ndarray, limit: float, hard: float | None = None) -> list[int]:
+    """The fewest keys, ends included, whose lines stay within ``limit`` of every key in between.
+
+    ``v`` has a row for each key. A track that stays within ``limit`` of its first
+    key keeps that one; one that its knots miss by more than ``hard`` keeps all.
+    """
+    v = v.reshape(len(t), -1)
     n = len(t)
+    if n and np.linalg.norm(v - v[0], axis=1).max() <= limit:
+        return [0]
     best, prev = [0] + [n + 1] * (n - 1), [-1] * n
     for j in range(1, n):
         for i in range(j):
-            if best[i] + 1 < best[j]:
-                mid = slice(i, j + 1)
-                line = v[i] + (v[j] - v[i]) * (t[mid] - t[i]) / (t[j] - t[i])
-                if np.abs(line - v[mid]).max() <= limit:
-                    best[j], prev[j] = best[i] + 1, i
+            if best[i] + 1 < best[j] and _far(t, v, i, j) <= limit:
+                best[j], prev[j] = best[i] + 1, i
     out = [n - 1]
     while out[-1] > 0:
         out.append(prev[out[-1]])
-    return out[::-1]
+    out = out[::-1]
+    if hard is not None and max(_far(t, v, i, j) for i, j in zip(out, out[1:])) > hard:
+        return list(range(n))
+    return out
 
 
 def simplify(t: np.ndarray, v: np.ndarray, limit: float) -> list[int]:
@@ -231,14 +247,52 @@ def simplify(t: np.ndarray, v: np.ndarray, limit: float) -> list[int]:
     return sorted(keep)
 
 
-def knots(rows: DataFrame, value: str, limit: float, method: str = "fewest", track: str = "track", frame: str = "frame") -> DataFrame:
-    """``(track, n_keys, n_kept, max_error)`` of each track after keeping only its knots."""
-    pick = {"fewest": fewest_knots, "simplify": simplify}[method]
+def knots(rows: DataFrame, value: str | Sequence[str], limit: float, method: str = "fewest", track: str = "track", frame: str = "frame", hard: float | None = None) -> DataFrame:
+    """``(track, n_keys, n_kept, max_error)`` of each track after keeping only its knots; several values are one point."""
+    values = [value] if isinstance(value, str) else list(value)
 
     def run(ks: np.ndarray, columns: list[np.ndarray]) -> dict[str, list]:
-        t, v = ks.astype(float), columns[0]
-        at = pick(t, v, limit)
-        return {"n_keys": [len(t)], "n_kept": [len(at)], "max_error": [float(np.abs(np.interp(t, t[at], v[at]) - v).max())]}
+        t, v = ks.astype(float), np.stack(columns, 1)
+        at = fewest_knots(t, v, limit, hard) if method == "fewest" else simplify(t, v[:, 0], limit)
+        rebuilt = np.stack([np.interp(t, t[at], c[at]) for c in v.T], 1)
+        return {"n_keys": [len(t)], "n_kept": [len(at)], "max_error": [float(np.linalg.norm(rebuilt - v, axis=1).max())]}
 
+    if method not in ("fewest", "simplify"):
+        raise ValueError(f"unknown method {method}")
     kind = rows.schema[track].dataType.simpleString()
-    return _per_track(rows, track, frame, [value], run, f"{track} {kind}, n_keys int, n_kept int, max_error double")
+    return _per_track(rows, track, frame, values, run, f"{track} {kind}, n_keys int, n_kept int, max_error double")
+
+
+def cube_turns() -> list[tuple[float, float, float, float]]:
+    """The 24 rotations that map a cube onto itself, as unit quaternions with a first positive component."""
+    half = 0.5**0.5
+    found = [(1.0, 0.0, 0.0, 0.0), (0.0, 1.0, 0.0, 0.0), (0.0, 0.0, 1.0, 0.0), (0.0, 0.0, 0.0, 1.0)]
+    for i in range(4):
+        for j in range(i + 1, 4):
+            for s in (half, -half):
+                q = [0.0] * 4
+                q[i], q[j] = half, s
+                found.append(tuple(q))
+    return found + [(0.5, a, b, c) for a in (0.5, -0.5) for b in (0.5, -0.5) for c in (0.5, -0.5)]
+
+
+def continuous_symmetry(rows: DataFrame, track: str = "track", k: str = "k") -> DataFrame:
+    """``(track, k, symmetry, closeness)`` of rotations qw..qz: which of a cube's 24 turns brings each closest to its track's first.
+
+    An ellipsoid's axes can be named in 24 ways with the same shape; the way whose
+    quaternion is closest (largest absolute product, the first of equals within
+    1e-9) keeps a track's attributes continuous. The first key's own symmetry is 0.
+    """
+    q = ("qw", "qx", "qy", "qz")
+    first = F.first(F.struct(*q)).over(_track(track, k))
+    own = Q.quat(*[F.col(c) for c in q])
+    rows = rows.withColumn("_first", first)
+
+    def closeness(turn: tuple[float, ...]) -> Column:
+        turned = Q.multiply(own, Q.quat(*[F.lit(c) for c in turn]))
+        return F.abs(Q.dot(turned, Q.quat(*[F.col(f"_first.{c}") for c in q])))
+
+    each = F.array(*[closeness(t) for t in cube_turns()])
+    rows = rows.withColumn("_each", each).withColumn("closeness", F.array_max("_each"))
+    near = F.transform("_each", lambda x: x >= F.col("closeness") - 1e-9)
+    return rows.select(track, k, (F.array_position(near, True) - 1).cast("int").alias("symmetry"), "closeness")

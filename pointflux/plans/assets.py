@@ -75,12 +75,21 @@ def f429(spark, sf):  # noqa: ANN001, ANN201
     return catalog_check(o, files, ["n"], "id")
 
 
-@query("F825_standing_centre")
+#: Sums of I - d d' and of its product with the ray's point, and Cramer's rule.
+CENTRE_SUMS = ", ".join([f"sum({int(i == j)} - d{a} * d{b}) AS m{i}{j}" for i, a in enumerate("xyz") for j, b in enumerate("xyz")] + [f"sum(p{a} - d{a} * (dx * px + dy * py + dz * pz)) AS r{i}" for i, a in enumerate("xyz")])
+
+
+def _cramer(column: int | None) -> str:
+    m = [[f"r{i}" if j == column else f"m{i}{j}" for j in range(3)] for i in range(3)]
+    return f"({m[0][0]} * ({m[1][1]} * {m[2][2]} - {m[1][2]} * {m[2][1]}) - {m[0][1]} * ({m[1][0]} * {m[2][2]} - {m[1][2]} * {m[2][0]}) + {m[0][2]} * ({m[1][0]} * {m[2][1]} - {m[1][1]} * {m[2][0]}))"
+
+
+@query("F825_standing_centre", f"MORE y AS (SELECT vec_id % 9 AS pose, e[1] / n AS dx, e[2] / n AS dy, e[3] / n AS dz, e[4] AS px, e[5] AS py, e[6] AS pz FROM (SELECT *, sqrt(e[1]**2 + e[2]**2 + e[3]**2) AS n FROM vectors)), s AS (SELECT pose, count(*) AS n, {CENTRE_SUMS} FROM y GROUP BY 1) SELECT pose, {', '.join(f'round({_cramer(i)} / {_cramer(None)}, 5)::DOUBLE AS {a}' for i, a in enumerate('xyz'))}, n FROM s", "vectors")
 def f825(spark, sf):  # noqa: ANN001, ANN201
     e = lambda i: F.get("e", F.lit(i))
     n = F.sqrt(e(0) ** 2 + e(1) ** 2 + e(2) ** 2)
     rays = vectors(spark, sf).select((F.col("vec_id") % 9).alias("pose"), (e(0) / n).alias("dx"), (e(1) / n).alias("dy"), (e(2) / n).alias("dz"), e(3).alias("px"), e(4).alias("py"), e(5).alias("pz"))
-    return E.standing_centre(rays, "pose")
+    return E.standing_centre(rays, "pose").select("pose", *[(F.round(a, 5) + 0.0).alias(a) for a in "xyz"], "n")
 
 
 @query("F213_newly_deleted_ids", "SELECT stable_id FROM points WHERE selected AND NOT deleted", "points")

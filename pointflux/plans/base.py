@@ -78,7 +78,12 @@ SQL = {
 
 
 def with_views(names: str, body: str) -> str:
-    return f"WITH {', '.join(SQL[n] for n in names.split())}{',' if body.lstrip().upper().startswith('MORE') else ''} {body.lstrip()[4:] if body.lstrip().upper().startswith('MORE') else body}"
+    """``body`` after the named adapters; one that begins with MORE, or MORE RECURSIVE, goes on with expressions of its own."""
+    views, body = ", ".join(SQL[n] for n in names.split()), body.lstrip()
+    for start, word in (("MORE RECURSIVE", "WITH RECURSIVE"), ("MORE", "WITH")):
+        if body.startswith(start):
+            return f"{word} {views}, {body[len(start) :]}"
+    return f"WITH {views} {body}"
 
 
 def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query], Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import boundary as J
-from .base import keys, points, query, read
+from .base import keys, points, query, read, vectors
 from .sampling import r
 
 LINES = "l AS (SELECT l_partkey AS pk, l_suppkey AS sk, l_returnflag AS flag, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS id, min(l_quantity) AS q, min(l_tax) AS t FROM lineitem GROUP BY ALL)"
@@ -88,18 +88,28 @@ def f308(spark, sf):  # noqa: ANN001, ANN201
     return J.near_surface(p.where("segment_id = 2").select("stable_id", "x", "y"), p.where("segment_id = 3 and selected").select("x", "y"), ["x", "y"], 9.0, "stable_id").select("stable_id")
 
 
-@query("F309_brick_overlap", "MORE g AS (SELECT stable_id, floor((x - 3.5 * w) / 16)::BIGINT AS x0, floor((x + 3.5 * w) / 16)::BIGINT AS x1, floor((y - 3.5 * w) / 16)::BIGINT AS y0, floor((y + 3.5 * w) / 16)::BIGINT AS y1 FROM points) SELECT bx, by_ AS \"by\", count(*) AS n FROM (SELECT stable_id, unnest(range(x0, x1 + 1)) AS bx, y0, y1 FROM g), LATERAL (SELECT unnest(range(y0, y1 + 1)) AS by_) GROUP BY ALL", "points")
+QUATERNION = "sqrt(e[4] * e[4] + e[5] * e[5] + e[6] * e[6] + e[7] * e[7])"
+
+
+@query("F309_brick_overlap", f"""MORE g AS (SELECT vec_id AS stable_id, e[1] * 100 AS x, e[2] * 100 AS y, e[3] * 100 AS z, e[4] / {QUATERNION} AS w, e[5] / {QUATERNION} AS qx, e[6] / {QUATERNION} AS qy, e[7] / {QUATERNION} AS qz, 1 + abs(e[8]) * 20 AS s0, 1 + abs(e[9]) * 20 AS s1, 2.0 AS s2 FROM vectors),
+m AS (SELECT *, 1 - 2 * (qy*qy + qz*qz) AS r00, 2 * (qx*qy - qz*w) AS r01, 2 * (qx*qz + qy*w) AS r02, 2 * (qx*qy + qz*w) AS r10, 1 - 2 * (qx*qx + qz*qz) AS r11, 2 * (qy*qz - qx*w) AS r12, 2 * (qx*qz - qy*w) AS r20, 2 * (qy*qz + qx*w) AS r21, 1 - 2 * (qx*qx + qy*qy) AS r22 FROM g),
+h AS (SELECT *, 3.5 * sqrt(r00*r00*s0*s0 + r01*r01*s1*s1 + r02*r02*s2*s2) AS hx, 3.5 * sqrt(r10*r10*s0*s0 + r11*r11*s1*s1 + r12*r12*s2*s2) AS hy, 3.5 * sqrt(r20*r20*s0*s0 + r21*r21*s1*s1 + r22*r22*s2*s2) AS hz FROM m),
+i AS (SELECT *, unnest(range(floor((x - hx) / 8)::BIGINT, floor((x + hx) / 8)::BIGINT + 1)) AS bx FROM h), j AS (SELECT *, unnest(range(floor((y - hy) / 8)::BIGINT, floor((y + hy) / 8)::BIGINT + 1)) AS by_ FROM i), k AS (SELECT *, unnest(range(floor((z - hz) / 8)::BIGINT, floor((z + hz) / 8)::BIGINT + 1)) AS bz FROM j),
+d AS (SELECT *, (bx + 0.5) * 8 - x AS dx, (by_ + 0.5) * 8 - y AS dy, (bz + 0.5) * 8 - z AS dz FROM k),
+o AS (SELECT *, greatest(0, abs(dx*r00 + dy*r10 + dz*r20) / s0 - 4 * (abs(r00) + abs(r10) + abs(r20)) / s0) AS o0, greatest(0, abs(dx*r01 + dy*r11 + dz*r21) / s1 - 4 * (abs(r01) + abs(r11) + abs(r21)) / s1) AS o1, greatest(0, abs(dx*r02 + dy*r12 + dz*r22) / s2 - 4 * (abs(r02) + abs(r12) + abs(r22)) / s2) AS o2 FROM d)
+SELECT bx, by_ AS "by", bz, count(*) AS n FROM o WHERE o0*o0 + o1*o1 + o2*o2 <= 12.25 GROUP BY ALL""", "vectors")
 def f309(spark, sf):  # noqa: ANN001, ANN201
-    edge = lambda a, s: F.floor((F.col(a) + s * 3.5 * F.col("w")) / 16)
-    rows = points(spark, sf).select("stable_id", F.explode(F.sequence(edge("x", -1), edge("x", 1))).alias("bx"), F.sequence(edge("y", -1), edge("y", 1)).alias("ys"))
-    return rows.select("bx", F.explode("ys").alias("by")).groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"))
+    e = lambda i: F.get("e", F.lit(i))
+    at = {"x": e(0) * 100, "y": e(1) * 100, "z": e(2) * 100, "qw": e(3), "qx": e(4), "qy": e(5), "qz": e(6), "s0": 1 + F.abs(e(7)) * 20, "s1": 1 + F.abs(e(8)) * 20, "s2": F.lit(2.0)}
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("stable_id"), *[c.alias(n) for n, c in at.items()])
+    return J.brick_overlaps(rows, 8.0).groupBy("bx", "by", "bz").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F310_nearest_in_view", "SELECT c_custkey AS face, arg_min(s_suppkey, abs(c_acctbal - s_acctbal) * 1000000 + s_suppkey) AS body, round(min(abs(c_acctbal - s_acctbal)), 4) AS distance FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE abs(c_acctbal - s_acctbal) <= 500 GROUP BY 1")
 def f310(spark, sf):  # noqa: ANN001, ANN201
-    d = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    near = read(spark, sf, "customer").join(read(spark, sf, "supplier"), F.col("c_nationkey") == F.col("s_nationkey")).withColumn("d", d).where("d <= 500")
-    return near.groupBy(F.col("c_custkey").alias("face")).agg(F.min(F.struct("d", "s_suppkey")).alias("b")).select("face", F.col("b.s_suppkey").alias("body"), (F.round("b.d", 4) + 0.0).alias("distance"))
+    faces = read(spark, sf, "customer").select(F.col("c_custkey").alias("face"), F.col("c_nationkey").alias("view"), F.col("c_acctbal").alias("x"))
+    bodies = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("body"), F.col("s_nationkey").alias("view"), F.col("s_acctbal").alias("x"))
+    return J.nearest_in_view(faces, bodies, ["x"], 500.0, "view").select("face", "body", (F.round("distance", 4) + 0.0).alias("distance"))
 
 
 @query("F311_decoded_alignment", "SELECT a.track, a.k, a.v AS source, b.v AS decoded, a.v - b.v AS error FROM keys a JOIN keys b ON a.track = b.track AND b.k = a.k + 1", "keys")

@@ -10,15 +10,26 @@ from ..operators import fits as Z
 from ..operators import mesh as M
 from ..operators import streams as X
 from ..operators.graph import components
+from ..operators.layout import dense_ids
+from ..operators.stats import quantiles
 from .base import keys, points, query, read, signal, vectors
 from .layout import CODE, _coded
 from .sampling import r
 
 
-@query("F801_scalar_codebook")
+def _scalar_rounds(k: int, rounds: int) -> str:
+    """SQL of the codebook: quantiles, then means by nearest code, round after round."""
+    steps = [f"MORE c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY m) - 1 AS i, m FROM (SELECT unnest(quantile_cont(x, [{', '.join(str((i + 0.5) / k) for i in range(k))}])) AS m FROM points))"]
+    for n in range(rounds):
+        steps.append(f"d{n} AS (SELECT i, m, lead(m) OVER (ORDER BY i) AS above, lag(m) OVER (ORDER BY i) AS below FROM c{n}), a{n} AS (SELECT d.i, avg(p.x) AS m FROM points p JOIN d{n} d ON (d.below IS NULL OR p.x > (d.below + d.m) / 2) AND (d.above IS NULL OR p.x <= (d.m + d.above) / 2) GROUP BY 1), "
+                     f"c{n + 1} AS MATERIALIZED (SELECT row_number() OVER (ORDER BY v) - 1 AS i, v AS m FROM (SELECT coalesce(a.m, c.m) AS v FROM c{n} c LEFT JOIN a{n} a USING (i)))")
+    return ", ".join(steps) + f" SELECT i::INTEGER AS code, round(m, 6)::DOUBLE AS value FROM c{rounds}"
+
+
+@query("F801_scalar_codebook", _scalar_rounds(16, 6), "points")
 def f801(spark, sf):  # noqa: ANN001, ANN201
     codes = C.scalar_codebook(points(spark, sf), "x", 4)
-    return spark.createDataFrame(list(enumerate(codes)), "code int, value double")
+    return spark.createDataFrame(list(enumerate(codes)), "code int, value double").select("code", r(F.col("value"), "value"))
 
 
 @query("F802_scalar_assign", "SELECT stable_id, ((x > 75)::INTEGER + (x > 200)::INTEGER + (x > 375)::INTEGER)::INTEGER AS code, abs(x - [50, 100, 300, 450][1 + (x > 75)::INTEGER + (x > 200)::INTEGER + (x > 375)::INTEGER]) > 40 AS exact FROM points", "points")
@@ -29,12 +40,26 @@ def f802(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("stable_id", "code", (F.abs(F.col("x") - value) > 40).alias("exact"))
 
 
-@query("F803_kmeans")
+SEEDS = 8
+
+
+def _means_rounds(rounds: int) -> str:
+    """SQL of k-means: vectors by their number seed it, each round takes the nearest centres' means."""
+    far = "list_sum(list_transform(list_zip(p.e, c.e), lambda x: (x[1] - x[2]) ** 2))"
+    steps = [f"MORE n AS MATERIALIZED (SELECT vec_id, e, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM vectors), c0 AS MATERIALIZED (SELECT s.c, n.e FROM (SELECT unnest(range({SEEDS})) AS c) s JOIN n ON n.i = (s.c * 7919) % n.n)"]
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED (SELECT vec_id, arg_min(c, (d, c)) AS code, min(d) AS d2 FROM (SELECT p.vec_id, c.c, {far} AS d FROM vectors p, c{k} c) GROUP BY 1)")
+        if k < rounds:
+            steps.append(f"m{k} AS (SELECT code, list(m ORDER BY j) AS e FROM (SELECT code, j, avg(v) AS m FROM (SELECT a.code, generate_subscripts(p.e, 1) AS j, unnest(p.e) AS v FROM a{k} a JOIN vectors p USING (vec_id)) GROUP BY 1, 2) GROUP BY 1), c{k + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN m{k} m ON m.code = c.c)")
+    return ", ".join(steps) + f" SELECT vec_id, code::INTEGER AS code, round(d2, 5)::DOUBLE AS d2 FROM a{rounds}"
+
+
+@query("F803_kmeans", _means_rounds(3), "vectors")
 def f803(spark, sf):  # noqa: ANN001, ANN201
-    v = vectors(spark, sf)
-    at = C.seed_index(8, v.count())
-    seeds = [x["e"] for x in sorted(v.where(F.col("vec_id").isin(at)).select("vec_id", "e").collect(), key=lambda x: at.index(x["vec_id"]))]  # 8 rows
-    return C.assign(v, "e", C.kmeans(v, "e", seeds, 3)).select("vec_id", "code", r(F.col("d2"), "d2"))
+    v = dense_ids(vectors(spark, sf), ["vec_id"], "i")
+    at = C.seed_index(SEEDS, v.count())
+    found = {x["i"]: x["e"] for x in v.where(F.col("i").isin(at)).select("i", "e").collect()}  # 8 rows
+    return C.assign(v, "e", C.kmeans(v, "e", [found[i] for i in at], 3)).select("vec_id", "code", (F.round("d2", 5) + 0.0).alias("d2"))
 
 
 CENTRES = [[1.0 if j == i else 0.0 for j in range(4)] for i in range(4)]
@@ -50,8 +75,8 @@ def f829(spark, sf):  # noqa: ANN001, ANN201
 @query("F805_tree_codebook")
 def f805(spark, sf):  # noqa: ANN001, ANN201
     v = vectors(spark, sf).select("vec_id", F.slice("e", 1, 6).alias("e"))
-    tree = C.tree_codebook(v, "e", 3, 2)
-    return v.select("vec_id", C.descend(F.col("e"), tree, 3).alias("leaf"))
+    tree = C.tree_codebook(v, "e", 8, 5)
+    return v.select("vec_id", C.descend(F.col("e"), tree, 8).alias("leaf"))
 
 
 @query("F806_tree_assign", "SELECT vec_id, CASE WHEN e[1] > 0 THEN CASE WHEN e[2] > 0 THEN 7 ELSE 6 END ELSE CASE WHEN e[3] > 0 THEN 5 ELSE 4 END END::INTEGER AS leaf FROM vectors", "vectors")
@@ -82,18 +107,28 @@ def f809(spark, sf):  # noqa: ANN001, ANN201
     return out.select("nx", "ny", r(F.col("weight"), "weight"), (F.round("z", 4) + 0.0).alias("z"))
 
 
-@query("F812_block_fit")
+@query("F812_block_fit", "SELECT vec_id % 7 AS block, count(*) AS n, 0.0::DOUBLE AS m00, 2.0::DOUBLE AS m01, 0.0::DOUBLE AS m02, -2.0::DOUBLE AS m10, 0.0::DOUBLE AS m11, 2.0::DOUBLE AS m22, 1.0::DOUBLE AS tx, -3.0::DOUBLE AS tz, 0.0::DOUBLE AS rmse FROM vectors GROUP BY 1", "vectors")
 def f812(spark, sf):  # noqa: ANN001, ANN201
+    """Pairs under a known turn, scale and shift, which the fit must find; parameters in steps of 2**-12."""
     e = lambda i: F.get("e", F.lit(i))
     pairs = vectors(spark, sf).select((F.col("vec_id") % 7).alias("block"), e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), (2 * e(1) + 1).alias("u"), (-2 * e(0)).alias("v"), (2 * e(2) - 3).alias("w"))
-    return Z.fit_blocks(pairs, "block", "similarity")
+    fitted = Z.quantized(Z.fit_blocks(pairs, "block", "similarity"), 12)
+    return fitted.select("block", "n", *["m00", "m01", "m02", "m10", "m11", "m22", "tx", "tz"], r(F.col("rmse"), "rmse"))
+
 
+SUMS = [(a, b) for a in "xyz" for b in "xyzuvw"]
+COFACTOR = {"xx": "yy*zz-yz*yz", "xy": "xz*yz-xy*zz", "xz": "xy*yz-xz*yy", "yy": "xx*zz-xz*xz", "yz": "xy*xz-xx*yz", "zz": "xx*yy-xy*xy"}
 
-@query("F811_affine_fit")
+
+@query("F811_affine_fit", "MORE p AS (SELECT vec_id % 7 AS block, e[1] AS x, e[2] AS y, e[3] AS z, 3 * e[1] + e[2] + e[4] AS u, e[2] - e[3] + e[5] / 2 AS v, 2 * e[3] - 3 + e[6] AS w FROM vectors), "
+    f"s AS (SELECT block, count(*) AS n, {', '.join(f'avg({c}) AS m{c}' for c in 'xyzuvw')}, {', '.join(f'covar_pop({a}, {b}) AS {a}{b}' for a, b in SUMS)} FROM p GROUP BY 1), "
+    f"i AS (SELECT *, xx*yy*zz + 2*xy*xz*yz - xx*yz*yz - yy*xz*xz - zz*xy*xy AS det, {', '.join(f'{v} AS i{k}' for k, v in COFACTOR.items())} FROM s), "
+    f"l AS (SELECT *, {', '.join('(' + ' + '.join('i%s * %s%s' % (''.join(sorted(a + b)), b, t) for b in 'xyz') + f') / det AS m{j}{k}' for j, t in enumerate('uvw') for k, a in enumerate('xyz'))} FROM i) "
+    f"SELECT block, n, {', '.join(f'round(m{j}{k}, 4)::DOUBLE AS m{j}{k}' for j in range(3) for k in range(3))}, {', '.join(f'round(m{t} - m{j}0 * mx - m{j}1 * my - m{j}2 * mz, 4)::DOUBLE AS t{a}' for j, (t, a) in enumerate(zip('uvw', 'xyz')))} FROM l", "vectors")
 def f811(spark, sf):  # noqa: ANN001, ANN201
     e = lambda i: F.get("e", F.lit(i))
-    pairs = vectors(spark, sf).select((F.col("vec_id") % 7).alias("block"), e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), (3 * e(0) + e(1) + 1).alias("u"), (e(1) - e(2)).alias("v"), (2 * e(2) - 3).alias("w"))
-    return Z.fit_blocks(pairs, "block", "affine")
+    pairs = vectors(spark, sf).select((F.col("vec_id") % 7).alias("block"), e(0).alias("x"), e(1).alias("y"), e(2).alias("z"), (3 * e(0) + e(1) + e(3)).alias("u"), (e(1) - e(2) + e(4) / 2).alias("v"), (2 * e(2) - 3 + e(5)).alias("w"))
+    return Z.fit_blocks(pairs, "block", "affine").select("block", "n", *[(F.round(c, 4) + 0.0).alias(c) for c in [f"m{j}{k}" for j in range(3) for k in range(3)] + ["tx", "ty", "tz"]])
 
 
 @query("F814_hash_grid", """MORE h AS (SELECT track, k, v, x, y, z, ((xor(xor(floor(x / 8)::BIGINT * 73856093, floor(y / 8)::BIGINT * 19349663), floor(z / 8)::BIGINT * 83492791)) % 512) AS bucket FROM keys),
@@ -104,7 +139,9 @@ def f814(spark, sf):  # noqa: ANN001, ANN201
 
 
 def rans_round_trip(docs):  # noqa: ANN001, ANN201
-    """``(doc_id, n, same)``: bytes of each text, and whether coding gives them again; null for a null text."""
+    """``(doc_id, n, digest)``: bytes of each text and the MD5 of what decoding its code gives; null for a null text."""
+    import hashlib
+
     import pandas as pd
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -118,21 +155,16 @@ def rans_round_trip(docs):  # noqa: ANN001, ANN201
                 for b in raw:
                     counts[b] += 1
                 freqs = X.normalized_frequencies(counts)
-                out.append((d, len(raw), X.rans_decode(X.rans_encode(raw, freqs), freqs, len(raw)) == bytes(raw)))
-            ids, n, same = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": pd.array(n, "Int64"), "same": pd.array(same, "boolean")})
+                out.append((d, len(raw), hashlib.md5(X.rans_decode(X.rans_encode(raw, freqs), freqs, len(raw))).hexdigest()))
+            ids, n, digest = zip(*out, strict=True) if out else ((), (), ())
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n": pd.array(n, "Int64"), "digest": pd.array(digest, "string")})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("raw"))
-    return rows.mapInPandas(run, "doc_id long, n long, same boolean")
+    return rows.mapInPandas(run, "doc_id long, n long, digest string")
 
 
-@query("F815_rans_round_trip", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, true AS same FROM documents WHERE n_chars < 2000 AND n_chars > 0")
+@query("F815_rans_round_trip", "SELECT doc_id, octet_length(encode(text))::BIGINT AS n, md5(text) AS digest FROM documents")
 def f815(spark, sf):  # noqa: ANN001, ANN201
-    return rans_round_trip(read(spark, sf, "documents").where("n_chars < 2000 and n_chars > 0"))
-
-
-@query("F815_rans_round_trip_all")
-def f815_all(spark, sf):  # noqa: ANN001, ANN201
     return rans_round_trip(read(spark, sf, "documents"))
 
 
@@ -144,13 +176,19 @@ def f816(spark, sf):  # noqa: ANN001, ANN201
     return X.golomb_cost(signal(spark, sf), "code", [1, 100, 512, 1000, 2048])
 
 
-GRAPH = "e AS (SELECT DISTINCT l_orderkey AS a, 10000000 + l_partkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09)"
+#: Rounds in which the smallest label spreads over neighbours; the graph of orders and parts is a few edges across.
+SPREAD = 16
+
+
+def _spread_rounds() -> str:
+    edges = "WITH e AS MATERIALIZED (SELECT DISTINCT l_orderkey AS a, 10000000 + l_partkey AS b FROM lineitem), u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), l0 AS MATERIALIZED (SELECT DISTINCT a AS v, a AS root FROM u)"
+    steps = [f"l{i + 1} AS MATERIALIZED (SELECT l.v, least(l.root, m.root) AS root FROM l{i} l JOIN (SELECT u.a AS v, min(o.root) AS root FROM u JOIN l{i} o ON o.v = u.b GROUP BY 1) m USING (v))" for i in range(SPREAD)]
+    return ", ".join([edges, *steps]) + f" SELECT v, root FROM l{SPREAD}"
 
 
-@query("F817_connected_components", f"WITH RECURSIVE {GRAPH}, u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS v, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.v) SELECT v, min(root) AS root FROM r GROUP BY 1")
+@query("F817_connected_components", _spread_rounds())
 def f817(spark, sf):  # noqa: ANN001, ANN201
-    rows = read(spark, sf, "lineitem").where("l_quantity >= 49 and l_discount >= 0.09")
-    return components(rows.select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b")).distinct())
+    return components(read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), (F.col("l_partkey") + 10_000_000).alias("b")).distinct())
 
 
 def line_triangles(spark, sf):  # noqa: ANN001, ANN201
@@ -165,50 +203,93 @@ def f817_large(spark, sf):  # noqa: ANN001, ANN201
     return M.large_components(line_triangles(spark, sf))
 
 
-TRI = """tri AS (SELECT track AS t, (track % 97)::BIGINT AS a, (97 + track % 89)::BIGINT AS b, (186 + track % 83)::BIGINT AS c FROM (SELECT DISTINCT track FROM keys)),
-vert AS (SELECT stable_id AS v, x, y, z FROM points WHERE stable_id < 269)"""
+#: A strip of triangles over all points in the order of their ids.
+TRI = """tri AS (SELECT p.stable_id AS t, p.stable_id AS a, p.stable_id + 1 AS b, p.stable_id + 3 AS c FROM points p JOIN points q ON q.stable_id = p.stable_id + 1 JOIN points o ON o.stable_id = p.stable_id + 3),
+vert AS (SELECT stable_id AS v, x, y, z FROM points)"""
+FLAT = """f AS (SELECT t.*, pa.x AS ax, pa.y AS ay, pa.z AS az, pb.x AS bx, pb.y AS by_, pb.z AS bz, pc.x AS cx, pc.y AS cy, pc.z AS cz, (pb.y - pa.y) * (pc.z - pa.z) - (pb.z - pa.z) * (pc.y - pa.y) AS nx, (pb.z - pa.z) * (pc.x - pa.x) - (pb.x - pa.x) * (pc.z - pa.z) AS ny, (pb.x - pa.x) * (pc.y - pa.y) - (pb.y - pa.y) * (pc.x - pa.x) AS nz
+  FROM tri t JOIN {v} pa ON pa.v = t.a JOIN {v} pb ON pb.v = t.b JOIN {v} pc ON pc.v = t.c)"""
 
 
 def _mesh(spark, sf):  # noqa: ANN001, ANN202
-    t = F.col("track")
-    tri = keys(spark, sf).select("track").distinct().select(t.alias("t"), (t % 97).alias("a"), (97 + t % 89).alias("b"), (186 + t % 83).alias("c"))
-    return tri, points(spark, sf).where("stable_id < 269").select(F.col("stable_id").alias("v"), "x", "y", "z")
+    p = points(spark, sf)
+    ids = p.select(F.col("stable_id").alias("t"), F.col("stable_id").alias("a"), (F.col("stable_id") + 1).alias("b"), (F.col("stable_id") + 3).alias("c"))
+    there = lambda c: p.select(F.col("stable_id").alias(c))
+    return ids.join(there("b"), "b", "left_semi").join(there("c"), "c", "left_semi").select("t", "a", "b", "c"), p.select(F.col("stable_id").alias("v"), "x", "y", "z")
 
 
-@query("F818_vertex_normals", f"""MORE {TRI}, f AS (SELECT t.*, pb.x - pa.x AS ex, pb.y - pa.y AS ey, pb.z - pa.z AS ez, pc.x - pa.x AS fx, pc.y - pa.y AS fy, pc.z - pa.z AS fz FROM tri t JOIN vert pa ON pa.v = t.a JOIN vert pb ON pb.v = t.b JOIN vert pc ON pc.v = t.c),
-n AS (SELECT unnest([a, b, c]) AS v, ey * fz - ez * fy AS x, ez * fx - ex * fz AS y, ex * fy - ey * fx AS z FROM f), s AS (SELECT v, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM n GROUP BY 1)
-SELECT v, round(x / sqrt(x*x+y*y+z*z), 6) AS nx, round(y / sqrt(x*x+y*y+z*z), 6) AS ny, round(z / sqrt(x*x+y*y+z*z), 6) AS nz FROM s""", "keys points")
+@query("F818_vertex_normals", f"""MORE {TRI}, {FLAT.format(v='vert')}, n AS (SELECT unnest([a, b, c]) AS v, nx AS x, ny AS y, nz AS z FROM f), s AS (SELECT v, sum(x) AS x, sum(y) AS y, sum(z) AS z FROM n GROUP BY 1)
+SELECT v, round(x / sqrt(x*x+y*y+z*z), 6) AS nx, round(y / sqrt(x*x+y*y+z*z), 6) AS ny, round(z / sqrt(x*x+y*y+z*z), 6) AS nz FROM s""", "points")
 def f818(spark, sf):  # noqa: ANN001, ANN201
     return M.vertex_normals(*_mesh(spark, sf)).select("v", *[r(F.col(f"n{a}"), f"n{a}") for a in "xyz"])
 
 
-@query("F819_mesh_smoothing")
+ANGLE = "acos(greatest(-1, least(1, (({q}x-{p}x)*({s}x-{p}x) + ({q}{y}-{p}{y})*({s}{y}-{p}{y}) + ({q}z-{p}z)*({s}z-{p}z)) / greatest(1e-20, sqrt(({q}x-{p}x)**2 + ({q}{y}-{p}{y})**2 + ({q}z-{p}z)**2) * sqrt(({s}x-{p}x)**2 + ({s}{y}-{p}{y})**2 + ({s}z-{p}z)**2)))))"
+ANGLES = ", ".join(ANGLE.format(p=p, q=q, s=s, y="y") for p, q, s in ("abc", "bca", "cab")).replace("by", "by_")
+
+
+@query("F818_angle_normals", f"""MORE {TRI}, {FLAT.format(v='vert')}, n AS (SELECT unnest([a, b, c]) AS v, unnest([{ANGLES}]) / sqrt(nx*nx + ny*ny + nz*nz) AS w, nx, ny, nz FROM f), s AS (SELECT v, sum(nx * w) AS x, sum(ny * w) AS y, sum(nz * w) AS z FROM n GROUP BY 1)
+SELECT v, round(x / sqrt(x*x+y*y+z*z), 5) AS nx, round(y / sqrt(x*x+y*y+z*z), 5) AS ny, round(z / sqrt(x*x+y*y+z*z), 5) AS nz FROM s""", "points")
+def f818_angle(spark, sf):  # noqa: ANN001, ANN201
+    return M.vertex_normals(*_mesh(spark, sf), weight="angle").select("v", *[(F.round(f"n{a}", 5) + 0.0).alias(f"n{a}") for a in "xyz"])
+
+
+def _smooth_rounds(spacing: float, rounds: int) -> str:
+    wide = 2 * (2.5 * spacing) ** 2
+    steps = [f"MORE {TRI}, g AS (SELECT unnest([a, b, b, c, c, a]) AS u, unnest([b, a, c, b, a, c]) AS v FROM tri), nb AS MATERIALIZED (SELECT u, v, count(*) AS m FROM g GROUP BY ALL), w0 AS MATERIALIZED (SELECT * FROM vert)"]
+    for k in range(rounds):
+        steps.append(FLAT.format(v=f"w{k}").replace("f AS (", f"f{k} AS (", 1))
+        steps.append(f"s{k} AS (SELECT v, sum(nx) AS x, sum(ny) AS y, sum(nz) AS z FROM (SELECT unnest([a, b, c]) AS v, nx, ny, nz FROM f{k}) GROUP BY 1), o{k} AS MATERIALIZED (SELECT w.v, w.x, w.y, w.z, coalesce(s.x / sqrt(s.x**2 + s.y**2 + s.z**2), 0) AS nx, coalesce(s.y / sqrt(s.x**2 + s.y**2 + s.z**2), 0) AS ny, coalesce(s.z / sqrt(s.x**2 + s.y**2 + s.z**2), 0) AS nz FROM w{k} w LEFT JOIN s{k} s USING (v))")
+        steps.append(f"p{k} AS (SELECT nb.u, nb.m, q.nx * p.nx + q.ny * p.ny + q.nz * p.nz AS dot, (q.x - p.x)**2 + (q.y - p.y)**2 + (q.z - p.z)**2 AS far, (q.x - p.x) * p.nx + (q.y - p.y) * p.ny + (q.z - p.z) * p.nz AS h FROM nb JOIN o{k} p ON p.v = nb.u JOIN o{k} q ON q.v = nb.v)")
+        steps.append(f"q{k} AS (SELECT u AS v, sum(h * w) AS h, sum(w) AS w FROM (SELECT *, m * exp(-far / {wide}) * exp(-((1 - greatest(-1, least(1, dot)))**2) / (2 * 0.18 * 0.18)) AS w FROM p{k} WHERE dot >= cos(radians(35)) AND far <= {(4.5 * spacing) ** 2}) GROUP BY 1)")
+        steps.append(f"m{k} AS (SELECT o.*, CASE WHEN q.w > 1e-8 THEN greatest(-{spacing / 4}, least({spacing / 4}, q.h / q.w * 0.45)) ELSE 0 END AS step FROM o{k} o LEFT JOIN q{k} q USING (v)), d{k} AS (SELECT m.v, b.x AS bx, b.y AS by_, b.z AS bz, m.x + nx * step - b.x AS dx, m.y + ny * step - b.y AS dy, m.z + nz * step - b.z AS dz FROM m{k} m JOIN w0 b USING (v))")
+        steps.append(f"w{k + 1} AS MATERIALIZED (SELECT v, bx + dx * s AS x, by_ + dy * s AS y, bz + dz * s AS z FROM (SELECT *, CASE WHEN sqrt(dx*dx + dy*dy + dz*dz) > {spacing / 2} THEN {spacing / 2} / sqrt(dx*dx + dy*dy + dz*dz) ELSE 1 END AS s FROM d{k}))")
+    return ", ".join(steps) + f" SELECT v, round(x, 3)::DOUBLE AS x, round(y, 3)::DOUBLE AS y, round(z, 3)::DOUBLE AS z FROM w{rounds}"
+
+
+@query("F819_mesh_smoothing", _smooth_rounds(400.0, 2), "points")
 def f819(spark, sf):  # noqa: ANN001, ANN201
     tri, vert = _mesh(spark, sf)
-    return M.smooth(vert, tri, rounds=2)
+    return M.smooth(vert, tri, 400.0, rounds=2).select("v", *[(F.round(a, 3) + 0.0).alias(a) for a in "xyz"])
 
 
-@query("F820_border_edges", f"MORE {TRI}, e AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM tri WHERE t % 50 = 0 UNION ALL SELECT least(b, c), greatest(b, c) FROM tri WHERE t % 50 = 0 UNION ALL SELECT least(c, a), greatest(c, a) FROM tri WHERE t % 50 = 0) SELECT u, v FROM e GROUP BY 1, 2 HAVING count(*) = 1", "keys points")
-def f820(spark, sf):  # noqa: ANN001, ANN201
-    return M.border_edges(_mesh(spark, sf)[0].where("t % 50 = 0"))
+CORNERS = "x AS (SELECT DISTINCT 3 * l_orderkey AS a, 3 * l_partkey + 1 AS b, 3 * l_suppkey + 2 AS c FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL)"
 
 
-@query("F820_border_edges_all")
-def f820_all(spark, sf):  # noqa: ANN001, ANN201
+@query("F820_border_edges", f"WITH {CORNERS}, e AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM x UNION ALL SELECT least(b, c), greatest(b, c) FROM x UNION ALL SELECT least(c, a), greatest(c, a) FROM x) SELECT u, v FROM e GROUP BY 1, 2 HAVING count(*) = 1")
+def f820(spark, sf):  # noqa: ANN001, ANN201
     return M.border_edges(line_triangles(spark, sf))
 
 
-@query("F821_signed_volume", f"MORE {TRI} SELECT round(sum(pa.x * (pb.y * pc.z - pb.z * pc.y) + pa.y * (pb.z * pc.x - pb.x * pc.z) + pa.z * (pb.x * pc.y - pb.y * pc.x)) / 6 / 1e9, 3) AS volume, count(*) AS triangles FROM tri t JOIN vert pa ON pa.v = t.a JOIN vert pb ON pb.v = t.b JOIN vert pc ON pc.v = t.c", "keys points")
+#: Customers on a sheet ten wide, two triangles a square, one square in 37 left out.
+SHEET = """n AS (SELECT c_custkey AS v, c_acctbal AS x, c_custkey // 10 AS y, c_custkey % 10 AS z FROM customer), q AS (SELECT v FROM n WHERE v % 10 < 9 AND v + 11 <= (SELECT max(v) FROM n) AND v % 37 != 5),
+tr AS (SELECT v AS a, v + 1 AS b, v + 10 AS c FROM q UNION ALL SELECT v + 1, v + 11, v + 10 FROM q), d AS (SELECT unnest([a, b, c]) AS p, unnest([b, c, a]) AS o FROM tr),
+br AS MATERIALIZED (SELECT least(p, o) AS u, greatest(p, o) AS v, any_value(p) AS p, any_value(o) AS o FROM d GROUP BY 1, 2 HAVING count(*) = 1), two AS (SELECT u AS a, v AS b FROM br UNION ALL SELECT v, u FROM br),
+r AS (SELECT a AS v, a AS root FROM two UNION SELECT two.b, r.root FROM r JOIN two ON two.a = r.v), c AS MATERIALIZED (SELECT v, min(root) AS root FROM r GROUP BY 1), g AS (SELECT a AS v, count(*) AS deg FROM two GROUP BY 1),
+l AS (SELECT c.root FROM c JOIN g USING (v) JOIN n USING (v) GROUP BY 1 HAVING count(*) BETWEEN 4 AND 64 AND max(deg) = 2 AND min(deg) = 2 AND sqrt((max(x) - min(x))**2 + (max(y) - min(y))**2 + (max(z) - min(z))**2) <= 9000)"""
+
+
+@query("F820_filled_holes", f"WITH RECURSIVE {SHEET} SELECT br.o AS a, br.p AS b, -1 - c.root AS c FROM br JOIN c ON c.v = br.u WHERE c.root IN (SELECT root FROM l)")
+def f820_fill(spark, sf):  # noqa: ANN001, ANN201
+    n = read(spark, sf, "customer").select(F.col("c_custkey").alias("v"), F.col("c_acctbal").alias("x"), F.floor(F.col("c_custkey") / 10).alias("y"), (F.col("c_custkey") % 10).alias("z"))
+    q = n.crossJoin(F.broadcast(n.agg(F.max("v").alias("top")))).where("v % 10 < 9 and v + 11 <= top and v % 37 != 5")
+    v = F.col("v")
+    return M.fill_holes(q.select(v.alias("a"), (v + 1).alias("b"), (v + 10).alias("c")).union(q.select(v + 1, v + 11, v + 10)), n, 9000.0)[0]
+
+
+@query("F821_signed_volume", f"MORE {TRI} SELECT round(sum(pa.x * (pb.y * pc.z - pb.z * pc.y) + pa.y * (pb.z * pc.x - pb.x * pc.z) + pa.z * (pb.x * pc.y - pb.y * pc.x)) / 6 / 1e9, 3) AS volume, count(*) AS triangles FROM tri t JOIN vert pa ON pa.v = t.a JOIN vert pb ON pb.v = t.b JOIN vert pc ON pc.v = t.c", "points")
 def f821(spark, sf):  # noqa: ANN001, ANN201
     return M.signed_volume(*_mesh(spark, sf)).select((F.round(F.col("volume") / 1e9, 3) + 0.0).alias("volume"), "triangles")
 
 
-@query("F824_consensus_direction")
+@query("F824_consensus_direction", """MORE v AS (SELECT vec_id // 12 AS pose, vec_id AS view, e[1] / n AS x, e[2] / n AS y, e[3] / n AS z, abs(e[4]) AS w FROM (SELECT *, sqrt(e[1]**2 + e[2]**2 + e[3]**2) AS n FROM vectors)),
+p AS (SELECT a.pose, a.view AS seed, b.* FROM v a JOIN v b ON b.pose = a.pose AND a.x * b.x + a.y * b.y + a.z * b.z >= cos(radians(55))), s AS (SELECT pose, seed, sum(w) AS score, sum(w * x) AS x, sum(w * y) AS y, sum(w * z) AS z, count(*) AS n FROM p GROUP BY 1, 2),
+t AS (SELECT pose, max(score) AS top FROM s GROUP BY 1), f AS (SELECT s.pose, min(seed) AS seed FROM s JOIN t USING (pose) WHERE score >= top - 1e-12 GROUP BY 1), w AS (SELECT pose, sum(w) AS w FROM v GROUP BY 1)
+SELECT s.pose, round(s.x / sqrt(s.x**2 + s.y**2 + s.z**2), 6) AS x, round(s.y / sqrt(s.x**2 + s.y**2 + s.z**2), 6) AS y, round(s.z / sqrt(s.x**2 + s.y**2 + s.z**2), 6) AS z, s.n::INTEGER AS inliers, round(s.score / w.w, 6) AS dominance FROM s JOIN f USING (pose, seed) JOIN w USING (pose)""", "vectors")
 def f824(spark, sf):  # noqa: ANN001, ANN201
     e = lambda i: F.get("e", F.lit(i))
     n = F.sqrt(e(0) ** 2 + e(1) ** 2 + e(2) ** 2)
     views = vectors(spark, sf).select(F.floor(F.col("vec_id") / 12).alias("pose"), F.col("vec_id").alias("view"), (e(0) / n).alias("x"), (e(1) / n).alias("y"), (e(2) / n).alias("z"), F.abs(e(3)).alias("w"))
-    return Z.consensus(views, "pose", "w")
+    return Z.consensus(views, "pose", "w").select("pose", *[r(F.col(a), a) for a in "xyz"], "inliers", r(F.col("dominance"), "dominance"))
 
 
 @query("F826_verdict", "MORE g AS (SELECT track, count(*) AS views, max(x) / 50 AS dominance, avg(y) / 10 AS confidence FROM keys GROUP BY 1) SELECT track, CASE WHEN views >= 6 AND dominance >= 0.56 AND confidence >= 0.34 THEN 'direction' WHEN views >= 4 AND confidence >= 0.28 THEN 'centre' WHEN views >= 2 AND dominance >= 0.65 THEN 'semantic' ELSE 'rejected' END AS verdict FROM g", "keys")
@@ -220,9 +301,8 @@ def f826(spark, sf):  # noqa: ANN001, ANN201
 @query("F827_rotation_modes", "MORE p AS (SELECT quantile_cont(x, 0.3) AS a, quantile_cont(x, 0.8) AS b, quantile_cont(x, 0.97) AS c FROM points) SELECT stable_id, ((x > a)::INTEGER + (x > b)::INTEGER + (x > c)::INTEGER)::INTEGER AS mode FROM points, p", "points")
 def f827(spark, sf):  # noqa: ANN001, ANN201
     p = points(spark, sf)
-    cuts = p.agg(F.percentile("x", F.array(F.lit(0.3), F.lit(0.8), F.lit(0.97))).alias("c"))
-    step = lambda i: F.when(F.col("x") > F.get("c", F.lit(i)), 1).otherwise(0)
-    return p.crossJoin(F.broadcast(cuts)).select("stable_id", (step(0) + step(1) + step(2)).alias("mode"))
+    cuts = quantiles(p, "x", [0.3, 0.8, 0.97])
+    return p.select("stable_id", sum((F.when(F.col("x") > c, 1).otherwise(0) for c in cuts[1:]), F.when(F.col("x") > cuts[0], 1).otherwise(0)).alias("mode"))
 
 
 @query("F830_morton_inverse", f"SELECT stable_id, {CODE} AS again FROM points", "points")

@@ -19,10 +19,11 @@ def f007(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("bits", (~N.finite(value)).alias("special"), (F.when(N.finite(value), value).otherwise(0.0) + 0.0).alias("value"))
 
 
-@query("F007_half_encode", "MORE b AS (SELECT DISTINCT v16 AS bits FROM keys WHERE (v16 >> 10) & 31 != 31) SELECT bits, bits AS again FROM b", "keys")
+@query("F007_half_encode", "MORE b AS (SELECT DISTINCT v16 AS bits FROM keys) SELECT bits, CASE WHEN (bits >> 10) & 31 = 31 AND bits & 1023 != 0 THEN 31744 ELSE bits END::INTEGER AS again FROM b", "keys")
 def f007b(spark, sf):  # noqa: ANN001, ANN201
-    rows = keys(spark, sf).select(F.col("v16").alias("bits")).distinct().where("(bits >> 10) & 31 != 31")
-    return rows.select("bits", B.double_to_half(B.half_to_double(F.col("bits"))).alias("again"))
+    """Every pattern comes back, infinities too; what is not a number becomes infinity, as overflow does."""
+    rows = keys(spark, sf).select(F.col("v16").alias("bits")).distinct()
+    return rows.select("bits", B.double_to_half(B.half_to_double(F.col("bits"))).cast("int").alias("again"))
 
 
 @query("F017_frame_range", r"SELECT page_id, coalesce(nullif(regexp_extract(url, '(\d+)[_-](\d+)', 1), ''), '-') AS first, regexp_extract(url, '/([a-z]{2})/', 1) AS lang FROM pages")
@@ -170,11 +171,9 @@ def f720(spark, sf):  # noqa: ANN001, ANN201
     return read(spark, sf, "events").select("event_id", j["k"].alias("k"), j["k"].isNotNull().alias("valid"))
 
 
-@query("F721_format_bytes", "SELECT doc_id, CASE WHEN n_chars >= 1000 THEN printf('%.1f kB', n_chars / 1000.0) ELSE printf('%d B', n_chars) END AS size FROM documents WHERE n_chars < 1000000 AND n_chars % 100 != 50")
-def f721(spark, sf):  # noqa: ANN001, ANN201
-    return read(spark, sf, "documents").where("n_chars < 1000000 and n_chars % 100 != 50").select("doc_id", N.format_bytes(F.col("n_chars")).alias("size"))
+SIZES = " ".join(f"WHEN n_chars >= {size} THEN ((20 * n_chars + {size}) // {2 * size}) // 10 || '.' || ((20 * n_chars + {size}) // {2 * size}) % 10 || ' {unit}'" for size, unit in ((10**9, "GB"), (10**6, "MB"), (10**3, "kB")))
 
 
-@query("F721_format_bytes_all")
-def f721_all(spark, sf):  # noqa: ANN001, ANN201
+@query("F721_format_bytes", f"SELECT doc_id, CASE {SIZES} ELSE n_chars || ' B' END AS size FROM documents")
+def f721(spark, sf):  # noqa: ANN001, ANN201
     return read(spark, sf, "documents").select("doc_id", N.format_bytes(F.col("n_chars")).alias("size"))

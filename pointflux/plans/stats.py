@@ -55,11 +55,22 @@ def f405(spark, sf):  # noqa: ANN001, ANN201
     return A.support(points(spark, sf).where("not deleted")).select(F.col("direction").cast("int").alias("direction"), (F.round("support", 5) + 0.0).alias("support"))
 
 
-@query("F406_envelope")
+PLANES = """MORE ax AS (SELECT unnest([-1, 0, 1]) AS c), dir AS (SELECT row_number() OVER (ORDER BY a.c, b.c, d.c) AS i, a.c / sqrt(a.c*a.c + b.c*b.c + d.c*d.c) AS a, b.c / sqrt(a.c*a.c + b.c*b.c + d.c*d.c) AS b, d.c / sqrt(a.c*a.c + b.c*b.c + d.c*d.c) AS c FROM ax a, ax b, ax d WHERE abs(a.c) + abs(b.c) + abs(d.c) > 0),
+live AS (SELECT x, y, z FROM points WHERE NOT deleted), box AS (SELECT sqrt((max(x) - min(x))**2 + (max(y) - min(y))**2 + (max(z) - min(z))**2) AS size FROM live),
+h AS MATERIALIZED (SELECT i, a, b, c, (SELECT max(x * a + y * b + z * c) FROM live) + (SELECT greatest(1e-5, 0.0015 * size) FROM box) AS h FROM dir),
+t AS (SELECT p.i AS i, q.i AS j, r.i AS k, p.a * (q.b * r.c - q.c * r.b) - p.b * (q.a * r.c - q.c * r.a) + p.c * (q.a * r.b - q.b * r.a) AS det,
+  p.h * (q.b * r.c - q.c * r.b) - p.b * (q.h * r.c - q.c * r.h) + p.c * (q.h * r.b - q.b * r.h) AS dx, p.a * (q.h * r.c - q.c * r.h) - p.h * (q.a * r.c - q.c * r.a) + p.c * (q.a * r.h - q.h * r.a) AS dy,
+  p.a * (q.b * r.h - q.h * r.b) - p.b * (q.a * r.h - q.h * r.a) + p.h * (q.a * r.b - q.b * r.a) AS dz FROM h p JOIN h q ON q.i > p.i JOIN h r ON r.i > q.i),
+v AS MATERIALIZED (SELECT dx / det AS x, dy / det AS y, dz / det AS z FROM t WHERE abs(det) > 1e-9), s AS MATERIALIZED (SELECT DISTINCT round(x, 2) + 0.0 AS x, round(y, 2) + 0.0 AS y, round(z, 2) + 0.0 AS z FROM v WHERE NOT EXISTS (SELECT 1 FROM h WHERE v.x * h.a + v.y * h.b + v.z * h.c > h.h + (SELECT size FROM box) * 4e-6)),
+f AS (SELECT h.i, count(*) AS n FROM h, s WHERE abs(s.x * h.a + s.y * h.b + s.z * h.c - h.h) < 0.05 GROUP BY 1 HAVING count(*) >= 3)"""
+
+
+@query("F406_envelope", PLANES + " SELECT x, y, z, (SELECT sum(n - 2) FROM f)::BIGINT AS triangles, (SELECT sum(n) // 2 FROM f)::BIGINT AS edges FROM s", "points")
 def f406(spark, sf):  # noqa: ANN001, ANN201
     rows = sorted((x["direction"], x["support"]) for x in A.support(points(spark, sf).where("not deleted")).collect())  # 26 numbers
-    vertices, faces = A.envelope([s for _, s in rows])
-    return spark.createDataFrame([(i, *v) for i, v in enumerate(vertices)], "vertex int, x double, y double, z double").withColumn("n_faces", F.lit(len(faces)))
+    vertices, triangles, edges = A.envelope([s for _, s in rows])
+    out = spark.createDataFrame([(*v, len(triangles), len(edges)) for v in vertices], "x double, y double, z double, triangles long, edges long")
+    return out.select(*[(F.round(a, 2) + 0.0).alias(a) for a in "xyz"], "triangles", "edges")
 
 
 SICK = """MORE sick AS (SELECT e[1] AS x, CASE WHEN vec_id % 17 = 0 THEN 'nan'::DOUBLE ELSE e[2] END AS y, e[3] AS z, CASE WHEN vec_id % 3 = 0 THEN e[4] / n ELSE e[4] END AS qw,

@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.streams import planes, unplanes
@@ -117,6 +117,53 @@ def save_as(files: DataFrame, changes: dict, folder: str, name: str = "path", co
     return files.select(name, content).mapInPandas(run, f"{name} string, file string")
 
 
+#: What a manifest may and must name.
+CODECS = ("raw", "deflate", "deflate-shuffle16", "brotli", "brotli-shuffle16")
+TRACKS = ("position", "rotation", "colorDc", "scale", "opacity")
+REQUIRED_STREAMS = ("active_masks", "prs_position", "so3_rotation", "tattr_dc", "mixsc_opacity", "lifetime_mu", "lifetime_w", "coresh5r_shared")
+SCALE, SCALE_AXES = "tattr_scale", ("tattr_scale_0", "tattr_scale_1", "tattr_scale_2")
+BUNDLE = "CoRe4D-Browser-Raw4D-Lossless-DeflateShuffle16-V1"
+MANIFEST = (
+    "format string, version int, codecName string, slotCount long, uniqueFrameCount long, "
+    f"segments array<struct<name:string,gaussianCount:long,totalFrames:long,firstFrame:long,lastFrame:long,positionTiming:string,opacityTiming:string,bankCounts:struct<{','.join(f'{t}:long' for t in TRACKS)}>>>, "
+    "streams array<struct<name:string,compression:string,rawBytes:long,storedBytes:long,rawSha256:string,storedSha256:string>>"
+)
+
+
+def manifest_problems(manifest: Column) -> Column:
+    """What is wrong with a JSON manifest, a sorted array of strings; empty: nothing.
+
+    Positive counts, known codecs and timings, digests, frames in order, names
+    once each, all streams that sampling needs, and scale either as one stream or
+    as all of its three axes. A bundle of source files needs none of those streams.
+    """
+    m = F.from_json(manifest, MANIFEST)
+    no = lambda ok: ~F.coalesce(ok, F.lit(False))
+    rule = lambda ok, text: F.when(no(ok), F.lit(text))
+    names = F.transform(m["streams"], lambda s: s["name"])
+    counted = lambda s: (s["gaussianCount"] > 0) & (s["totalFrames"] > 0)
+    banked = lambda s: F.forall(F.array(*[s["bankCounts"][t] for t in TRACKS]), lambda n: F.coalesce(n > 0, F.lit(False)))
+    timed = lambda s: F.coalesce(s["positionTiming"].isin("shared-keyframes", "per-point-lifetime-endpoints"), F.lit(True)) & F.coalesce(s["opacityTiming"].isin("lifetime-gated", "baked"), F.lit(True))
+    digest = lambda c: c.rlike("^[0-9a-fA-F]{64}$")
+    every = lambda items, ok: F.forall(items, lambda s: F.coalesce(ok(s), F.lit(False)))
+    bundle = F.coalesce(m["codecName"] == BUNDLE, F.lit(False))
+    all_axes = F.size(F.array_intersect(names, F.array(*[F.lit(a) for a in SCALE_AXES]))) == 3
+    found = [
+        rule(m["format"] == "4CGS", "format"), rule(m["version"] == 2, "version"), rule(m["codecName"].isNotNull(), "codecName"),
+        rule(m["slotCount"] > 0, "slotCount"), rule(m["uniqueFrameCount"] > 0, "uniqueFrameCount"),
+        rule(F.size(m["segments"]) > 0, "segments"), rule(F.size(m["streams"]) > 0, "streams"),
+        rule(every(m["segments"], lambda s: s["name"].isNotNull() & counted(s) & banked(s)), "segment counts"),
+        rule(every(m["segments"], timed), "segment timing"), rule(every(m["segments"], lambda s: s["lastFrame"] >= s["firstFrame"]), "segment frames"),
+        rule(every(m["streams"], lambda s: s["compression"].isin(*CODECS)), "stream codec"),
+        rule(every(m["streams"], lambda s: (s["rawBytes"] > 0) & (s["storedBytes"] > 0)), "stream sizes"),
+        rule(every(m["streams"], lambda s: digest(s["rawSha256"]) & digest(s["storedSha256"])), "stream digests"),
+        rule(F.size(F.array_distinct(names)) == F.size(names), "stream named twice"),
+        *[F.when(~bundle & no(F.array_contains(names, n)), F.lit(f"no {n}")) for n in REQUIRED_STREAMS],
+        F.when(~bundle & no(F.array_contains(names, SCALE) | all_axes), F.lit("no scale")),
+    ]
+    return F.sort_array(F.array_compact(F.array(*found)))
+
+
 def catalog_check(catalog: DataFrame, manifests: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """``(key, problem)``: entries on one side only, repeated ids and fields that differ."""
     c, m = catalog.alias("c"), manifests.alias("m")
