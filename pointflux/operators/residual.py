@@ -137,7 +137,7 @@ def encode(rows: DataFrame, vector: str, models: Sequence[Tree | Flat], keep: Se
             yield out
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.where(F.col(vector).isNotNull()).select(*keep, vector).mapInPandas(run, f"{kinds}, labels array<int>, decoded array<double>, error double")
+    return rows.where(F.col(vector).isNotNull()).select(*dict.fromkeys([*keep, vector])).mapInPandas(run, f"{kinds}, labels array<int>, decoded array<double>, error double")
 
 
 def tree_levels(rows: DataFrame, vector: str, keep: Sequence[str], levels: int = 2) -> DataFrame:

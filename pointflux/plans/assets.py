@@ -8,6 +8,7 @@ from ..operators import assets as E
 from ..operators import boundary as J
 from ..operators import sampling as S
 from ..operators import selection as L
+from ..sinks import report
 from ..sinks.ply import compacted, sequence_names
 from ..sources.container import catalog_check
 from .base import keys, points, query, read, vectors
@@ -95,3 +96,29 @@ def f825(spark, sf):  # noqa: ANN001, ANN201
 @query("F213_newly_deleted_ids", "SELECT stable_id FROM points WHERE selected AND NOT deleted", "points")
 def f213b(spark, sf):  # noqa: ANN001, ANN201
     return L.delete_selected(points(spark, sf)).where("newly").select("stable_id")
+
+
+REPORT = ["event_type", "count", "mean", "note"]
+
+
+def _audit(spark, sf):  # noqa: ANN001, ANN202
+    rows = read(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("count"), F.format_string("%.2f", F.round(F.avg("value"), 2)).alias("mean"))
+    return rows.withColumn("note", F.concat(F.lit('a "'), "event_type", F.lit('", <b>|')))
+
+
+AUDIT = """WITH a AS (SELECT event_type AS e, count(*) AS n, printf('%.2f', round(avg(value), 2)) AS m FROM events GROUP BY 1) SELECT """
+
+
+@query("F029_audit_csv", AUDIT + """e || ',' || n || ',' || m || ',"a ""' || e || '"", <b>|"' AS line FROM a""")
+def f029_csv(spark, sf):  # noqa: ANN001, ANN201
+    return report.lines(_audit(spark, sf), "csv", REPORT)
+
+
+@query("F029_audit_markdown", AUDIT + """'| ' || e || ' | ' || n || ' | ' || m || ' | a "' || e || '", <b>' || chr(92) || '| |' AS line FROM a""")
+def f029_markdown(spark, sf):  # noqa: ANN001, ANN201
+    return report.lines(_audit(spark, sf), "markdown", REPORT)
+
+
+@query("F029_audit_html", AUDIT + """'<tr><td>' || e || '</td><td>' || n || '</td><td>' || m || '</td><td>a "' || e || '", &lt;b&gt;|</td></tr>' AS line FROM a""")
+def f029_html(spark, sf):  # noqa: ANN001, ANN201
+    return report.lines(_audit(spark, sf), "html", REPORT)

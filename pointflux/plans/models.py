@@ -8,6 +8,7 @@ from ..functions import bits as B
 from ..operators import codebooks as C
 from ..operators import fits as Z
 from ..operators import mesh as M
+from ..operators import residual as R
 from ..operators import streams as X
 from ..operators.graph import components
 from ..operators.layout import dense_ids
@@ -308,3 +309,21 @@ def f827(spark, sf):  # noqa: ANN001, ANN201
 @query("F830_morton_inverse", f"SELECT stable_id, {CODE} AS again FROM points", "points")
 def f830(spark, sf):  # noqa: ANN001, ANN201
     return _coded(spark, sf).select("stable_id", B.morton(*B.morton_inverse(F.col("code"))).alias("again"))
+
+
+@query("F804_residual_trees")
+def f804(spark, sf):  # noqa: ANN001, ANN201
+    rows = vectors(spark, sf).select("vec_id", F.slice("e", 1, 12).alias("e"))
+    return R.tree_levels(rows, "e", ["vec_id"], 2).select("vec_id", "labels", "error")
+
+
+@query("F808_shared_codebooks")
+def f808(spark, sf):  # noqa: ANN001, ANN201
+    rows = vectors(spark, sf).select("vec_id", "label", F.slice("e", 1, 12).alias("e"))
+    return R.shared_levels(rows, "e", ["vec_id"], "label", 64, 2).select("vec_id", "label", "labels", "error")
+
+
+@query("F828_curve_bank")
+def f828(spark, sf):  # noqa: ANN001, ANN201
+    rows = vectors(spark, sf).select("vec_id", F.slice("e", 1, 15).alias("curve"), F.abs(F.get("e", F.lit(20))).alias("importance"))
+    return R.curve_bank(rows, "curve", "importance", ["vec_id"], clusters=64).select("vec_id", "labels", "error")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import quaternion as Q
 from ..operators import sampling as S
-from .base import keys, points, query, read, signal
+from .base import keys, points, query, read, signal, vectors
 
 #: Digits that results keep: sums and library functions differ in the last ones.
 R = 6
@@ -194,3 +194,26 @@ def f117(spark, sf):  # noqa: ANN001, ANN201
     last = F.max("k").over(Window.partitionBy("track"))
     rows = keys(spark, sf).withColumn("kept", (F.col("k") % 3 == 1) | (F.col("k") == last))
     return S.sample_sparse(rows.withColumn("value", F.col("x"))).select("track", "frame", r(F.col("rebuilt"), "rebuilt"))
+
+
+UNIT = "sqrt(e[{0}]**2 + e[{1}]**2 + e[{2}]**2 + e[{3}]**2)".format(1, 2, 3, 4)
+
+
+@query("F115_offline_rotations", f"""MORE q AS (SELECT vec_id // 16 AS track, vec_id % 16 AS k, e[1] / {UNIT} AS w, e[2] / {UNIT} AS x, e[3] / {UNIT} AS y, e[4] / {UNIT} AS z FROM vectors),
+d AS (SELECT *, coalesce(w * lag(w) OVER o + x * lag(x) OVER o + y * lag(y) OVER o + z * lag(z) OVER o < 0, false)::INTEGER AS t FROM q WINDOW o AS (PARTITION BY track ORDER BY k)),
+s AS (SELECT *, CASE WHEN sum(t) OVER (PARTITION BY track ORDER BY k) % 2 = 1 THEN -1 ELSE 1 END AS s FROM d) SELECT track, k, round(s * w, 6)::DOUBLE AS qw, round(s * x, 6)::DOUBLE AS qx, round(s * y, 6)::DOUBLE AS qy, round(s * z, 6)::DOUBLE AS qz FROM s""", "vectors")
+def f115(spark, sf):  # noqa: ANN001, ANN201
+    e = lambda i: F.get("e", F.lit(i))
+    rows = vectors(spark, sf).select(F.floor(F.col("vec_id") / 16).alias("track"), (F.col("vec_id") % 16).alias("k"), *[e(i).alias(n) for i, n in enumerate(("qw", "qx", "qy", "qz"))])
+    return S.offline_rotation_keys(rows).select("track", "k", *[r(F.col(n), n) for n in ("qw", "qx", "qy", "qz")])
+
+
+@query("F115_offline_sample", """MORE v AS (SELECT track, frame, x, CASE WHEN (track + k) % 5 = 0 THEN '-inf'::DOUBLE ELSE y END AS o FROM keys),
+g AS (SELECT track, min(frame) AS f0, max(frame) AS f1, max(frame) FILTER (frame < 20) AS l, min(frame) FILTER (frame >= 20) AS r FROM v GROUP BY 1),
+j AS (SELECT g.*, CASE WHEN f0 >= 20 THEN f0 WHEN f1 <= 20 THEN f1 ELSE l END AS a, CASE WHEN f0 >= 20 THEN f0 WHEN f1 <= 20 THEN f1 ELSE r END AS b FROM g)
+SELECT j.track, round(CASE WHEN a = b THEN p.x ELSE p.x + (q.x - p.x) * (20 - a) / (b - a) END, 6)::DOUBLE AS x, CASE WHEN isinf(p.o) OR isinf(q.o) THEN NULL ELSE round(CASE WHEN a = b THEN p.o ELSE p.o + (q.o - p.o) * (20 - a) / (b - a) END, 6) END::DOUBLE AS o
+FROM j JOIN v p ON p.track = j.track AND p.frame = a JOIN v q ON q.track = j.track AND q.frame = b""", "keys")
+def f115_sample(spark, sf):  # noqa: ANN001, ANN201
+    o = F.when((F.col("track") + F.col("k")) % 5 == 0, F.lit(float("-inf"))).otherwise(F.col("y"))
+    out = S.offline_sample(keys(spark, sf).withColumn("o", o), 20.0, 61, ["x", "o"])
+    return out.select("track", r(F.col("x"), "x"), F.when(F.col("o") > float("-inf"), F.round("o", 6) + 0.0).alias("o"))

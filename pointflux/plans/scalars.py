@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..functions import numeric as N
 from ..functions import quaternion as Q
+from ..operators import images
+from ..sources import container
+from ..sources.ply import BANK
 from .base import keys, points, query, read, vectors
 from .sampling import LOGIT, r
 
@@ -122,16 +127,35 @@ def f712(spark, sf):  # noqa: ANN001, ANN201
     return rows.select("stable_id", out(x + 10, "bx"), out(y + 20, "by_"), out(z - 5, "bz"), r(F.col("w") + math.log(2.0), "log_scale"))
 
 
-@query("F713_sh_rotation", "SELECT vec_id, round(e[1], 6) AS r0, round(e[2], 6) AS r1, round(e[3], 6) AS r2 FROM vectors", "vectors")
+#: A turn of 60 degrees about z, and what it does to a harmonic of order m: it mixes with the one of order -m.
+TURN = math.pi / 3
+
+
+def _turned_z() -> str:
+    out = []
+    for channel in range(3):
+        for band in (1, 2, 3):
+            for m in range(-band, band + 1):
+                at = lambda k: f"e[{15 * channel + band * band - 1 + band + k + 1}]"  # noqa: B023, E731
+                mix = f"{math.cos(abs(m) * TURN)!r} * {at(m)}" + (f" + {math.copysign(math.sin(abs(m) * TURN), -m)!r} * {at(-m)}" if m else "")
+                out.append(f"round({mix}, 5) AS c{channel}_{band}_{m + band}")
+    return ", ".join(out)
+
+
+@query("F713_sh_rotation", f"SELECT vec_id, {_turned_z()} FROM vectors", "vectors")
 def f713(spark, sf):  # noqa: ANN001, ANN201
-    """Rotating by a turn and back gives the coefficients again."""
+    """Three channels of 15 coefficients, bands 1 to 3, turned about z."""
     from ..operators.fits import sh_rotation
 
-    there = sh_rotation((0.5, 0.5, 0.5, 0.5), 1)
-    back = sh_rotation((0.5, -0.5, -0.5, -0.5), 1)
-    dot = lambda row, cols: sum((c * float(v) for v, c in zip(row[1:], cols[1:])), cols[0] * float(row[0]))
-    once = vectors(spark, sf).select("vec_id", *[dot(there[i], [_e(j + 1) for j in range(3)]).alias(f"t{i}") for i in range(3)])
-    return once.select("vec_id", *[r(dot(back[i], [F.col(f"t{j}") for j in range(3)]), f"r{i}") for i in range(3)])
+    q = (math.cos(TURN / 2), 0.0, 0.0, math.sin(TURN / 2))
+    out = []
+    for band in (1, 2, 3):
+        m = sh_rotation(q, band)
+        for channel in range(3):
+            own = [_e(15 * channel + band * band + j) for j in range(2 * band + 1)]
+            for i in range(2 * band + 1):
+                out.append((F.round(sum((own[j] * float(m[i, j]) for j in range(1, len(own))), own[0] * float(m[i, 0])), 5) + 0.0).alias(f"c{channel}_{band}_{i}"))
+    return vectors(spark, sf).select("vec_id", *out)
 
 
 @query("F714_shuffle16", "SELECT page_id, octet_length(encode(html))::BIGINT AS n, (octet_length(encode(html)) + octet_length(encode(html)) % 2)::BIGINT AS padded FROM pages")
@@ -149,26 +173,106 @@ def f715(spark, sf):  # noqa: ANN001, ANN201
     return read(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
 
 
+CRC_STEP = "CASE WHEN {c} % 2 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+CRC_TABLE = f"WITH RECURSIVE b AS (SELECT i::BIGINT AS i, i::BIGINT AS c, 0 AS n FROM range(256) t(i) UNION ALL SELECT i, {CRC_STEP.format(c='c')}, n + 1 FROM b WHERE n < 8), t AS (SELECT list(c ORDER BY i) AS t FROM b WHERE n = 8)"
+
+
+@query("F715_crc32", CRC_TABLE + " SELECT c_custkey, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c_name, ''), lambda x: ord(x)::BIGINT)), lambda a, x: xor(t.t[xor(a, x) % 256 + 1], a >> 8)), 4294967295) AS crc FROM customer, t")
+def f715_crc(spark, sf):  # noqa: ANN001, ANN201
+    return read(spark, sf, "customer").select("c_custkey", F.crc32(F.encode("c_name", "UTF-8")).alias("crc"))
+
+
 @query("F716_gray", "SELECT track, k, ((77 * (v16 % 256) + 150 * (v16 // 256) + 29 * (v % 251)) >> 8)::BIGINT AS gray FROM keys", "keys")
 def f716(spark, sf):  # noqa: ANN001, ANN201
     return keys(spark, sf).select("track", "k", N.gray(F.col("v16") % 256, F.floor(F.col("v16") / 256), F.col("v") % 251).cast("long").alias("gray"))
 
 
+#: Images of 8 by 8 pixels, one a vector; the outer ones are even but for one in nine.
+PIXELS = """px AS (SELECT vec_id AS image, i % 8 AS x, i // 8 AS y, CASE WHEN (i % 8 IN (0, 7) OR i // 8 IN (0, 7)) AND i % 9 != 4 THEN 90 ELSE floor(128 + 400 * e[i + 1])::BIGINT % 256 END AS r, (i * 3) % 7 AS g, 20 AS b, CASE WHEN e[i + 1] < -0.2 THEN 10 ELSE 255 END AS a FROM vectors, range(64) t(i))"""
+
+
+def _pixels(spark, sf):  # noqa: ANN001, ANN202
+    i = F.col("i")
+    rim = (i % 8).isin(0, 7) | F.floor(i / 8).isin(0, 7)
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("image"), F.posexplode("e").alias("i", "v"))
+    red = F.when(rim & (i % 9 != 4), F.lit(90)).otherwise(F.floor(128 + 400 * F.col("v")) % 256).cast("long")
+    return rows.select("image", (i % 8).cast("long").alias("x"), F.floor(i / 8).alias("y"), red.alias("r"), ((i * 3) % 7).cast("long").alias("g"), F.lit(20).alias("b"), F.when(F.col("v") < -0.2, 10).otherwise(255).alias("a"))
+
+
+@query("F716_foreground", f"""MORE {PIXELS}, bp AS (SELECT image, r, g, b FROM px WHERE y IN (0, 7) UNION ALL SELECT image, r, g, b FROM px WHERE x IN (0, 7) AND y BETWEEN 1 AND 6),
+bg AS (SELECT image, list_sort(list(r))[count(*) // 2 + 1] AS r, list_sort(list(g))[count(*) // 2 + 1] AS g, list_sort(list(b))[count(*) // 2 + 1] AS b FROM bp GROUP BY 1),
+m AS (SELECT p.image, x, y, greatest(abs(p.r - bg.r), abs(p.g - bg.g), abs(p.b - bg.b)) >= 18 AND a >= 32 AS mask FROM px p JOIN bg USING (image))
+SELECT m.image, m.x, m.y, bool_or(m.mask OR coalesce(n.mask, false)) AS mask FROM m LEFT JOIN m n ON n.image = m.image AND abs(n.x - m.x) + abs(n.y - m.y) = 1 AND n.x BETWEEN 1 AND 6 AND n.y BETWEEN 1 AND 6 GROUP BY 1, 2, 3""", "vectors")
+def f716_mask(spark, sf):  # noqa: ANN001, ANN201
+    return images.foreground(_pixels(spark, sf))
+
+
+@query("F717_refined_disparities")
+def f717(spark, sf):  # noqa: ANN001, ANN201
+    """Disparities of 8 by 8 pixels from each vector; tests compare with the method pixel by pixel."""
+    value = lambda v: F.when(v < -0.12, 0).otherwise(F.floor(100 + 60 * v)).cast("int")
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("image"), F.lit(8).alias("columns"), F.transform("e", value).alias("disparity"), F.transform("e", lambda v: (v < 0.2).cast("int")).alias("foreground"))
+    return images.refine_disparities(rows)
+
+
+@query("F426_render_error", """MORE p AS (SELECT vec_id AS image, i % 8 AS x, i // 8 AS y, greatest(0, least(255, floor(128 + 400 * e[i + 1]))) AS a FROM vectors, range(64) t(i)), q AS (SELECT *, a - a % 8 AS b FROM p), c AS (SELECT * FROM (VALUES (3, 3), (4, 3), (3, 4), (4, 4)) t(cx, cy)),
+w AS (SELECT image, cx, cy, avg(a) AS ma, avg(b) AS mb, var_samp(a) AS va, var_samp(b) AS vb, covar_samp(a, b) AS ab FROM q, c WHERE abs(x - cx) <= 3 AND abs(y - cy) <= 3 GROUP BY ALL),
+s AS (SELECT image, avg((2 * ma * mb + 6.5025) * (2 * ab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))) AS ssim FROM w GROUP BY 1),
+g AS (SELECT image, avg((a - b) ** 2) AS mse, avg((a - b) ** 2) FILTER (greatest(a, b) > 25) AS front, avg(abs(a - b)) AS mae, max(abs(a - b)) AS worst, count(*) FILTER (greatest(a, b) > 25) AS n FROM q GROUP BY 1)
+SELECT image, round(10 * log10(65025 / nullif(mse, 0)), 5) AS psnr, round(10 * log10(65025 / nullif(front, 0)), 5) AS foreground_psnr, round(ssim, 5) AS ssim, round(mae, 6) AS mae, worst::BIGINT AS max_error, n AS foreground_pixels FROM g JOIN s USING (image)""", "vectors")
+def f426(spark, sf):  # noqa: ANN001, ANN201
+    """Eight grey levels a step against the whole range, one channel."""
+    rows = vectors(spark, sf).select(F.col("vec_id").alias("image"), F.posexplode("e").alias("i", "v"))
+    a = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + 400 * F.col("v"))))
+    rows = rows.select("image", F.lit(0).alias("channel"), (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).alias("y"), a.alias("a"), (a - a % 8).alias("b"))
+    out = images.render_error(rows)
+    near = lambda c, d=5: (F.round(c, d) + 0.0).alias(c)
+    return out.select("image", near("psnr"), near("foreground_psnr"), near("ssim"), near("mae", 6), "max_error", "foreground_pixels")
+
+
 @query("F718_sanitize", "SELECT stable_id, greatest(0.0, least(100.0, x)) AS clamped FROM points", "points")
 def f718(spark, sf):  # noqa: ANN001, ANN201
     return points(spark, sf).select("stable_id", N.clamp(F.col("x"), 0.0, 100.0).alias("clamped"))
 
 
-@query("F719_names", r"SELECT page_id, regexp_replace(url, '\.[A-Za-z0-9]+$', '') AS stem, 'frame_' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.ply' AS file FROM pages")
+BANKS = r"^(xyz|rot|f_dc|scale|opacity)_bank_?(\d+)(?:_(\d+))?$"
+
+
+@query("F719_names", rf"WITH n AS (SELECT page_id, url, ['xyz_bank_', 'rot_bank', 'f_dc_bank_', 'opacity_bank_', 'normal_bank_', 'scale_'][page_id % 6 + 1] || page_id % 13 || CASE WHEN page_id % 4 = 0 THEN '' ELSE '_' || page_id % 3 END AS bank FROM pages) SELECT page_id, regexp_replace(url, '\.[A-Za-z0-9]+$', '') AS stem, 'frame_' || lpad(CAST(page_id AS VARCHAR), 6, '0') || '.ply' AS file, regexp_extract(bank, '{BANKS}', 1) AS track, try_cast(regexp_extract(bank, '{BANKS}', 2) AS INTEGER) AS key, try_cast(regexp_extract(bank, '{BANKS}', 3) AS INTEGER) AS component FROM n")
 def f719(spark, sf):  # noqa: ANN001, ANN201
     file = F.concat(F.lit("frame_"), F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".ply"))
-    return read(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"\.[A-Za-z0-9]+$", "").alias("stem"), file.alias("file"))
+    start = F.get(F.array(*[F.lit(n) for n in ("xyz_bank_", "rot_bank", "f_dc_bank_", "opacity_bank_", "normal_bank_", "scale_")]), F.col("page_id") % 6)
+    bank = F.concat(start, (F.col("page_id") % 13).cast("string"), F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("_"), (F.col("page_id") % 3).cast("string"))))
+    part = lambda i: F.regexp_extract(bank, BANK.pattern, i)
+    number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
+    return read(spark, sf, "pages").select("page_id", F.regexp_replace("url", r"\.[A-Za-z0-9]+$", "").alias("stem"), file.alias("file"), part(1).alias("track"), number(2).alias("key"), number(3).alias("component"))
 
 
-@query("F720_json_manifest", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AS valid FROM events")
+@query("F720_json_manifest", """WITH c AS (SELECT c_custkey AS id, c_custkey % 16 AS fault FROM customer), p AS (SELECT id, list_filter([
+CASE WHEN fault = 1 THEN 'version' END, CASE WHEN fault = 2 THEN 'slotCount' END, CASE WHEN fault = 3 THEN 'segment counts' END, CASE WHEN fault = 4 THEN 'segment frames' END, CASE WHEN fault = 5 THEN 'stream codec' END,
+CASE WHEN fault = 6 THEN 'stream digests' END, CASE WHEN fault IN (7, 8) THEN 'no scale' END, CASE WHEN fault = 9 THEN 'stream named twice' END, CASE WHEN fault = 10 THEN 'no prs_position' END, CASE WHEN fault = 12 THEN 'segment timing' END,
+CASE WHEN fault = 13 THEN 'format' END, CASE WHEN fault = 13 THEN 'stream sizes' END], lambda x: x IS NOT NULL) AS p FROM c) SELECT id, array_to_string(list_sort(p), ',') AS problems FROM p""")
 def f720(spark, sf):  # noqa: ANN001, ANN201
-    j = F.from_json("props", "k long")
-    return read(spark, sf, "events").select("event_id", j["k"].alias("k"), j["k"].isNotNull().alias("valid"))
+    """A manifest for each customer, most with a planted fault; 8: only two of three scale axes, 11: all three, 14: a bundle without the usual streams."""
+    fault = F.col("c_custkey") % 16
+    if_ = lambda n, bad, good: F.when(fault == n, F.lit(bad)).otherwise(F.lit(good))
+    banks = F.struct(*[(if_(3, 0, 2) if t == "scale" else F.lit(2)).alias(t) for t in container.TRACKS])
+    segment = F.struct(F.lit("segment_0_30").alias("name"), F.lit(100).alias("gaussianCount"), F.lit(31).alias("totalFrames"), F.lit(10).alias("firstFrame"), if_(4, 9, 40).alias("lastFrame"), if_(12, "never", "shared-keyframes").alias("positionTiming"), banks.alias("bankCounts"))
+    digest = F.sha2(F.col("c_name"), 256)
+
+    def stream(name):  # noqa: ANN001, ANN202
+        return F.struct(name.alias("name"), if_(5, "zip", "deflate").alias("compression"), F.lit(10).alias("rawBytes"), if_(13, 0, 7).alias("storedBytes"), digest.alias("rawSha256"), F.when(fault == 6, F.lit("xyz")).otherwise(digest).alias("storedSha256"))
+
+    need = F.array(*[F.lit(n) for n in container.REQUIRED_STREAMS])
+    need = F.when(fault == 10, F.array_remove(need, "prs_position")).when(fault == 9, F.concat(need, F.array(F.lit("tattr_dc")))).otherwise(need)
+    axes = [F.lit(a) for a in container.SCALE_AXES]
+    scale = F.when(fault == 7, F.array().cast("array<string>")).when(fault == 8, F.array(*axes[:2])).when(fault == 11, F.array(*axes)).otherwise(F.array(F.lit(container.SCALE)))
+    names = F.when(fault == 14, F.array(F.lit("chunk_0"))).otherwise(F.concat(need, scale))
+    whole = F.to_json(F.struct(
+        if_(13, "5CGS", "4CGS").alias("format"), if_(1, 3, 2).alias("version"), if_(14, container.BUNDLE, "any").alias("codecName"), if_(2, 0, 100).alias("slotCount"), F.lit(31).alias("uniqueFrameCount"),
+        F.array(segment).alias("segments"), F.transform(names, stream).alias("streams"),
+    ))
+    return read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.array_join(container.manifest_problems(whole), ",").alias("problems"))
 
 
 SIZES = " ".join(f"WHEN n_chars >= {size} THEN ((20 * n_chars + {size}) // {2 * size}) // 10 || '.' || ((20 * n_chars + {size}) // {2 * size}) % 10 || ' {unit}'" for size, unit in ((10**9, "GB"), (10**6, "MB"), (10**3, "kB")))

@@ -105,8 +105,13 @@ def test_histogram_and_bounds(spark):
 def test_envelope(spark):
     cube = spark.createDataFrame([(float(x), float(y), float(z)) for x in (-1, 1) for y in (-1, 1) for z in (-1, 1)], "x double, y double, z double")
     s = [r.support for r in stats.support(cube).orderBy("direction").collect()]
-    vertices, faces = stats.envelope(s)
-    assert len(s) == 26 and 1 < max(v[0] for v in vertices) < 1.01 and len(faces) >= 6
+    vertices, triangles, edges = stats.envelope(s)
+    assert len(s) == 26 and 1 < max(v[0] for v in vertices) < 1.01
+    for a, b, c in triangles:  # all face outwards
+        p, q, o = (np.array(vertices[i]) for i in (a, b, c))
+        assert np.cross(q - p, o - p) @ (p + q + o) > 0
+    far = [x + 1000 * d[0] for x, d in zip(s, stats.DIRECTIONS)]
+    assert max(abs(max(v[0] for v in stats.envelope(far)[0]) - 1000 - max(v[0] for v in vertices)), 0) < 1e-9  # padding does not grow with the distance from the origin
 
 
 def test_health(spark):
@@ -144,5 +149,21 @@ def test_fits_recover_a_motion(spark):
 
 def test_dense_ids(spark):
     rows = spark.range(1000).select((F.col("id") * 37 % 1000).alias("code"))
-    got = layout.dense_ids(rows, ["code"], F.floor(F.col("code") / 64)).collect()
+    got = layout.dense_ids(rows, ["code"]).collect()
     assert all(r.code == r.dense_id for r in got)
+
+
+def test_ranks_of_skewed_values(spark):
+    """One value in half the rows and one far outlier: ranks stay right and no range holds the rest."""
+    rows = spark.range(4000).select(F.when(F.col("id") == 7, 1e300).when(F.col("id") % 2 == 0, 5.0).otherwise(F.col("id").cast("double")).alias("x"), "id")
+    values = sorted([1e300 if i == 7 else 5.0 if i % 2 == 0 else float(i) for i in range(4000)])
+    got = {r.p: r.value for r in stats.nearest_rank(rows, "x", (0.0, 0.25, 0.5, 0.75, 1.0)).collect()}
+    assert got == {p: values[int(p * 3999 + 0.5)] for p in got} and len(got) == 5
+    assert stats.quantiles(rows, "x", [0.1, 0.7]) == pytest.approx(np.quantile(values, [0.1, 0.7]).tolist())
+    assert stats.quantiles(rows.where("false"), "x", [0.5]) is None
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else ranges this small become one
+    parts = layout.by_ranges(rows, ["x", "id"]).groupBy("_part").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(r["count"] for r in parts) < 4000 * 0.6
+    tiers = layout.tiers(rows.withColumnRenamed("id", "t"), "x", "t", (0.1, 0.5)).groupBy("tier").count().collect()
+    assert {r.tier: r["count"] for r in tiers} == {0: 400, 1: 1600, 2: 2000}
