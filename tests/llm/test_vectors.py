@@ -159,6 +159,24 @@ def test_topk_against_brute_force(spark, sizes):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
+def test_topk_prunes_clusters_and_stays_exact(spark):
+    """Far clusters of different sizes: shards and nodes that can't hold a better score are left out."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 24)) * 10
+    x = np.concatenate([c + rng.normal(size=(n, 24)) * 0.05 for c, n in zip(centres, rng.integers(20, 120, 30))]).astype(np.float32)
+    rows = table(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)])
+    asks = F.col("vec_id") % 10 == 0
+    got = topk_search.top_k(rows, asks, shard_rows=100, block_rows=50).collect()
+    whole = np.floor(x.astype(float) * 1024).astype(np.int64)
+    for q in range(0, len(x), 10):
+        score = whole @ whole[q]
+        best = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:10]
+        assert [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == [(-s, i) for s, i in best]
+    cost = topk_search.search_cost(rows, asks, shard_rows=100, block_rows=50).first()
+    pairs = len(x) * len(range(0, len(x), 10))
+    assert cost.met < 0.5 * pairs and cost.compared < 0.3 * pairs
+
+
 def test_topk_few_rows(spark):
     got = topk_search.top_k(table(spark, [(0, [1.0], 0), (1, [1.0], 0), (2, [1.0], 0)]), F.col("vec_id") % 100 == 0).collect()
     assert [tuple(r) for r in sorted(got)] == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024)]
