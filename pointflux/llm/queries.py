@@ -46,7 +46,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_dedup.dedup_vectors(_read(spark, sf_dir, "embeddings"))
+    return vector_dedup.dedup_vectors(_read(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

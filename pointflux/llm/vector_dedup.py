@@ -10,7 +10,6 @@ force. Cosines are verified in double precision.
 
 from __future__ import annotations
 
-import heapq
 import math
 import pickle
 from collections.abc import Iterator
@@ -25,7 +24,10 @@ from .common import components, stage
 #: Vectors in a shard, about.
 SHARD_ROWS = 16_384
 LINKS = 12
-BEAM = 48
+#: Candidates for a node's links, the narrowest beam of a search, rows linked and queries answered at a time.
+BUILD, BEAM, BLOCK, QUERIES = 48, 12, 512, 256
+#: The widest beam that is still cheaper than comparing a query with a whole shard.
+WIDE = 96
 AUDITS = 48
 RECALL = 0.98
 #: The graphs work in single precision.
@@ -33,100 +35,126 @@ SLACK = 1e-5
 
 
 class SmallWorld:
-    """A hierarchical navigable small-world graph over unit vectors."""
+    """A hierarchical navigable small-world graph over unit vectors.
 
-    def __init__(self, unit: np.ndarray, m: int = LINKS, beam: int = BEAM, seed: int = 11) -> None:
-        self.x, self.m = unit, m
+    Nodes are inserted in order and link to neighbours among those before them, on
+    every layer up to their own; candidates are found exactly, block by block, not
+    by a search of the graph so far. Searches run for many queries at once.
+    """
+
+    def __init__(self, unit: np.ndarray, m: int = LINKS, build: int = BUILD, seed: int = 11) -> None:
+        self.x = unit
         rng = np.random.default_rng(seed)
-        self.top = np.minimum((-np.log(rng.random(len(unit)) + 1e-300) / math.log(m)).astype(int), 12)
-        self.layers: list[dict[int, list[int]]] = []
-        self.entry = -1
-        for i in range(len(unit)):
-            self._insert(i, beam)
-
-    def _insert(self, i: int, beam: int) -> None:
-        q, top = self.x[i], int(self.top[i])
-        entry, high = self.entry, len(self.layers) - 1
-        while len(self.layers) <= top:
-            self.layers.append({})
-        if entry >= 0:
-            near = [entry]
-            for layer in range(high, top, -1):
-                near = [self._beam(q, near, 1, layer)[0][1]]
-            for layer in range(min(top, high), -1, -1):
-                found = self._beam(q, near, beam, layer)
-                graph = self.layers[layer]
-                graph[i] = self._pick(found, self.m)
-                cap = 2 * self.m if layer == 0 else self.m
-                for j in graph[i]:
-                    graph[j].append(i)
-                    if len(graph[j]) > cap:
-                        s = self.x[graph[j]] @ self.x[j]
-                        graph[j] = self._pick(sorted(zip(s.tolist(), graph[j]), reverse=True), cap)
-                near = [n for _, n in found]
-        for layer in range(high + 1 if entry >= 0 else 0, top + 1):
-            self.layers[layer][i] = []
-        if top > high or entry < 0:
-            self.entry = i
-
-    def _pick(self, found: list[tuple[float, int]], m: int) -> list[int]:
-        """Neighbours that are closer to the node than to one another, then the closest of the rest."""
-        kept: list[int] = []
-        ids = [n for _, n in found]
-        if len(ids) <= m:
-            return ids
-        between = self.x[ids] @ self.x[ids].T
-        at: list[int] = []
-        for k, (s, _) in enumerate(found):
-            if not at or between[k, at].max() < s:
-                at.append(k)
-                if len(at) == m:
-                    break
-        kept = [ids[k] for k in at]
-        chosen = set(at)
-        kept += [ids[k] for k in range(len(ids)) if k not in chosen][: m - len(kept)]
-        return kept
-
-    def _beam(self, q: np.ndarray, near: list[int], beam: int, layer: int) -> list[tuple[float, int]]:
-        """The ``beam`` most similar nodes found from ``near``, best first."""
-        graph, x = self.layers[layer], self.x
-        seen = set(near)
-        start = (x[near] @ q).tolist()
-        todo = [(-s, n) for s, n in zip(start, near)]
-        heapq.heapify(todo)
-        best = list(zip(start, near))
-        heapq.heapify(best)
-        while len(best) > beam:
-            heapq.heappop(best)
-        while todo:
-            s, node = heapq.heappop(todo)
-            if -s < best[0][0] and len(best) >= beam:
+        top = np.minimum((-np.log(rng.random(len(unit)) + 1e-300) / math.log(m)).astype(int), 12)
+        layers = int(top.max()) + 1 if len(unit) else 0
+        #: Neighbours of each node on each layer, -1 where there is none.
+        self.layers = [self._link(np.flatnonzero(top >= n), m, 2 * m if n == 0 else m, build) for n in range(layers)]
+        self.entry = int(top.argmax()) if len(unit) else -1
+
+    def _link(self, members: np.ndarray, m: int, cap: int, build: int) -> np.ndarray:
+        x = self.x[members]
+        graph: list[list[int]] = [[] for _ in members]
+
+        def cut(j: int) -> list[int]:
+            near = np.array(graph[j])
+            s = x[near] @ x[j]
+            order = np.argsort(-s, kind="stable")
+            return self._pick(x, near[order], s[order], cap)
+
+        for a in range(0, len(members), BLOCK):
+            b = min(a + BLOCK, len(members))
+            s = x[a:b] @ x[:b].T
+            s[:, a:][np.triu_indices(b - a)] = -2.0  # nodes before only
+            most = min(build, b)
+            near = np.argpartition(-s, most - 1, axis=1)[:, :most]
+            s = np.take_along_axis(s, near, 1)
+            order = np.argsort(-s, axis=1, kind="stable")
+            near, s = np.take_along_axis(near, order, 1), np.take_along_axis(s, order, 1)
+            for r in range(b - a):
+                n = min(a + r, most)
+                graph[a + r] = self._pick(x, near[r, :n], s[r, :n], m)
+                for j in graph[a + r]:
+                    graph[j].append(a + r)
+                    if len(graph[j]) > 2 * cap:
+                        graph[j] = cut(j)
+        out = np.full((len(self.x), cap), -1, np.int32)
+        for j in range(len(members)):
+            own = cut(j) if len(graph[j]) > cap else graph[j]
+            out[members[j], : len(own)] = members[own]
+        return out
+
+    @staticmethod
+    def _pick(x: np.ndarray, near: np.ndarray, s: np.ndarray, m: int) -> list[int]:
+        """Of candidates, best first, those closer to the node than to one another, then the closest of the rest."""
+        if len(near) <= m:
+            return near.tolist()
+        between = x[near] @ x[near].T
+        closest, at = between[0].copy(), [0]
+        while len(at) < m:
+            free = closest[at[-1] + 1 :] < s[at[-1] + 1 :]
+            if not free.any():
                 break
-            fresh = [n for n in graph[node] if n not in seen]
-            if not fresh:
-                continue
-            seen.update(fresh)
-            for s, n in zip((x[fresh] @ q).tolist(), fresh):
-                if len(best) < beam:
-                    heapq.heappush(best, (s, n))
-                    heapq.heappush(todo, (-s, n))
-                elif s > best[0][0]:
-                    heapq.heapreplace(best, (s, n))
-                    heapq.heappush(todo, (-s, n))
-        return sorted(best, reverse=True)
-
-    def near(self, q: np.ndarray, least: float, beam: int) -> list[int]:
-        """Nodes with similarity ``least`` or more; the beam widens while it holds nothing else."""
-        if self.entry < 0:
-            return []
-        start = [self.entry]
-        for layer in range(len(self.layers) - 1, 0, -1):
-            start = [self._beam(q, start, 1, layer)[0][1]]
+            at.append(at[-1] + 1 + int(free.argmax()))
+            np.maximum(closest, between[at[-1]], out=closest)
+        chosen = set(at)
+        at += [k for k in range(len(near)) if k not in chosen][: m - len(at)]
+        return near[at].tolist()
+
+    def _beams(self, q: np.ndarray, start: np.ndarray, beam: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
+        """Similarities and numbers of the ``beam`` best nodes that each query finds from its start, in no order; -2 and -1 where there are fewer."""
+        graph, x, n = self.layers[layer], self.x, len(q)
+        every = np.arange(n)[:, None]
+        seen = np.zeros((n, len(x)), bool)
+        best = np.full((n, beam), -1, np.int32)
+        score = np.full((n, beam), -2.0, np.float32)
+        todo = np.zeros((n, beam), bool)
+        best[:, 0], score[:, 0], todo[:, 0] = start, np.einsum("qd,qd->q", x[start], q), True
+        seen[every[:, 0], start] = True
+        rows = every[:, 0]
         while True:
-            found = self._beam(q, start, beam, 0)
-            if len(found) < beam or found[-1][0] < least:
-                return [n for s, n in found if s >= least]
-            beam *= 2
+            open_ = np.where(todo[rows], score[rows], -3.0)
+            at = open_.argmax(1)
+            live = open_[np.arange(len(rows)), at] > -3.0
+            rows, at = rows[live], at[live]
+            if not len(rows):
+                return score, best
+            todo[rows, at] = False
+            near = graph[best[rows, at]]
+            fresh = (near >= 0) & ~seen[rows[:, None], near]
+            seen[rows[:, None], np.where(near >= 0, near, best[rows, at][:, None])] = True
+            s = np.where(fresh, np.einsum("qkd,qd->qk", x[near], q[rows]), -2.0).astype(np.float32)
+            both, ids = np.concatenate([score[rows], s], 1), np.concatenate([best[rows], np.where(fresh, near, -1)], 1)
+            flags = np.concatenate([todo[rows], fresh], 1)
+            keep = np.argpartition(-both, beam - 1, axis=1)[:, :beam]
+            score[rows], best[rows], todo[rows] = (np.take_along_axis(v, keep, 1) for v in (both, ids, flags))
+
+    def near(self, q: np.ndarray, least: float, beam: int) -> list[np.ndarray]:
+        """For each query the nodes with similarity ``least`` or more; a beam widens while it holds nothing else.
+
+        A query that fills a beam of WIDE has so many links that comparing it with
+        every node costs less than a wider beam; that finds them all.
+        """
+        if self.entry < 0:
+            return [np.zeros(0, np.int64)] * len(q)
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+        for a in range(0, len(q), QUERIES):
+            rows = np.arange(a, min(a + QUERIES, len(q)))
+            start = np.full(len(rows), self.entry)
+            for layer in range(len(self.layers) - 1, 0, -1):
+                start = self._beams(q[rows], start, 1, layer)[1][:, 0]
+            wide = beam
+            while len(rows):
+                score, best = self._beams(q[rows], start, min(wide, len(self.x)), 0)
+                good = score >= least
+                for r, ids, g in zip(rows.tolist(), best, good, strict=True):
+                    out[r] = ids[g].astype(np.int64)
+                more = good.all(1) & (wide < len(self.x))
+                rows, start, wide = rows[more], start[more], wide * 2
+                if wide > max(WIDE, beam):
+                    for r, hit in zip(rows.tolist(), q[rows] @ self.x.T >= least, strict=True):
+                        out[r] = np.flatnonzero(hit)
+                    break
+        return out
 
 
 def valid(vector: Column) -> Column:
@@ -188,10 +216,13 @@ class Shard:
         self.graph = SmallWorld(self.unit)
 
 
-def _graph_links(queries: Shard, index: Shard, i: int, least: float, beam: int) -> np.ndarray:
-    """What the graph of ``index`` finds for one query, verified in double precision."""
-    near = np.array(index.graph.near(queries.unit[i], least - SLACK, beam), int)
-    return near[((index.x[near] @ queries.x[i]) / (index.norms[near] * queries.norms[i]) >= least) & (index.ids[near] != queries.ids[i])]
+def _graph_links(queries: Shard, index: Shard, rows: np.ndarray, least: float, beam: int) -> Iterator[tuple[int, np.ndarray]]:
+    """What the graph of ``index`` finds for some queries, verified in double precision."""
+    for a in range(0, len(rows), QUERIES):
+        part = rows[a : a + QUERIES]
+        for i, near in zip(part.tolist(), index.graph.near(queries.unit[part], least - SLACK, beam), strict=True):
+            near = np.sort(near)
+            yield i, near[((index.x[near] @ queries.x[i]) / (index.norms[near] * queries.norms[i]) >= least) & (index.ids[near] != queries.ids[i])]
 
 
 def _all_links(queries: Shard, index: Shard, rows: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
@@ -204,25 +235,20 @@ def _all_links(queries: Shard, index: Shard, rows: np.ndarray, least: float) ->
             yield i, np.nonzero(hit)[0]
 
 
-def _audited_beam(queries: Shard, index: Shard, audits: list[tuple[int, np.ndarray]], least: float) -> int | None:
-    """The smallest doubling of BEAM at which audited queries find RECALL of their links, of all and on average; None: no beam does."""
-    spare = [(1 - RECALL) * sum(len(t) for _, t in audits), (1 - RECALL) * len(audits)]
+def _audited_beam(queries: Shard, index: Shard, audits: list[tuple[int, np.ndarray]], least: float) -> tuple[int | None, int]:
+    """The smallest doubling of BEAM at which audited queries find RECALL of their links, of all and on average, and what they find then; no beam: none does."""
+    rows, whole = np.array([i for i, _ in audits], int), sum(len(t) for _, t in audits)
     beam = BEAM
-    while beam < len(index.ids):
-        missed = [0, 0.0]
-        for i, t in audits:
-            n = len(t) - len(np.intersect1d(t, _graph_links(queries, index, i, least, beam), assume_unique=True))
-            missed = [missed[0] + n, missed[1] + n / len(t)]
-            if missed[0] > spare[0] or missed[1] > spare[1]:
-                break
-        else:
-            return beam
+    while beam < 2 * len(index.ids):
+        hits = [len(np.intersect1d(t, near, assume_unique=True)) for (_, t), (_, near) in zip(audits, _graph_links(queries, index, rows, least, beam), strict=True)]
+        if sum(hits) >= RECALL * whole and sum(h / len(t) for h, (_, t) in zip(hits, audits, strict=True)) >= RECALL * len(audits):
+            return beam, sum(hits)
         beam *= 2
-    return None
+    return None, whole
 
 
-def _search(queries: Shard, index: Shard, pairs: Pairs, least: float, turned: bool = False) -> bool:
-    """Enter links of ``queries`` with ``index`` into ``pairs``; whether these are all, by brute force.
+def _search(queries: Shard, index: Shard, pairs: Pairs, least: float, turned: bool = False) -> tuple[bool, int, int]:
+    """Enter links of ``queries`` with ``index`` into ``pairs``; whether these are all, by brute force, and audited links, in all and found.
 
     Queries are drawn and compared with all of ``index`` until AUDITS of them
     have links other than with themselves. If the graph finds those, it answers
@@ -236,24 +262,26 @@ def _search(queries: Shard, index: Shard, pairs: Pairs, least: float, turned: bo
         drawn += AUDITS
     for i, t in audits:
         pairs.add(i, t, turned)
-    rest = order[drawn:]
-    beam = _audited_beam(queries, index, audits, least) if len(rest) else None
-    found = _all_links(queries, index, rest, least) if beam is None else ((i, _graph_links(queries, index, i, least, beam)) for i in rest.tolist())
+    rest, truth = order[drawn:], sum(len(t) for _, t in audits)
+    beam, hits = _audited_beam(queries, index, audits, least) if len(rest) else (None, truth)
+    found = _all_links(queries, index, rest, least) if beam is None else _graph_links(queries, index, rest, least, beam)
     for i, near in found:
         if len(near):
             pairs.add(i, near, turned)
-    return beam is None
+    return beam is None, truth, hits
 
 
-def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[tuple[int, int]]]:
-    """Linked copies by vector, and a spanning forest, of the links between two shards or within one.
+def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[tuple[int, int]], tuple[int, int]]:
+    """Linked copies by vector, a spanning forest of the links between two shards or within one, and audited links, in all and found.
 
     Each searches the other's graph; a link that one end's search found counts once for both ends.
     """
     same = a is b
     pairs = Pairs(len(a.ids), len(b.ids), same)
-    if not _search(a, b, pairs, least) and not same:
-        _search(b, a, pairs, least, turned=True)
+    whole, truth, hits = _search(a, b, pairs, least)
+    if not whole and not same:
+        _, t, h = _search(b, a, pairs, least, turned=True)
+        truth, hits = truth + t, hits + h
     rows, cols = np.zeros(len(a.ids), np.int64), np.zeros(len(b.ids), np.int64)
 
     def edges() -> Iterator[tuple[int, np.ndarray]]:
@@ -266,15 +294,16 @@ def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[
     counts = {int(g): int(n) for g, n in zip(a.ids, rows) if n}
     if not same:
         counts |= {int(g): int(n) for g, n in zip(b.ids, cols) if n}
-    return counts, forest
+    return counts, forest, (truth, hits)
 
 
 def near_links(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """What links ``distinct(gid, label, dim, vector, copies)`` at cosine ``least`` or more, without listing pairs.
 
-    Rows ``(a, b, others)``: with ``b`` null, ``others`` copies are linked to vector
+    Rows ``(label, a, b, others, truth, hits)``: with ``b`` null, ``others`` copies are linked to vector
     ``a`` by what one task found; with both, an edge of a spanning forest of
-    the links that one task found. A task finds all pairs of its two shards, from
+    the links that one task found; with neither, the links of the queries it audited
+    and how many of those its graphs found. A task finds all pairs of its two shards, from
     both ends, but returns as many rows as it has vectors, so a group of near
     copies of any size stays linear in what is written and shuffled.
     """
@@ -296,18 +325,23 @@ def near_links(distinct: DataFrame, least: float, shard_rows: int = SHARD_ROWS)
     def search(met: pd.DataFrame) -> pd.DataFrame:
         shards = [pickle.loads(x) for x in met["graph"]]
         # A pair with a shard that got no vector has one row, though its shards differ.
-        counts, edges = shard_links(shards[0], shards[-1], least) if len(shards) == 2 or met["p"].iloc[0] == met["q"].iloc[0] else ({}, [])
+        none = ({}, [], (0, 0))
+        counts, edges, audit = shard_links(shards[0], shards[-1], least) if len(shards) == 2 or met["p"].iloc[0] == met["q"].iloc[0] else none
+        n, m = len(counts), len(edges)
         return pd.DataFrame({
-            "a": pd.array([*counts] + [a for a, _ in edges], "Int64"),
-            "b": pd.array([None] * len(counts) + [b for _, b in edges], "Int64"),
-            "others": pd.array([*counts.values()] + [None] * len(edges), "Int64"),
+            "label": [met["label"].iloc[0]] * (n + m + 1),
+            "a": pd.array([*counts, *(a for a, _ in edges), None], "Int64"),
+            "b": pd.array([None] * n + [b for _, b in edges] + [None], "Int64"),
+            "others": pd.array([*counts.values()] + [None] * (m + 1), "Int64"),
+            "truth": pd.array([None] * (n + m) + [audit[0]], "Int64"),
+            "hits": pd.array([None] * (n + m) + [audit[1]], "Int64"),
         })
 
-    return met.groupBy("label", "dim", "p", "q").applyInPandas(search, "a long, b long, others long")
+    return met.groupBy("label", "dim", "p", "q").applyInPandas(search, f"label {kinds['label']}, a long, b long, others long, truth long, hits long")
 
 
 def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors``.
+    """``(vec_id, n_links, component_id, kept, recall)`` for each row of ``vectors``.
 
     Rows link if their labels are equal and not null, their dimensions are equal
     and their cosine, in double precision, is ``least`` or more; the graphs find
@@ -316,8 +350,10 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id
     equal vectors link with one another and count each in ``n_links`` without
     being expanded into pairs; a link that either end's search found counts for
     both. ``component_id`` is the smallest vec_id reachable, ``kept`` whether it is the row's own; a null vec_id names no component and is
-    kept only where nothing linked to it has an id. Other columns are ignored;
-    an empty table gives no rows.
+    kept only where nothing linked to it has an id. ``recall`` is the share of the
+    audited queries' links that the graphs of the row's label found, by the beams
+    that were then used; null where no query had links or no vector could link.
+    Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("vector"), F.col(label).alias("label"))
     rows = rows.withColumn("ok", valid(F.col("vector")) & F.col("label").isNotNull())
@@ -327,11 +363,12 @@ def dedup_vectors(vectors: DataFrame, least: float = 0.98, vec_id: str = "vec_id
     distinct = stage(grouped.withColumn("gid", F.monotonically_increasing_id()).withColumn("dim", F.size("vector")), "vectors")
     found = stage(near_links(distinct.select("gid", "label", "dim", "vector", "copies"), least, shard_rows), "links")
     roots = components(found.where("b is not null").select("a", "b"))
-    direct = found.where("b is null").groupBy(F.col("a").alias("gid")).agg(F.sum("others").alias("others"))
+    direct = found.where("b is null and a is not null").groupBy(F.col("a").alias("gid")).agg(F.sum("others").alias("others"))
     rooted = distinct.select("gid", "first", "copies").join(roots.withColumnRenamed("v", "gid"), "gid", "left").withColumn("root", F.coalesce("root", "gid"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     facts = rooted.join(named, "root").join(direct, "gid", "left").select("gid", "component_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     facts = facts.join(distinct.select("gid", "label", "vector"), "gid").select("label", "vector", "n_links", "component_id")
-    linked = sound.join(facts, ["label", "vector"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    audits = found.where("truth > 0").groupBy("label").agg((F.sum("hits") / F.sum("truth")).alias("recall"))
+    linked = sound.join(facts, ["label", "vector"]).join(audits, "label", "left").select("vec_id", "n_links", "component_id", "recall")
+    alone = rows.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(None).cast("double").alias("recall"))
+    return linked.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), "recall")

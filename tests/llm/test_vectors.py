@@ -76,25 +76,39 @@ def real_links(a, b):
 
 def found_links(a, b):
     found = np.zeros((len(a.ids), len(b.ids)), bool)
-    for i in range(len(a.ids)):
-        found[i, b.graph.near(a.unit[i], 0.98 - 1e-5, vector_dedup.BEAM)] = True
+    for i, near in enumerate(b.graph.near(a.unit, 0.98 - 1e-5, vector_dedup.BEAM)):
+        found[i, near] = True
     return found & real_links(a, b)
 
 
+class OneWay:
+    """A graph that loses one link in about a hundred, another one from each end."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def near(self, q, least, beam):
+        s = q @ self.x.T
+        own = s.argmax(1)
+        return [np.nonzero((row >= least) & ((np.arange(len(self.x)) * 7 + o * 13) % 97 != 0))[0] for row, o in zip(s, own)]
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_links_count_for_both_ends(parts):
     x, ids, copies = near_copies(), np.arange(720), np.arange(720) % 3 + 1
     shards = [vector_dedup.Shard(ids[k::parts], copies[k::parts], x[k::parts]) for k in range(parts)]
+    for s in shards:
+        s.graph = OneWay(s.unit)
     a, b = shards[0], shards[-1]
     there, back = found_links(a, b), found_links(b, a).T
     assert parts == 2 or (there != back).any()
     least, most = (there | back), real_links(a, b)
-    counts, forest = vector_dedup.shard_links(a, b, 0.98)
+    counts, forest, audit = vector_dedup.shard_links(a, b, 0.98)
     for side, turn in ((a, np.asarray), (b, np.transpose)):
         other = b if side is a else a
         got = np.array([counts.get(g, 0) for g in side.ids.tolist()])
         assert (turn(least) @ other.copies <= got).all() and (got <= turn(most) @ other.copies).all()
-    assert len(forest) < 720
+    assert len(forest) < 720 and 0.98 * audit[0] <= audit[1] <= audit[0]
 
 
 def rare_links(n=900, pairs=61):
@@ -105,23 +119,27 @@ def rare_links(n=900, pairs=61):
 
 
 class Cut:
-    """A graph that reaches the even nodes only, whatever the beam."""
+    """A graph that never reaches one node in ``every``, whatever the beam."""
 
-    def __init__(self, x):
-        self.x = x
+    def __init__(self, x, every=2):
+        self.x, self.every = x, every
 
     def near(self, q, least, beam):
-        return [k for k in np.nonzero(self.x @ q >= least)[0].tolist() if k % 2 == 0]
+        hits = q @ self.x.T >= least
+        hits[:, 1 :: self.every] = False
+        return [np.nonzero(h)[0] for h in hits]
 
 
 @pytest.mark.parametrize("x", [rare_links(), near_copies()], ids=["rare", "groups"])
 @pytest.mark.parametrize("parts", [1, 2])
-def test_links_of_a_cut_graph(x, parts):
+@pytest.mark.parametrize("every", [2, 5])
+def test_links_of_a_cut_graph(x, parts, every):
+    """A link in two or in five lost: the audit fails, and brute force finds all."""
     shards = [vector_dedup.Shard(np.arange(len(x))[k::parts], np.ones(len(x), int)[k::parts], x[k::parts]) for k in range(parts)]
     for s in shards:
-        s.graph = Cut(s.unit)
+        s.graph = Cut(s.unit, every)
     a, b = shards[0], shards[-1]
-    counts, _ = vector_dedup.shard_links(a, b, 0.98)
+    counts, _, _ = vector_dedup.shard_links(a, b, 0.98)
     real = real_links(a, b)
     assert real.any()
     want = dict(zip(a.ids.tolist(), real.sum(1).tolist())) | dict(zip(b.ids.tolist(), real.sum(0).tolist()))
@@ -134,11 +152,32 @@ def test_audits_have_links_of_their_own():
     a = vector_dedup.Shard(np.arange(720), np.ones(720, int), x)
     audits = [(i, t) for i, t in vector_dedup._all_links(a, a, np.arange(0, 720, 15), 0.98)]
     assert all(i not in t and len(t) for i, t in audits)
-    beam = vector_dedup._audited_beam(a, a, audits, 0.98)
-    found = sum(len(set(t.tolist()) & set(vector_dedup._graph_links(a, a, i, 0.98, beam).tolist())) for i, t in audits)
-    assert found >= vector_dedup.RECALL * sum(len(t) for _, t in audits)
+    beam, hits = vector_dedup._audited_beam(a, a, audits, 0.98)
+    near = dict(vector_dedup._graph_links(a, a, np.array([i for i, _ in audits]), 0.98, beam))
+    found = sum(len(set(t.tolist()) & set(near[i].tolist())) for i, t in audits)
+    assert found == hits and found >= vector_dedup.RECALL * sum(len(t) for _, t in audits)
     a.graph = Cut(a.unit)
-    assert vector_dedup._audited_beam(a, a, audits, 0.98) is None
+    assert vector_dedup._audited_beam(a, a, audits, 0.98)[0] is None
+
+
+def test_graph_finds_neighbours_and_isolated_groups():
+    """Graph searches against brute force, on scattered vectors, on groups of copies and on graphs of one or two nodes."""
+    rng = np.random.default_rng(12)
+    for x in (rng.normal(size=(1500, 16)), np.repeat(rng.normal(size=(40, 16)), 30, 0) + rng.normal(size=(1200, 16)) * 0.05, rng.normal(size=(1, 16)), rng.normal(size=(2, 16))):
+        unit = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
+        graph = vector_dedup.SmallWorld(unit)
+        assert graph.layers[0].shape == (len(x), 24) and all((g < len(x)).all() for g in graph.layers)
+        s = unit @ unit.T
+        least = np.sort(s, axis=1)[:, -min(8, len(x))].mean()
+        got = graph.near(unit, least, 48)
+        hit = sum(np.isin(np.nonzero(s[i] >= least)[0], got[i]).sum() for i in range(len(x)))
+        assert hit >= 0.95 * (s >= least).sum() and all((s[i][g] >= least - 1e-5).all() for i, g in enumerate(got))
+
+
+def test_recall_is_reported(spark):
+    rows = clouds()
+    got = vector_dedup.dedup_vectors(table(spark, rows + ODD[:2]), shard_rows=60).collect()
+    assert all(r.recall is None if r.vec_id > 9000 else 0.98 <= r.recall <= 1 for r in got)
 
 
 def test_dedup_empty(spark):
