@@ -164,25 +164,17 @@ def valid(vector: Column) -> Column:
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & sound & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _forest(edges: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+def _forest(edges: Iterator[tuple[int, np.ndarray]], nodes: np.ndarray) -> list[tuple[int, int]]:
     """Of edges from a node to several others those that join something: one fewer than the nodes of each component."""
-    root: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        top = v
-        while root.setdefault(top, top) != top:
-            top = root[top]
-        while root[v] != top:
-            root[v], v = top, root[v]
-        return top
-
-    kept = []
+    nodes = np.unique(nodes)
+    part, kept = np.arange(len(nodes)), []
     for v, others in edges:
-        for o in others.tolist():
-            x, y = find(v), find(o)
-            if x != y:
-                root[max(x, y)] = min(x, y)
-                kept.append((min(v, o), max(v, o)))
+        own, there = part[np.searchsorted(nodes, v)], part[np.searchsorted(nodes, others)]
+        joins = there != own
+        if joins.any():
+            new, first = np.unique(there[joins], return_index=True)
+            kept += [(min(v, o), max(v, o)) for o in others[joins][first].tolist()]
+            part[np.isin(part, new)] = own
     return kept
 
 
@@ -290,7 +282,7 @@ def shard_links(a: Shard, b: Shard, least: float) -> tuple[dict[int, int], list[
             cols[near] += a.copies[i]
             yield int(a.ids[i]), b.ids[near]
 
-    forest = _forest(edges())
+    forest = _forest(edges(), np.concatenate([a.ids, b.ids]))
     counts = {int(g): int(n) for g, n in zip(a.ids, rows) if n}
     if not same:
         counts |= {int(g): int(n) for g, n in zip(b.ids, cols) if n}
