@@ -199,7 +199,20 @@ def line_triangles(spark, sf):  # noqa: ANN001, ANN201
     return lines.select(*corners).distinct().select(F.concat_ws("/", "a", "b", "c").alias("t"), "a", "b", "c")
 
 
-@query("F817_large_components")
+def _large_rounds() -> str:
+    """SQL of the filter: the smallest corner's label spreads over triangles."""
+    start = f"WITH {CORNERS}, m0 AS MATERIALIZED (SELECT a, b, c, a AS root FROM x)"
+    steps = []
+    for i in range(SPREAD):
+        steps.append(f"v{i} AS MATERIALIZED (SELECT v, min(root) AS root FROM (SELECT unnest([a, b, c]) AS v, least(root, a, b, c) AS root FROM m{i}) GROUP BY 1), m{i + 1} AS MATERIALIZED (SELECT m.a, m.b, m.c, least(p.root, q.root, o.root) AS root FROM m{i} m JOIN v{i} p ON p.v = m.a JOIN v{i} q ON q.v = m.b JOIN v{i} o ON o.v = m.c)")
+    last = f"n AS (SELECT root, count(*) AS n FROM m{SPREAD} GROUP BY 1) SELECT concat_ws('/', a, b, c) AS t, a, b, c, root, n FROM m{SPREAD} JOIN n USING (root) WHERE n >= greatest(24, floor((SELECT max(n) FROM n) * 0.0015))"
+    return ", ".join([start, *steps, last])
+
+
+CORNERS = "x AS (SELECT DISTINCT 3 * l_orderkey AS a, 3 * l_partkey + 1 AS b, 3 * l_suppkey + 2 AS c FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL)"
+
+
+@query("F817_large_components", _large_rounds())
 def f817_large(spark, sf):  # noqa: ANN001, ANN201
     return M.large_components(line_triangles(spark, sf))
 
@@ -253,9 +266,6 @@ def f819(spark, sf):  # noqa: ANN001, ANN201
     return M.smooth(vert, tri, 400.0, rounds=2).select("v", *[(F.round(a, 3) + 0.0).alias(a) for a in "xyz"])
 
 
-CORNERS = "x AS (SELECT DISTINCT 3 * l_orderkey AS a, 3 * l_partkey + 1 AS b, 3 * l_suppkey + 2 AS c FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL AND l_suppkey IS NOT NULL)"
-
-
 @query("F820_border_edges", f"WITH {CORNERS}, e AS (SELECT least(a, b) AS u, greatest(a, b) AS v FROM x UNION ALL SELECT least(b, c), greatest(b, c) FROM x UNION ALL SELECT least(c, a), greatest(c, a) FROM x) SELECT u, v FROM e GROUP BY 1, 2 HAVING count(*) = 1")
 def f820(spark, sf):  # noqa: ANN001, ANN201
     return M.border_edges(line_triangles(spark, sf))
