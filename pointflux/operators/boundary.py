@@ -121,15 +121,9 @@ def rank_in(partition: Sequence[str], order: Sequence[Column | str]) -> Column:
     return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))
 
 
-def brick_overlaps(points: DataFrame, brick: float, sigmas: float = 3.5) -> DataFrame:
-    """``(stable_id, bx, by, bz)``: the bricks that a rotated ellipsoid of so many sigmas may touch.
-
-    ``points(stable_id, x, y, z, s0, s1, s2, qw, qx, qy, qz)``. Bricks of the
-    ellipsoid's bounding box are kept if their box, seen from the ellipsoid's own
-    axes in sigmas, comes within ``sigmas`` of its centre; none that it touches is lost.
-    """
-    q = Q.normalize(Q.quat(*[F.col(c) for c in ("qw", "qx", "qy", "qz")]))
-    rows = points.withColumn("_q", q)
+def ellipsoids(points: DataFrame, sigmas: float, *keep: str) -> DataFrame:
+    """Rotated ellipsoids ``(stable_id, x, y, z, s0..s2, qw..qz)`` with their rotation ``r00..r22`` and half extents ``hx, hy, hz`` at so many sigmas."""
+    rows = points.withColumn("_q", Q.normalize(Q.quat(*[F.col(c) for c in ("qw", "qx", "qy", "qz")])))
     w, x, y, z = (F.col(f"_q.{c}") for c in "wxyz")
     turn = [
         [1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w)],
@@ -137,13 +131,22 @@ def brick_overlaps(points: DataFrame, brick: float, sigmas: float = 3.5) -> Data
         [2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)],
     ]
     size = [F.greatest(F.col(f"s{i}").cast("double"), F.lit(1e-7)) for i in range(3)]
-    rows = rows.select("stable_id", "x", "y", "z", *[size[i].alias(f"s{i}") for i in range(3)], *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)])
+    rows = rows.select("stable_id", "x", "y", "z", *keep, *[size[i].alias(f"s{i}") for i in range(3)], *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)])
     reach = [sigmas * F.sqrt(sum(((F.col(f"r{i}{j}") * F.col(f"s{j}")) ** 2 for j in (1, 2)), (F.col(f"r{i}0") * F.col("s0")) ** 2)) for i in range(3)]
-    edge = lambda a, i, sign: F.floor((F.col(a) + sign * reach[i]) / brick)
-    for i, a in enumerate("xyz"):
-        rows = rows.withColumn(f"_{a}", F.sequence(edge(a, i, -1), edge(a, i, 1)))
+    return rows.withColumns({f"h{a}": reach[i] for i, a in enumerate("xyz")})
+
+
+def brick_overlaps(points: DataFrame, brick: float, sigmas: float = 3.5) -> DataFrame:
+    """``(stable_id, bx, by, bz)``: the bricks that a rotated ellipsoid of so many sigmas may touch.
+
+    ``points(stable_id, x, y, z, s0, s1, s2, qw, qx, qy, qz)``. Bricks of the
+    ellipsoid's bounding box are kept if their box, seen from the ellipsoid's own
+    axes in sigmas, comes within ``sigmas`` of its centre; none that it touches is lost.
+    """
+    rows = ellipsoids(points, sigmas)
+    edge = lambda a, sign: F.floor((F.col(a) + sign * F.col(f"h{a}")) / brick)
     for a in "xyz":
-        rows = rows.withColumn(f"b{a}", F.explode(f"_{a}")).drop(f"_{a}")
+        rows = rows.withColumn(f"b{a}", F.explode(F.sequence(edge(a, -1), edge(a, 1))))
     delta = [(F.col(f"b{a}") + 0.5) * brick - F.col(a) for a in "xyz"]
     outside = []
     for j in range(3):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits as B
 from ..operators import codebooks as C
+from ..operators import field as V
 from ..operators import fits as Z
 from ..operators import mesh as M
 from ..operators import residual as R
@@ -337,3 +338,40 @@ def f808(spark, sf):  # noqa: ANN001, ANN201
 def f828(spark, sf):  # noqa: ANN001, ANN201
     rows = vectors(spark, sf).select("vec_id", F.slice("e", 1, 15).alias("curve"), F.abs(F.get("e", F.lit(20))).alias("importance"))
     return R.curve_bank(rows, "curve", "importance", ["vec_id"], clusters=64).select("vec_id", "labels", "error")
+
+
+NORM = "sqrt(e[4]**2 + e[5]**2 + e[6]**2 + e[7]**2)"
+BLOBS = f"""MORE g AS (SELECT vec_id AS stable_id, e[1] * 40 AS x, e[2] * 40 AS y, e[3] * 40 AS z, e[4] / {NORM} AS w, e[5] / {NORM} AS qx, e[6] / {NORM} AS qy, e[7] / {NORM} AS qz, 0.6 + abs(e[8]) AS s0, 0.6 + abs(e[9]) AS s1, 0.8 AS s2 FROM vectors),
+m AS (SELECT *, 1 - 2 * (qy*qy + qz*qz) AS r00, 2 * (qx*qy - qz*w) AS r01, 2 * (qx*qz + qy*w) AS r02, 2 * (qx*qy + qz*w) AS r10, 1 - 2 * (qx*qx + qz*qz) AS r11, 2 * (qy*qz - qx*w) AS r12, 2 * (qx*qz - qy*w) AS r20, 2 * (qy*qz + qx*w) AS r21, 1 - 2 * (qx*qx + qy*qy) AS r22 FROM g),
+o AS (SELECT i FROM range(-5, 6) t(i)), n AS (SELECT m.*, floor(x)::BIGINT + a.i AS ix, floor(y)::BIGINT + b.i AS iy, floor(z)::BIGINT + c.i AS iz FROM m, o a, o b, o c),
+d AS (SELECT *, ix + 0.5 - x AS dx, iy + 0.5 - y AS dy, iz + 0.5 - z AS dz FROM n),
+f AS (SELECT *, ((dx*r00 + dy*r10 + dz*r20) / s0)**2 + ((dx*r01 + dy*r11 + dz*r21) / s1)**2 + ((dx*r02 + dy*r12 + dz*r22) / s2)**2 AS far FROM d),
+field AS MATERIALIZED (SELECT ix, iy, iz, sum(0.8 * exp(-far / 2)) AS density FROM f WHERE far <= 9 GROUP BY ALL)"""
+
+
+def _blobs(spark, sf):  # noqa: ANN001, ANN202
+    e = lambda i: F.get("e", F.lit(i))
+    at = {"x": e(0) * 40, "y": e(1) * 40, "z": e(2) * 40, "qw": e(3), "qx": e(4), "qy": e(5), "qz": e(6), "s0": 0.6 + F.abs(e(7)), "s1": 0.6 + F.abs(e(8)), "s2": F.lit(0.8), "alpha": F.lit(0.8)}
+    return vectors(spark, sf).select(F.col("vec_id").alias("stable_id"), *[c.alias(n) for n, c in at.items()])
+
+
+@query("F822_opacity_field", BLOBS + " SELECT ix, iy, iz, round(density, 6)::DOUBLE AS density FROM field", "vectors")
+def f822(spark, sf):  # noqa: ANN001, ANN201
+    return V.splat(_blobs(spark, sf), 1.0).select("ix", "iy", "iz", r(F.col("density"), "density"))
+
+
+def _surface_sql(level: float) -> str:
+    corner = lambda k: f"coalesce(max(density) FILTER (k = {k}), 0) AS d{k}"
+    every = ", ".join(f"d{k}" for k in range(8))
+    cell = f"cell AS (SELECT ix - (k & 1) AS cx, iy - ((k >> 1) & 1) AS cy, iz - (k >> 2) AS cz, {', '.join(corner(k) for k in range(8))} FROM field, range(8) t(k) GROUP BY 1, 2, 3), live AS (SELECT * FROM cell WHERE greatest({every}) >= {level} AND least({every}) < {level})"
+    means = []
+    for a in range(3):
+        parts = [f"CASE WHEN (d{p} >= {level}) != (d{q} >= {level}) THEN {float(p >> a & 1) if (p >> a & 1) == (q >> a & 1) else f'({level} - d{p}) / (d{q} - d{p})'} END" for p, q in V.EDGES]
+        means.append(f"list_avg([{', '.join(parts)}])")
+    return BLOBS + f", {cell} SELECT " + ", ".join(f"round(c{n} + 0.5 + {m}, 5)::DOUBLE AS {n}" for n, m in zip("xyz", means)) + " FROM live"
+
+
+@query("F822_surface", _surface_sql(0.4), "vectors")
+def f822_surface(spark, sf):  # noqa: ANN001, ANN201
+    vertices, _ = V.surface(V.splat(_blobs(spark, sf), 1.0), 1.0, 0.4)
+    return vertices.select(*[(F.round(a, 5) + 0.0).alias(a) for a in "xyz"])

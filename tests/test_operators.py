@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pointflux import plans
 from pointflux.functions import quaternion as Q  # noqa: F401
-from pointflux.operators import images, mesh, residual, sampling, temporal
+from pointflux.operators import field, images, mesh, residual, sampling, temporal
 from pointflux.sinks import report
 from pointflux.sources import container
 
@@ -200,3 +200,19 @@ def test_manifest_of_nothing(spark):
     rows = spark.createDataFrame([("{}",), ("no json",), (None,), (json.dumps({"format": "4CGS"}),)], "m string")
     for r in rows.select("m", container.manifest_problems(F.col("m")).alias("p")).collect():
         assert "version" in r.p and "no scale" in r.p and ("format" in r.p) == (r.m is None or "4CGS" not in r.m)
+
+
+def test_surface_is_closed_and_faces_outwards(spark):
+    """One ball, two that touch, and one far away: every edge has two triangles, volume is positive, pieces have no holes."""
+    balls = [(0, 0.2, 0.1, 0.3), (1, 20.0, 0.0, 0.0), (2, 23.0, 0.0, 0.0)]
+    points = spark.createDataFrame([(i, x, y, z, 2.0, 2.0, 2.0, 1.0, 0.0, 0.0, 0.0, 1.0) for i, x, y, z in balls], "stable_id long, x double, y double, z double, s0 double, s1 double, s2 double, qw double, qx double, qy double, qz double, alpha double")
+    vertices, triangles = field.surface(field.splat(points, 0.5), 0.5, 0.5)
+    vertices, triangles = vertices.cache(), triangles.cache()
+    edges = mesh.triangle_edges(triangles).groupBy("u", "v").count().collect()
+    assert {r["count"] for r in edges} == {2}
+    assert vertices.count() - len(edges) + triangles.count() == 2 * 2  # two closed pieces
+    one = triangles.join(vertices.where("x < 10").select("v"), triangles.a == vertices.v).select("t", "a", "b", "c")
+    radius = 2.0 * (2 * np.log(2)) ** 0.5  # where exp(-d^2 / 2) is a half
+    volume = mesh.signed_volume(one, vertices).first().volume
+    assert abs(volume / (4 / 3 * np.pi * radius**3) - 1) < 0.05
+    assert {r.winner for r in vertices.where("x < 10").collect()} == {0} and {r.winner for r in vertices.where("x > 10").collect()} == {1, 2}
