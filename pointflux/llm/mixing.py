@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.layout import dense_ids
 from .common import stage, word_count
 
 WEIGHTS = (5, 2, 1)
@@ -96,14 +97,6 @@ def _sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     return docs.select(F.col(source).cast("string").alias("source"), word_count(body).alias("size"), order_key(F.col(doc_id), body).alias("u"))
 
 
-def numbered(rows: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """``rows`` numbered from 0 in a column ``name``: sorted by ranges, each range numbered alone from where those before it end."""
-    rows = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "numbered")
-    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))  # a row for each range
-    starts = sizes.select("_part", "_low", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_start")
-
-
 def with_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST) -> DataFrame:
     """``totals(source, source_size)`` with ``at``, the source's number by code point, null last, and ``target``.
 
@@ -111,7 +104,7 @@ def with_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, budget:
     that order; a target stops at ``most`` times its source's size and the excess
     is shared anew among the others by weight, until none is above.
     """
-    rows = stage(numbered(totals, [F.col("source").asc_nulls_last()], "at").withColumn("kind", (F.col("at") % len(weights)).cast("int")), "sources")
+    rows = stage(dense_ids(totals, [F.col("source").asc_nulls_last()], "at").withColumn("kind", (F.col("at") % len(weights)).cast("int")), "sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("kind") + 1)
     whole = rows.agg(F.sum("source_size")).first()[0] or 0
     capped, scale = -1, 0.0
