@@ -6,7 +6,7 @@ import hashlib
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -130,6 +130,15 @@ MANIFEST = (
 )
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row, however often ``use`` names it.
+
+    Spark writes a column out at each place that names it and, inside lambdas,
+    computes it at each; a lambda's argument is a value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def manifest_problems(manifest: Column) -> Column:
     """What is wrong with a JSON manifest, a sorted array of strings; empty: nothing.
 
@@ -137,10 +146,15 @@ def manifest_problems(manifest: Column) -> Column:
     once each, all streams that sampling needs, and scale either as one stream or
     as all of its three axes. A bundle of source files needs none of those streams.
     """
-    m = F.from_json(manifest, MANIFEST)
+    no_json = lambda text: F.from_json(text, "_corrupt_record string")["_corrupt_record"].isNotNull()
+    parsed = lambda text: F.from_json(F.when(~no_json(text), text), MANIFEST)  # noqa: E731 -- of a text that breaks off nothing counts
+    rules = lambda m: bound(F.transform(m["streams"], lambda s: s["name"]), lambda names: _problems(m, names))
+    return bound(manifest, lambda text: bound(parsed(text), rules))
+
+
+def _problems(m: Column, names: Column) -> Column:
     no = lambda ok: ~F.coalesce(ok, F.lit(False))
     rule = lambda ok, text: F.when(no(ok), F.lit(text))
-    names = F.transform(m["streams"], lambda s: s["name"])
     counted = lambda s: (s["gaussianCount"] > 0) & (s["totalFrames"] > 0)
     banked = lambda s: F.forall(F.array(*[s["bankCounts"][t] for t in TRACKS]), lambda n: F.coalesce(n > 0, F.lit(False)))
     timed = lambda s: F.coalesce(s["positionTiming"].isin("shared-keyframes", "per-point-lifetime-endpoints"), F.lit(True)) & F.coalesce(s["opacityTiming"].isin("lifetime-gated", "baked"), F.lit(True))

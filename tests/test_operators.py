@@ -202,6 +202,18 @@ def test_manifest_of_nothing(spark):
         assert "version" in r.p and "no scale" in r.p and ("format" in r.p) == (r.m is None or "4CGS" not in r.m)
 
 
+def test_manifest_is_parsed_once(spark):
+    """Once for whether it is JSON and once for its fields, not at each rule; a text that breaks off has no fields at all."""
+    good = {"format": "4CGS", "version": 2, "codecName": container.BUNDLE, "slotCount": 1, "uniqueFrameCount": 1, "streams": [{"name": "a", "compression": "raw", "rawBytes": 1, "storedBytes": 1, "rawSha256": "0" * 64, "storedSha256": "0" * 64}]}
+    rows = spark.createDataFrame([(0, json.dumps(good)), (1, json.dumps(good)[:-20]), (2, json.dumps(good | {"version": "two"}))], "i int, m string")
+    out = rows.select("i", container.manifest_problems(F.col("m")).alias("p"))
+    segments = ["segment counts", "segment frames", "segment timing", "segments"]
+    got = {r.i: r.p for r in out.collect()}
+    assert got[0] == segments and got[2] == [*segments, "version"] and {"format", "streams", "version"} < set(got[1])
+    for df in (out, plans.QUERIES["F720_json_manifest"](spark, SF)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
+
+
 def test_surface_is_closed_and_faces_outwards(spark):
     """One ball, two that touch, and one far away: every edge has two triangles, volume is positive, pieces have no holes."""
     balls = [(0, 0.2, 0.1, 0.3), (1, 20.0, 0.0, 0.0), (2, 23.0, 0.0, 0.0)]
