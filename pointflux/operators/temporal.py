@@ -199,11 +199,16 @@ def rice_modes(rows: DataFrame, value: str, block: str, k: str, ks: int = 21) ->
 
 
 def _far(t: np.ndarray, v: np.ndarray, i: int, j: int) -> float:
-    """The largest distance of the keys between i and j from the line through those."""
+    """The largest distance of the keys between i and j from the line through those.
+
+    Multiplied before it is divided, as in SQL: so a whole difference is rounded
+    once, and a distance of exactly a limit is not moved past it by a rounded share.
+    """
     if j <= i + 1:
         return 0.0
-    alpha = ((t[i + 1 : j] - t[i]) / (t[j] - t[i]))[:, None]
-    return float(np.linalg.norm(v[i] + (v[j] - v[i]) * alpha - v[i + 1 : j], axis=1).max())
+    mid = slice(i + 1, j)
+    off = v[i] + (v[j] - v[i]) * (t[mid] - t[i])[:, None] / (t[j] - t[i]) - v[mid]
+    return float(np.linalg.norm(off, axis=1).max())
 
 
 def fewest_knots(t: np.ndarray, v: np.ndarray, limit: float, hard: float | None = None) -> list[int]:
