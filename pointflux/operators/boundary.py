@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -157,12 +157,14 @@ def brick_overlaps(points: DataFrame, brick: float, sigmas: float = 3.5) -> Data
     return rows.where(near).select("stable_id", "bx", "by", "bz")
 
 
-def nearest_in_view(faces: DataFrame, bodies: DataFrame, axes: Sequence[str], limit: float, group: str) -> DataFrame:
+def nearest_in_view(faces: DataFrame, bodies: DataFrame, axes: Sequence[str], limit: float, group: str, rank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """``(face, body, distance)``: each face's nearest body of its group within ``limit``, the smaller id of equals.
 
     Space is cut into cells of the limit's width; a face meets the bodies of its own
     and the neighbouring cells of its group, so a group of any size forms no pairs
-    beyond those.
+    beyond those. ``rank(distance, body)``, where given, says which body within
+    ``limit`` comes first (the smaller id of equals); ``distance`` is the least one
+    whatever the rank.
     """
     cell = lambda a: F.floor(F.col(a) / limit)
     around = faces.select("face", group, *[F.col(a).alias(f"f{a}") for a in axes], *[cell(a).alias(f"c{a}") for a in axes])
@@ -170,6 +172,8 @@ def nearest_in_view(faces: DataFrame, bodies: DataFrame, axes: Sequence[str], li
         around = around.withColumn(f"c{a}", F.explode(F.array(*[F.col(f"c{a}") + d for d in (-1, 0, 1)])))
     placed = bodies.select("body", group, *axes, *[cell(a).alias(f"c{a}") for a in axes])
     met = around.join(placed, [group, *[f"c{a}" for a in axes]])
-    distance = F.sqrt(sum(((F.col(f"f{a}") - F.col(a)) ** 2 for a in axes[1:]), (F.col(f"f{axes[0]}") - F.col(axes[0])) ** 2))
-    best = met.withColumn("d", distance).where(F.col("d") <= limit).groupBy("face").agg(F.min(F.struct("d", "body")).alias("b"))
-    return best.select("face", F.col("b.body").alias("body"), F.col("b.d").alias("distance"))
+    off = [F.col(f"f{a}") - F.col(a) for a in axes]
+    distance = F.abs(off[0]) if len(off) == 1 else F.sqrt(sum((o**2 for o in off[1:]), off[0] ** 2))
+    first = (rank(F.col("d"), F.col("body")) if rank else F.col("d")).alias("rank")
+    best = met.withColumn("d", distance).where(F.col("d") <= limit).groupBy("face").agg(F.min(F.struct(first, "body")).alias("b"), F.min("d").alias("distance"))
+    return best.select("face", F.col("b.body").alias("body"), "distance")

@@ -34,3 +34,14 @@ def test_fewest_knots_at_the_limit(spark, tmp_path):
     }
     got = same_as_sql(spark, tmp_path, "F612_fewest_knots", lineitem=lines(tracks))
     assert (35953, 3, 2) in got
+
+
+def test_nearest_in_view_of_equals(spark, tmp_path):
+    """Two bodies as far on either side of a face, the smaller id above; and in the last view a far id that is nearer by a cent."""
+    at = {f: round(37.77 * f, 2) for f in range(40)}
+    customers = [{"c_custkey": f, "c_nationkey": f, "c_acctbal": x} for f, x in at.items()]
+    suppliers = [{"s_suppkey": 2 * f + i, "s_nationkey": f, "s_acctbal": round(x + side * (6.9 + f / 10), 2)} for f, x in at.items() for i, side in ((1, 1), (2, -1))]
+    customers.append({"c_custkey": 100, "c_nationkey": 100, "c_acctbal": 0.0})
+    suppliers += [{"s_suppkey": i, "s_nationkey": 100, "s_acctbal": x} for i, x in ((5, 1.02), (20005, 1.01))]
+    got = same_as_sql(spark, tmp_path, "F310_nearest_in_view", customer=customers, supplier=suppliers)
+    assert [r[:2] for r in got] == [*[(f, 2 * f + 1) for f in at], (100, 5)] and got[-1][2] == 1.01
