@@ -236,7 +236,7 @@ def fewest_knots(t: np.ndarray, v: np.ndarray, limit: float, hard: float | None
 
 
 def simplify(t: np.ndarray, v: np.ndarray, limit: float) -> list[int]:
-    """Keys kept by recursive splitting at the first largest error; a constant track keeps one."""
+    """Keys kept by recursive splitting at the first largest error, up to 1e-12 of rounding; a constant track keeps one."""
     if len(v) == 0 or np.abs(v - v[0]).max() <= limit and len(v) > 1:
         return [0][: len(v)]
     keep, todo = {0, len(v) - 1}, [(0, len(v) - 1)]
@@ -245,8 +245,9 @@ def simplify(t: np.ndarray, v: np.ndarray, limit: float) -> list[int]:
         if b - a > 1:
             mid = np.arange(a + 1, b)
             err = np.abs(v[a] + (v[b] - v[a]) * (t[mid] - t[a]) / (t[b] - t[a]) - v[mid])
-            if err.max() > limit:
-                m = int(mid[err.argmax()])
+            split = (err > limit) & (err >= err.max() - 1e-12)
+            if split.any():
+                m = int(mid[split.argmax()])
                 keep.add(m)
                 todo += [(a, m), (m, b)]
     return sorted(keep)

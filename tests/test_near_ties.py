@@ -45,3 +45,10 @@ def test_nearest_in_view_of_equals(spark, tmp_path):
     suppliers += [{"s_suppkey": i, "s_nationkey": 100, "s_acctbal": x} for i, x in ((5, 1.02), (20005, 1.01))]
     got = same_as_sql(spark, tmp_path, "F310_nearest_in_view", customer=customers, supplier=suppliers)
     assert [r[:2] for r in got] == [*[(f, 2 * f + 1) for f in at], (100, 5)] and got[-1][2] == 1.01
+
+
+def test_simplify_of_equal_errors(spark, tmp_path):
+    """Quantities whose largest errors are equal but for rounding: the first splits."""
+    tracks = {4584: [5, 6, 13, 2, 2, 12, 10], 19401: [9, 2, 4, 8, 1, 10, 7], 14381: [2, 8, 5, 5, 10, 1, 7], 14078: [5, 9, 12, 7, 6, 10, 1]}
+    got = same_as_sql(spark, tmp_path, "F613_simplify", lineitem=lines({t: [(n + 1, q, 0, 0) for n, q in enumerate(qs)] for t, qs in tracks.items()}))
+    assert got == [(4584, 7, 4), (14078, 7, 4), (14381, 7, 5), (19401, 7, 3)]
